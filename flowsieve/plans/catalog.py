@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flow_queries, packet_queries  # noqa: F401
+from . import eval_queries, flow_queries, packet_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import eval_queries, flow_queries, packet_queries, sample_queries  # noqa: F401
+from . import eval_queries, flow_queries, packet_queries, sample_queries, verdict_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

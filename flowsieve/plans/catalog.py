@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import eval_queries, flow_queries, packet_queries, sample_queries, verdict_queries  # noqa: F401
+from . import (eval_queries, flow_queries, model_queries, packet_queries,  # noqa: F401
+               sample_queries, verdict_queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

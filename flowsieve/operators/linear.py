@@ -134,7 +134,7 @@ def predict(df: DataFrame, vec: str, models: list[LinearModel], class_names: lis
     """Ensemble vote: label, confidence (the winning probability) and the probability array."""
     k = len(class_names)
     scored = score_frame(df, vec, models, keep)
-    probs = [probabilities(F.col(f"scores_{m.name}"), m.loss, k) for m in models]
+    probs = [probabilities(F.col(f"`scores_{m.name}`"), m.loss, k) for m in models]
     vote = soft_vote(probs, [m.vote_weight for m in models], k)
     names = F.array(*[F.lit(c) for c in class_names])
     out = scored.select(*keep, vote.alias("proba"))

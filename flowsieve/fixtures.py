@@ -188,6 +188,12 @@ class Projection:
             src = src.where(self.where)
         return src.selectExpr(*[f"{e} AS {q_spark(n)}" for n, e in self.columns])
 
+    def apply(self, src: DataFrame) -> DataFrame:
+        """The projection over a given source frame (e.g. a stream of the base table)."""
+        if self.where:
+            src = src.where(self.where)
+        return src.selectExpr(*[f"{e} AS {q_spark(n)}" for n, e in self.columns])
+
     def sql(self) -> str:
         src = f"({PROJECTIONS[self.source].sql()})" if self.source in PROJECTIONS else self.source
         where = f" WHERE {self.where}" if self.where else ""

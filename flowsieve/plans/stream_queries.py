@@ -127,9 +127,8 @@ def q_incremental_train_stream(spark, sf_dir):
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     store = scratch_path(spark, "coefficients")
-    state = {"states": [sgd.SgdState(sgd.SgdConfig(m.name, m.loss, "l2", 1e-4, m.vote_weight),
-                                     __import__("numpy").zeros((len(model.classes), len(model.feature_names))),
-                                     __import__("numpy").zeros(len(model.classes))) for m in model.models]}
+    state = {"states": sgd.init_states(training.member_configs(model.best_params), len(model.classes),
+                                       len(model.feature_names))}
 
     def update(batch, batch_id):
         done = local_dir(f"{store}/version={batch_id}")

@@ -66,12 +66,12 @@ def stratified_cap_sample(df: DataFrame, file_col: str, order_col: str, label_co
 def round_robin_order(df: DataFrame, file_col: str, chunk_col: str) -> DataFrame:
     """Interleave: chunk 0 of every file, then chunk 1 of every file, ...
 
-    Ranks the distinct (chunk, file) pairs -- one row per chunk, so the window
-    is small -- and joins the sequence number back.
+    Ranks the distinct (chunk, file) pairs -- one row per chunk -- with the
+    distributed running number and joins the sequence number back.
     """
     pairs = df.select(chunk_col, file_col).distinct()
-    w = Window.orderBy(chunk_col, file_col)
-    seq = pairs.select(chunk_col, file_col, (F.row_number().over(w) - 1).cast("long").alias("seq"))
+    seq = scan.row_number(pairs, [], [chunk_col, file_col], "__seq")
+    seq = seq.select(chunk_col, file_col, (F.col("__seq") - 1).cast("long").alias("seq"))
     return df.join(seq, [chunk_col, file_col], "inner")
 
 

@@ -159,6 +159,42 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
     return joined.select(*[F.col(c) for c in base_cols], *outs)
 
 
+def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column, reset: Column,
+                      name: str) -> DataFrame:
+    """Running sum of ``inc`` since the latest row where ``reset`` holds (reset rows give 0 there).
+
+    One pass: with A = running sum of ``inc`` and M = A at the latest reset row,
+    the answer is ``A - M``.  Inside a slice both come from one window; across
+    slices A gets the summed totals of earlier slices and M the largest
+    ``(slice's last reset A) + (that slice's offset)`` of earlier slices, both
+    computed over the small per-slice table.  ``inc`` must be non-negative.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    base_cols = df.columns
+    key_cols = [F.col(k) for k in keys]
+    order_cols = [_as_col(c) for c in order]
+    tagged = df.select("*", inc.cast("long").alias("__inc"), reset.alias("__reset"),
+                       slice_number(df, key_cols + order_cols, n).alias("__pid"))
+    w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a_loc = F.sum("__inc").over(w_local)
+    local = tagged.select("*", a_loc.alias("__a"))
+    local = local.withColumn("__m", F.max(F.when(F.col("__reset"), F.col("__a"))).over(w_local))
+    slices = local.groupBy("__pid", *keys).agg(F.sum("__inc").alias("__t"),
+                                               F.max(F.when(F.col("__reset"), F.col("__a"))).alias("__r"))
+    w_prev = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("__off_a", F.coalesce(F.sum("__t").over(w_prev), F.lit(0)))
+    slices = slices.withColumn("__r_glob", F.col("__r") + F.col("__off_a"))
+    offsets = slices.select(F.col("__pid").alias("__opid"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+                            "__off_a", F.max("__r_glob").over(w_prev).alias("__off_m"))
+    cond = [F.col("__pid") == F.col("__opid")]
+    cond += [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    joined = local.join(offsets, on=cond, how="inner")
+    a = F.col("__a") + F.col("__off_a")
+    m = F.greatest(F.col("__m") + F.col("__off_a"), F.col("__off_m"))
+    return joined.select(*[F.col(c) for c in base_cols], (a - F.coalesce(m, F.lit(0))).alias(name))
+
+
 def row_number(df: DataFrame, keys: list[str], order: list, name: str = "rn",
                totals: bool = False, num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its key in ``order`` (unique order keys)."""

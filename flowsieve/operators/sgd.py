@@ -95,23 +95,27 @@ _OUT_SCHEMA = "config string, class_index int, feature_index int, wsum double, n
 
 def _round_fn(states: list[SgdState]):
     def run(batches):
-        xs, ys, ws = [], [], []
+        # Arrow batches arrive in partition order; the model state is carried from
+        # batch to batch, so a task holds one batch at a time, never its partition.
+        current = [SgdState(st.config, st.w.copy(), st.b.copy(), st.t) for st in states]
+        n = 0
         for pdf in batches:
-            if len(pdf):
-                xs.append(np.stack(pdf["features"].to_numpy()).astype(np.float64))
-                ys.append(pdf["label_idx"].to_numpy().astype(np.int64))
-                ws.append(pdf["weight"].to_numpy().astype(np.float64))
-        if not xs:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+            y = pdf["label_idx"].to_numpy().astype(np.int64)
+            sw = pdf["weight"].to_numpy().astype(np.float64)
+            current = [local_pass(st, x, y, sw) for st in current]
+            n += len(y)
+        if n == 0:
             return
-        x, y, sw = np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)
-        n = len(y)
         rows = []
-        for st in states:
-            new = local_pass(st, x, y, sw)
+        for old, new in zip(states, current):
             k, f = new.w.shape
+            steps = new.t - old.t
             for ci in range(k):
-                rows.append((st.config.name, ci, -1, float(new.b[ci]) * n, n, new.t - st.t))
-                rows.extend((st.config.name, ci, j, float(new.w[ci, j]) * n, n, new.t - st.t) for j in range(f))
+                rows.append((old.config.name, ci, -1, float(new.b[ci]) * n, n, steps))
+                rows.extend((old.config.name, ci, j, float(new.w[ci, j]) * n, n, steps) for j in range(f))
         yield pd.DataFrame(rows, columns=["config", "class_index", "feature_index", "wsum", "n", "steps"])
     return run
 

@@ -53,17 +53,14 @@ def repeat_offender(decided: DataFrame, src: str = "src_ip", order: list[str] =
     The count restarts after an escalation, so escalation happens exactly when
     the count is a multiple of ``repeat``.  FP_PREVENT rows neither add nor reset.
     With A = running number of alerts and M = A at the latest reset row,
-    the count is A - M: two running scans, no per-source task.
+    the count is A - M, computed in one skew-safe scan (no per-source task).
     """
-    is_alert = (F.col("decision") == "ALERT_ONLY").cast("long")
+    is_alert = F.col("decision") == "ALERT_ONLY"
     is_reset = F.col("decision").isin("BENIGN", "BLOCK")
-    a = scan.running(decided, [src], order, {"__alerts": ("sum", is_alert)})
-    m = scan.running(a, [src], order, {"__at_reset": ("max", F.when(is_reset, F.col("__alerts")))})
-    n = F.col("__alerts") - F.coalesce(F.col("__at_reset"), F.lit(0))
-    out = m.withColumn("alerts_since_reset", F.when(F.col("decision") == "ALERT_ONLY", n).otherwise(F.lit(0)))
-    out = out.withColumn("escalated", (F.col("decision") == "ALERT_ONLY")
-                         & (F.col("alerts_since_reset") % repeat == 0))
-    return out.drop("__alerts", "__at_reset")
+    counted = scan.count_since_reset(decided, [src], order, is_alert.cast("long"), is_reset, "__since")
+    out = counted.withColumn("alerts_since_reset", F.when(is_alert, F.col("__since")).otherwise(F.lit(0)))
+    out = out.withColumn("escalated", is_alert & (F.col("alerts_since_reset") % repeat == 0))
+    return out.drop("__since")
 
 
 def block_acceptance(decided: DataFrame, src: str = "src_ip", whitelist: list[str] = FIREWALL_WHITELIST) -> DataFrame:

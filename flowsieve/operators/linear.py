@@ -143,6 +143,30 @@ def predict(df: DataFrame, vec: str, models: list[LinearModel], class_names: lis
                       F.array_max("proba").alias("confidence"))
 
 
+def predict_many(df: DataFrame, vec: str, groups: dict[str, list[LinearModel]], class_names: list[str],
+                 keep: list[str]) -> DataFrame:
+    """Predictions of several models / ensembles in ONE pass over the rows.
+
+    Returns ``keep..., model, class_index, label, confidence`` with one row per
+    input row and group (decision values of a model are computed once per row).
+    """
+    k = len(class_names)
+    scored = {}
+    for models in groups.values():
+        for m in models:
+            scored.setdefault(m.name, (m, decision_values(F.col(vec), m)))
+    probs = {n: probabilities(d, m.loss, k) for n, (m, d) in scored.items()}
+    outs = []
+    for name, models in groups.items():
+        vote = soft_vote([probs[m.name] for m in models], [m.vote_weight for m in models], k)
+        outs.append(F.struct(F.lit(name).alias("model"), vote.alias("proba")))
+    names = F.array(*[F.lit(c) for c in class_names])
+    long = df.select(*keep, F.inline(F.array(*outs)))
+    idx = argmax(F.col("proba"))
+    return long.select(*keep, "model", idx.alias("class_index"), F.element_at(names, idx + 1).alias("label"),
+                       F.array_max("proba").alias("confidence"))
+
+
 def class_means(df: DataFrame, vec: str, label: str, dim: int) -> dict[int, list[float]]:
     """Per-class mean vector (one aggregation; K x dim numbers come back)."""
     aggs = [F.avg(F.col(vec).getItem(j).cast("double")).alias(f"m{j}") for j in range(dim)]

@@ -74,7 +74,8 @@ def q_calibrate_isotonic(spark, sf_dir):
     rest = split.where(F.col("calib_part") == "test")
     fitted, k = training.calibrate_isotonic(model, cal)
     from ..operators import linear
-    scored = linear.predict(rest, "features", model.models, model.classes, ["row_key", "label_group"])
+    scored = linear.predict(rest, "features", model.models, model.classes,
+                            ["row_key", "label_group"]).checkpoint()
     out = None
     for ci, iso in fitted.items():
         from pyspark.ml.feature import VectorAssembler

@@ -77,16 +77,13 @@ def grid_configs() -> list[sgd.SgdConfig]:
 
 def predictions(df: DataFrame, models: list[linear.LinearModel], classes: list[str],
                 y: str = "label_group", keep: list[str] | None = None, each: bool = True) -> DataFrame:
-    """``(model, y, yhat)`` rows for the ensemble and (optionally) each member."""
+    """``(model, y, yhat)`` rows for the ensemble and (optionally) each member, in one pass."""
     keep = list(keep or [])
-    out = linear.predict(df, "features", models, classes, [y, *keep]).select(
-        F.lit("ensemble").alias("model"), F.col(y).alias("y"), F.col("label").alias("yhat"), *keep)
+    groups = {"ensemble": models}
     if each:
-        for m in models:
-            one = linear.predict(df, "features", [m], classes, [y, *keep]).select(
-                F.lit(m.name).alias("model"), F.col(y).alias("y"), F.col("label").alias("yhat"), *keep)
-            out = out.unionByName(one)
-    return out
+        groups.update({m.name: [m] for m in models})
+    out = linear.predict_many(df, "features", groups, classes, [y, *keep])
+    return out.select("model", F.col(y).alias("y"), F.col("label").alias("yhat"), *keep)
 
 
 def _training_rows(df: DataFrame, classes: list[str], raw: list[str], scaler: dict, chunk: str) -> DataFrame:
@@ -103,7 +100,9 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
     The time budget is checked between passes (all points share passes).
     With no finished pass the default parameters are returned.
     """
-    split = sampling.ordered_split(sample, order, 0.8)
+    # the tuning sample is bounded by files x rows_per_file: materialise it once
+    # (reliable checkpoint in the shared folder) instead of recomputing its lineage
+    split = sampling.ordered_split(sample, order, 0.8).checkpoint()
     train = split.where(F.col("tune_part") == "train").withColumn("__one", F.lit(0))
     val = split.where(F.col("tune_part") == "val")
     rows = _training_rows(train, classes, raw, scaler, "__one")
@@ -121,11 +120,9 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
     if done == 0:
         return dict(GRID_DEFAULT), []
     vv = vectors(val, raw, scaler, ["label_group"])
-    preds = None
-    for st in states:
-        p = linear.predict(vv, "features", [st.to_model()], classes, ["label_group"]).select(
-            F.lit(st.config.name).alias("model"), F.col("label_group").alias("y"), F.col("label").alias("yhat"))
-        preds = p if preds is None else preds.unionByName(p)
+    groups = {st.config.name: [st.to_model()] for st in states}
+    preds = linear.predict_many(vv, "features", groups, classes, ["label_group"]).select(
+        "model", F.col("label_group").alias("y"), F.col("label").alias("yhat"))
     scores = {r["model"]: r for r in metrics.metrics(preds, ["model"]).collect()}
     results, best, best_f1 = [], None, -1.0
     for c in cfgs:
@@ -164,7 +161,9 @@ def train(spark: SparkSession, flows: DataFrame, file_col: str = "file_id", tune
                      epochs)
     data.unpersist()
     model = TrainedModel(classes, raw, scaler, [s.to_model() for s in states], best, grid)
-    test_vectors = vectors(test, raw, scaler, ["row_key", "label_group", file_col])
+    # the test set is bounded by classes x max_rows_per_class rows; evaluation,
+    # calibration and reports reuse it, so its lineage is cut once
+    test_vectors = vectors(test, raw, scaler, ["row_key", "label_group", file_col]).checkpoint()
     return model, test_vectors
 
 
@@ -219,7 +218,7 @@ def calibrate_isotonic(model: TrainedModel, cal: DataFrame, y: str = "label_grou
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
     k = len(model.classes)
-    scored = linear.predict(cal, "features", model.models, model.classes, [y])
+    scored = linear.predict(cal, "features", model.models, model.classes, [y]).checkpoint()
     fitted = {}
     for ci, name in enumerate(model.classes):
         one = scored.select(F.col("proba").getItem(ci).alias("p"),

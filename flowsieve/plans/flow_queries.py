@@ -56,10 +56,6 @@ def _clean_cte(src: str, cols: list[str]) -> str:
     return f"SELECT {sel} FROM {src}"
 
 
-def _cleaned(df, cols):
-    return fe.clean_nonfinite(df, cols)
-
-
 # -- 2.2 projections and predicates ------------------------------------------
 
 @register("clean_nonfinite", fx.with_ctes(
@@ -86,8 +82,10 @@ def _derived_sql(present: set[str]) -> str:
 
 def _derived_spark(df, present):
     df = fe.clean_nonfinite(df.select(*[fe.c(n) for n in sorted(present)]), sorted(present))
-    return df.select(*[r(col).alias(n) for n, col in
-                       zip(DERIVED_FEATURES, fe.derived_features(present))])
+    derived = df.select(*fe.derived_features(present))
+    # rounding (for the oracle) in its own projection: it reads each value several
+    # times, so Spark keeps the derived values computed once underneath
+    return derived.select(*[r(n).alias(n) for n in DERIVED_FEATURES])
 
 
 @register("derive_features", _derived_sql(set(RAW)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +12,37 @@ from ..functions.features import add_derived_features, c, clean_nonfinite
 from . import sampling
 
 
+def vector_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: ``feature, position, n, mean, var`` (population variance).
+
+    The columns are assembled into one vector and summarised by Spark ML's
+    ``Summarizer`` in a single compiled pass (one aggregation buffer per vector
+    instead of two per column).  Columns must be non-null (clean them first).
+    """
+    cols = [c(n).cast("double").alias(f"__c{i}") for i, n in enumerate(columns)]
+    vec = df.select(*cols).withColumn("__v", array_to_vector(F.array(*[f"__c{i}" for i in range(len(columns))])))
+    # one aggregation: plain sums give the means (the SQL avg definition), the
+    # vector summary gives the variances
+    summary = vec.agg(F.count(F.lit(1)).alias("n"),
+                      F.array(*[F.sum(f"__c{i}") for i in range(len(columns))]).alias("__sums"),
+                      Summarizer.metrics("variance").summary(F.col("__v")).alias("s"))
+    names = F.array(*[F.lit(n) for n in columns])
+    long = summary.select("n", F.posexplode("__sums").alias("position", "__sum"),
+                          vector_to_array("s.variance").alias("__vars"))
+    n = F.col("n")
+    sample_var = F.element_at("__vars", F.col("position") + 1)
+    return long.select(F.element_at(names, F.col("position") + 1).alias("feature"),
+                       F.col("position").cast("int").alias("position"), "n", (F.col("__sum") / n).alias("mean"),
+                       F.when(n > 1, sample_var * (n - 1) / n).otherwise(F.lit(0.0)).alias("var"))
+
+
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per feature: ``feature, position, n, mean, var, scale``.
 
-    A single aggregation pass computes every column's mean and population
-    variance (partial aggregation, mergeable).  A zero variance scales by 1,
-    leaving the column centred.
+    Mean and population variance come from one pass; a zero variance scales
+    by 1, leaving the column centred.
     """
-    aggs = []
-    for i, n in enumerate(columns):
-        aggs += [F.avg(c(n)).alias(f"m{i}"), F.var_pop(c(n)).alias(f"v{i}")]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("position"),
-                              F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"))
-                     for i, n in enumerate(columns)])
-    out = one.select("n", F.inline(rows))
+    out = vector_summary(df, columns)
     std = F.sqrt(F.col("var"))
     return out.select("feature", "position", "n", "mean", "var",
                       F.when(std == 0, F.lit(1.0)).otherwise(std).alias("scale"))

@@ -32,7 +32,7 @@ def _window_out(df, keys):
     return df.select(*cols)
 
 
-def _window_sql(width_unit: str, keys: list[str], cap: int | None = None) -> str:
+def _window_sql(width_unit: str, keys: list[str], cap: int | None = None, closed_only: bool = False) -> str:
     """Oracle for the 37 window features (global or per key)."""
     q = fx.q_sql
     key_sel = "".join(f", {k} AS key_{k}" for k in keys)
@@ -44,6 +44,8 @@ def _window_sql(width_unit: str, keys: list[str], cap: int | None = None) -> str
         for n, p in PORT_PROTOCOLS.items()}
     flag = {n: f"sum(CASE WHEN proto = 6 AND (flags & {b}) > 0 THEN 1 ELSE 0 END)" for n, b in TCP_FLAG_BITS.items()}
     keep = lambda e: f"CASE WHEN {cap_filter} THEN {e} END"
+    # a stream emits a window once the watermark (latest event time) has passed its end
+    closed = (f" AND w + INTERVAL 1 {width_unit} <= (SELECT max(ts) FROM packets)" if closed_only else "")
     agg = f"""
       SELECT w{key_grp},
         count({keep('1')}) AS n,
@@ -60,7 +62,7 @@ def _window_sql(width_unit: str, keys: list[str], cap: int | None = None) -> str
                    row_number() OVER (PARTITION BY {part} ORDER BY ts DESC, event_id DESC) AS rk
             FROM packets) AS p
       GROUP BY w{key_grp}
-      HAVING count({keep('1')}) >= 3"""
+      HAVING count({keep('1')}) >= 3{closed}"""
     feats = {
         "AVG": sr("av"),
         "Header_Length": sr("hdr"),

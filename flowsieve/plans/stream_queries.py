@@ -3,19 +3,18 @@ features, stateful verdicts, live counters, carry-over windows, incremental trai
 
 from __future__ import annotations
 
-import glob as _glob
 import os
 
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..contract import MODEL_FEATURES
 from ..session import local_dir, scratch_path
 from ..sources import flow_csv
 from ..sources.tables import table
 from ..streaming import packets as st
-from .packet_queries import GLOBAL_WIDTH, SOURCE_WIDTH
-from .registry import r, register
+from .packet_queries import GLOBAL_WIDTH, _window_out, _window_sql
+from .registry import r, register, sql_ts_text, sr, ts_text
+from .verdict_queries import _decide_sql
 
 _FLOW_COLS = [n for n, _ in fx.FLOWS]
 _PADDED = {"label": " label ", "Rate": "Rate "}     # headers written with stray blanks
@@ -74,17 +73,23 @@ def _run(stream_df, spark, name: str, mode: str = "append"):
     return spark.read.parquet(path)
 
 
-@register("packet_stream_source")
+_PACKET_COLS = [n for n, _ in fx.PACKETS]
+
+
+@register("packet_stream_source", fx.with_ctes(
+    "SELECT " + ", ".join(sql_ts_text("ts") + " AS ts" if c == "ts" else c for c in _PACKET_COLS)
+    + " FROM packets", "packets"))
 def q_packet_stream_source(spark, sf_dir):
     """Decoded packet records read as a stream (parquet files arriving in a folder)."""
-    return _run(_packet_stream(spark, sf_dir), spark, "packets-stream")
+    out = _run(_packet_stream(spark, sf_dir), spark, "packets-stream")
+    return out.select(*[ts_text("ts").alias("ts") if c == "ts" else F.col(c) for c in _PACKET_COLS])
 
 
-@register("flow_windows_stream")
+@register("flow_windows_stream", _window_sql("hour", [], closed_only=True))
 def q_flow_windows_stream(spark, sf_dir):
     """Window features on the packet stream; closed windows only (watermark)."""
     out = _run(st.flow_windows_stream(_packet_stream(spark, sf_dir), GLOBAL_WIDTH), spark, "windows-stream")
-    return out.select("window_start", "src_ip", *[r(F.col(f"`{n}`")).alias(n) for n in MODEL_FEATURES])
+    return _window_out(out, [])
 
 
 def _verdict_stream_input(spark, sf_dir):
@@ -92,7 +97,9 @@ def _verdict_stream_input(spark, sf_dir):
     return fx.PROJECTIONS["verdict_in"].apply(packets)
 
 
-@register("verdict_stream")
+@register("verdict_stream", _decide_sql(
+    "SELECT event_id, src_ip, decision, alerts_since_reset, escalated, block_accepted FROM decided "
+    "WHERE decision <> 'SAFE_LIST'"))
 def q_verdict_stream(spark, sf_dir):
     """Ladder, repeat counter and block ledger with keyed state per source."""
     out = _run(st.verdict_stream(_verdict_stream_input(spark, sf_dir), fx.load(spark, sf_dir, "safe_list")),
@@ -100,20 +107,56 @@ def q_verdict_stream(spark, sf_dir):
     return out.select("event_id", "src_ip", "decision", "alerts_since_reset", "escalated", "block_accepted")
 
 
-@register("running_counters_stream")
+@register("running_counters_stream", _decide_sql(
+    "SELECT cast(sum(n_packets) AS BIGINT) AS total_packets, "
+    "cast(sum(CASE WHEN decision <> 'SAFE_LIST' THEN 1 ELSE 0 END) AS BIGINT) AS total_predictions, "
+    "cast(sum(CASE WHEN decision = 'ALERT_ONLY' THEN 1 ELSE 0 END) AS BIGINT) AS total_alerts, "
+    "cast(sum(CASE WHEN decision = 'FP_PREVENT' THEN 1 ELSE 0 END) AS BIGINT) AS false_positives_prevented, "
+    "cast(sum(CASE WHEN decision = 'BLOCK' THEN 1 ELSE 0 END) AS BIGINT) AS block_decisions, "
+    "cast(sum(CASE WHEN decision = 'SAFE_LIST' THEN 1 ELSE 0 END) AS BIGINT) AS safe_list_skipped FROM decided"))
 def q_running_counters_stream(spark, sf_dir):
     """Live totals in complete mode; the last snapshot is returned."""
     counters = st.running_counters(_verdict_stream_input(spark, sf_dir), fx.load(spark, sf_dir, "safe_list"))
     return _run(counters, spark, "counters-stream", mode="complete").drop("batch_id")
 
 
-@register("carry_over_windows")
+def _carry_sql() -> str:
+    """Recursive walk over each source's hourly windows: carry until >= 3 packets, then emit."""
+    body = f"""
+w AS (SELECT src_ip AS k, date_trunc('hour', ts) AS ws, count(*) AS n, cast(sum(size) AS double) AS tot,
+        cast(sum(size * size) AS double) AS sq, min(ts) AS f, max(ts) AS l,
+        row_number() OVER (PARTITION BY src_ip ORDER BY date_trunc('hour', ts)) AS i
+      FROM packets GROUP BY src_ip, date_trunc('hour', ts)),
+walk AS (
+  SELECT k, i, ws AS g, ws, n, tot, sq, f, l FROM w WHERE i = 1
+  UNION ALL
+  SELECT w.k, w.i,
+    CASE WHEN p.n >= 3 THEN w.ws ELSE p.g END,
+    w.ws,
+    CASE WHEN p.n >= 3 THEN w.n ELSE p.n + w.n END,
+    CASE WHEN p.n >= 3 THEN w.tot ELSE p.tot + w.tot END,
+    CASE WHEN p.n >= 3 THEN w.sq ELSE p.sq + w.sq END,
+    CASE WHEN p.n >= 3 THEN w.f ELSE least(p.f, w.f) END,
+    CASE WHEN p.n >= 3 THEN w.l ELSE greatest(p.l, w.l) END
+  FROM walk p JOIN w ON w.k = p.k AND w.i = p.i + 1)
+SELECT {sql_ts_text('g')} AS window_first_start, {sql_ts_text("ws + INTERVAL 1 hour")} AS window_end,
+  k AS key_src_ip, cast(n AS double) AS Number, {sr('tot / n')} AS AVG,
+  {sr('sqrt(greatest(sq / n - (tot / n) * (tot / n), 0.0))')} AS Std,
+  {sr("CASE WHEN n > 1 THEN ((epoch_us(l) - epoch_us(f)) / 1000000.0) / (n - 1) ELSE 0.0 END")} AS IAT,
+  {sr("n / greatest((epoch_us(l) - epoch_us(f)) / 1000000.0, 0.001)")} AS Rate
+FROM walk WHERE n >= 3"""
+    head = fx.with_ctes("SELECT 1", "packets")[:-len("\nSELECT 1")]
+    return "WITH RECURSIVE " + head[len("WITH "):] + "," + body
+
+
+@register("carry_over_windows", _carry_sql())
 def q_carry_over_windows(spark, sf_dir):
     """Windows under three packets roll into the next (per source, 1-hour windows)."""
     packets = fx.load(spark, sf_dir, "packets")
     out = st.carry_over_windows(packets, GLOBAL_WIDTH, keys=["src_ip"])
-    return out.select("window_first_start", "window_end", "key_src_ip", "Number", r("AVG").alias("AVG"),
-                      r("Std").alias("Std"), r("IAT").alias("IAT"), r("Rate").alias("Rate"))
+    return out.select(ts_text("window_first_start").alias("window_first_start"),
+                      ts_text("window_end").alias("window_end"), "key_src_ip", "Number",
+                      r("AVG").alias("AVG"), r("Std").alias("Std"), r("IAT").alias("IAT"), r("Rate").alias("Rate"))
 
 
 @register("incremental_train_stream")

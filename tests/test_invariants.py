@@ -53,11 +53,9 @@ def test_holdout_excludes_test_rows(spark):
 
 def test_window_stream_equals_batch_on_closed_windows(spark):
     stream = catalog.QUERIES["flow_windows_stream"](spark, SF_SMALL)
-    from flowsieve.operators import windows
-    from flowsieve.plans.registry import r
-    batch = windows.flow_window_features(fx.load(spark, SF_SMALL, "packets"), "1 hour")
-    b = {(row["window_start"], row["Number"], row["src_ip"]) for row in batch.collect()}
-    s = {(row["window_start"], row["Number"], row["src_ip"]) for row in stream.collect()}
+    batch = catalog.QUERIES["flow_window_features"](spark, SF_SMALL)
+    b = {tuple(row) for row in batch.collect()}
+    s = {tuple(row) for row in stream.collect()}
     assert s and s <= b and len(b) - len(s) <= 2
 
 

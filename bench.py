@@ -63,6 +63,8 @@ def main() -> None:
         t0 = time.perf_counter()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 3)
+    rows, sec = flow_scoring(spark, sf_dir)
+    timings["flow_scoring"] = round(sec, 3)
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -71,8 +73,43 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "sf": float(m.group(1)) if m else sf_dir,
+        "flow_scoring_rows": rows,
+        "flow_scoring_rows_per_sec": round(rows / sec) if sec > 0 else None,
+        "flow_scoring_includes": "parquet read, cleaning, 12 derived features, scaling, 3-model soft vote",
     }))
 
 
+def flow_scoring(spark, sf_dir: str) -> tuple[int, float]:
+    """Score every flow row with a 3-member one-vs-rest ensemble, end to end.
+
+    Models are class-mean linear models of the scaled flow vectors (one
+    aggregation, not timed); the timed part reads, cleans, derives, scales and
+    votes for every row (noop sink).
+    """
+    from pyspark.sql import functions as F
+
+    from flowsieve import fixtures as fx
+    from flowsieve.operators import labels, linear, scaling
+    from flowsieve.plans import training
+    from flowsieve.plans.flow_queries import RAW, VECTOR
+
+    flows = labels.group_labels(fx.load(spark, sf_dir, "flows"))
+    base = training.vectors(flows, RAW, None, ["label_group"])
+    wide = base.select("label_group", *[F.col("features").getItem(i).alias(n) for i, n in enumerate(VECTOR)])
+    scaler = scaling.scaler_params(scaling.fit_scaler(wide, VECTOR))
+    vecs = training.vectors(flows, RAW, scaler, ["label_group"])
+    means = linear.class_means(vecs, "features", "label_group", len(VECTOR))
+    classes = sorted(means)
+    mat = [means[c] for c in classes]
+    sq = [sum(x * x for x in row) for row in mat]
+    models = [linear.LinearModel("m1", "modified_huber", mat, [-0.5 * v for v in sq], 1.0),
+              linear.LinearModel("m2", "log_loss", mat, [-0.5 * v for v in sq], 1.0),
+              linear.LinearModel("m3", "modified_huber", [[2 * a for a in r] for r in mat], [-v for v in sq], 0.8)]
+    n = flows.count()
+    t0 = time.perf_counter()
+    linear.predict(vecs, "features", models, classes, ["label_group"]).write.format("noop").mode("overwrite").save()
+    return n, time.perf_counter() - t0
+
+
 if __name__ == "__main__":
     main()

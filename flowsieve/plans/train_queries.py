@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..contract import FEATURE_ENG_VERSION
 from ..operators import metrics, sampling, verdicts, windows
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources.tables import table
 from . import training
 from .registry import r, register
@@ -74,8 +74,8 @@ def q_calibrate_isotonic(spark, sf_dir):
     rest = split.where(F.col("calib_part") == "test")
     fitted, k = training.calibrate_isotonic(model, cal)
     from ..operators import linear
-    scored = linear.predict(rest, "features", model.models, model.classes,
-                            ["row_key", "label_group"]).checkpoint()
+    scored = cut_lineage(linear.predict(rest, "features", model.models, model.classes,
+                                        ["row_key", "label_group"]))
     out = None
     for ci, iso in fitted.items():
         from pyspark.ml.feature import VectorAssembler

@@ -23,7 +23,7 @@ from ..contract import (DERIVED_FEATURES, ENSEMBLE_MEMBERS, EPOCHS_PER_CHUNK, FE
 from ..functions import features as fe
 from ..operators import labels, linear, metrics, sampling, scaling, sgd
 from ..operators.profile import detect_columns
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 
 @dataclass
@@ -102,7 +102,7 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
     """
     # the tuning sample is bounded by files x rows_per_file: materialise it once
     # (reliable checkpoint in the shared folder) instead of recomputing its lineage
-    split = sampling.ordered_split(sample, order, 0.8).checkpoint()
+    split = cut_lineage(sampling.ordered_split(sample, order, 0.8))
     train = split.where(F.col("tune_part") == "train").withColumn("__one", F.lit(0))
     val = split.where(F.col("tune_part") == "val")
     rows = _training_rows(train, classes, raw, scaler, "__one")
@@ -163,7 +163,7 @@ def train(spark: SparkSession, flows: DataFrame, file_col: str = "file_id", tune
     model = TrainedModel(classes, raw, scaler, [s.to_model() for s in states], best, grid)
     # the test set is bounded by classes x max_rows_per_class rows; evaluation,
     # calibration and reports reuse it, so its lineage is cut once
-    test_vectors = vectors(test, raw, scaler, ["row_key", "label_group", file_col]).checkpoint()
+    test_vectors = cut_lineage(vectors(test, raw, scaler, ["row_key", "label_group", file_col]))
     return model, test_vectors
 
 
@@ -218,7 +218,7 @@ def calibrate_isotonic(model: TrainedModel, cal: DataFrame, y: str = "label_grou
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
     k = len(model.classes)
-    scored = linear.predict(cal, "features", model.models, model.classes, [y]).checkpoint()
+    scored = cut_lineage(linear.predict(cal, "features", model.models, model.classes, [y]))
     fitted = {}
     for ci, name in enumerate(model.classes):
         one = scored.select(F.col("proba").getItem(ci).alias("p"),

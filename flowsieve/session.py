@@ -56,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

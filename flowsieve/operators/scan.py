@@ -82,12 +82,17 @@ def _literal(row, fields) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
 
 
-def slice_number(df: DataFrame, sort_cols: list[Column], n: int) -> Column:
-    """Slice of each row: number of boundaries at or below its sort key."""
+def slice_number(df: DataFrame, sort_cols: list[Column], n: int, sample_from: DataFrame | None = None) -> Column:
+    """Slice of each row: number of boundaries at or below its sort key.
+
+    Boundaries only balance the slices -- any boundaries give correct results --
+    so they may be sampled from ``sample_from``, a cheaper frame with the same
+    key columns (e.g. the rows before an expensive join), instead of ``df``.
+    """
     prims = _sort_key(df, sort_cols)
     key = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prims)])
     fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    bounds = _boundaries(df, key, n)
+    bounds = _boundaries(sample_from if sample_from is not None else df, key, n)
     lits = [_literal(b, fields) for b in bounds]
 
     def search(lo: int, hi: int) -> Column:
@@ -102,7 +107,7 @@ def slice_number(df: DataFrame, sort_cols: list[Column], n: int) -> Column:
 
 def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
             inclusive: bool = True, totals: bool = False,
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, sample_from: DataFrame | None = None) -> DataFrame:
     """Append running aggregates per ``keys`` in ascending ``order``.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind ``count``
@@ -119,7 +124,7 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
     key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
 
-    tagged = df.select("*", *inputs, slice_number(df, key_cols + order_cols, n).alias("__pid"))
+    tagged = df.select("*", *inputs, slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid"))
 
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
@@ -160,7 +165,7 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
 
 
 def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column, reset: Column,
-                      name: str) -> DataFrame:
+                      name: str, sample_from: DataFrame | None = None) -> DataFrame:
     """Running sum of ``inc`` since the latest row where ``reset`` holds (reset rows give 0 there).
 
     One pass: with A = running sum of ``inc`` and M = A at the latest reset row,
@@ -174,7 +179,7 @@ def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column,
     key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
     tagged = df.select("*", inc.cast("long").alias("__inc"), reset.alias("__reset"),
-                       slice_number(df, key_cols + order_cols, n).alias("__pid"))
+                       slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid"))
     w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     a_loc = F.sum("__inc").over(w_local)
@@ -196,10 +201,11 @@ def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column,
 
 
 def row_number(df: DataFrame, keys: list[str], order: list, name: str = "rn",
-               totals: bool = False, num_partitions: int | None = None) -> DataFrame:
+               totals: bool = False, num_partitions: int | None = None,
+               sample_from: DataFrame | None = None) -> DataFrame:
     """1-based position of each row within its key in ``order`` (unique order keys)."""
     return running(df, keys, order, {name: ("count", None)}, totals=totals,
-                   num_partitions=num_partitions)
+                   num_partitions=num_partitions, sample_from=sample_from)
 
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rn") -> DataFrame:

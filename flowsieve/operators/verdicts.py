@@ -47,7 +47,7 @@ def ladder(df: DataFrame, alert_threshold: float = ALERT_THRESHOLD, block_thresh
 
 
 def repeat_offender(decided: DataFrame, src: str = "src_ip", order: list[str] = ORDER,
-                    repeat: int = REPEAT_ATTACK_COUNT) -> DataFrame:
+                    repeat: int = REPEAT_ATTACK_COUNT, sample_from: DataFrame | None = None) -> DataFrame:
     """Alerts since the last BENIGN or BLOCK per source; every ``repeat``-th escalates to a block.
 
     The count restarts after an escalation, so escalation happens exactly when
@@ -57,7 +57,8 @@ def repeat_offender(decided: DataFrame, src: str = "src_ip", order: list[str] =
     """
     is_alert = F.col("decision") == "ALERT_ONLY"
     is_reset = F.col("decision").isin("BENIGN", "BLOCK")
-    counted = scan.count_since_reset(decided, [src], order, is_alert.cast("long"), is_reset, "__since")
+    counted = scan.count_since_reset(decided, [src], order, is_alert.cast("long"), is_reset, "__since",
+                                     sample_from=sample_from)
     out = counted.withColumn("alerts_since_reset", F.when(is_alert, F.col("__since")).otherwise(F.lit(0)))
     out = out.withColumn("escalated", is_alert & (F.col("alerts_since_reset") % repeat == 0))
     return out.drop("__since")
@@ -93,7 +94,8 @@ def decide(verdicts: DataFrame, safe: DataFrame | None, **ladder_args) -> DataFr
         to_score, skipped = safe_list_split(verdicts, safe)
     else:
         to_score, skipped = verdicts, verdicts.limit(0)
-    scored = block_acceptance(repeat_offender(ladder(to_score, **ladder_args)))
+    # slice boundaries are sampled from the raw verdict rows (cheaper than after the join)
+    scored = block_acceptance(repeat_offender(ladder(to_score, **ladder_args), sample_from=verdicts))
     rest = (skipped.withColumn("decision", F.lit("SAFE_LIST"))
             .withColumn("alerts_since_reset", F.lit(0).cast("long"))
             .withColumn("escalated", F.lit(False))
@@ -127,15 +129,18 @@ def engine_counters(decided: DataFrame) -> DataFrame:
     )
 
 
-def audit_sample(decided: DataFrame, every: int = AUDIT_BENIGN_EVERY, max_lines: int = AUDIT_MAX_LINES) -> DataFrame:
+def audit_sample(decided: DataFrame, every: int = AUDIT_BENIGN_EVERY, max_lines: int = AUDIT_MAX_LINES,
+                 sample_from: DataFrame | None = None) -> DataFrame:
     """Audit rows: every non-benign decision, benign ones whose prediction number is a
     multiple of ``every``; the first ``max_lines`` in prediction order.
 
     Prediction numbers are a global running number (scan, not an
     un-partitioned window); the cut is an ordered top-k, bounded by ``max_lines``.
+    ``sample_from`` (e.g. the raw verdict rows) saves re-running the decision
+    pipeline just to place the scan's slice boundaries.
     """
     scored = decided.where(F.col("decision") != "SAFE_LIST")
-    numbered = scan.row_number(scored, [], ORDER, "prediction_no")
+    numbered = scan.row_number(scored, [], ORDER, "prediction_no", sample_from=sample_from)
     logged = numbered.where((F.col("decision") != "BENIGN") | (F.col("prediction_no") % every == 0))
     return logged.orderBy("prediction_no").limit(max_lines)
 

@@ -201,21 +201,26 @@ def carry_over_windows(packets: DataFrame, width: str, keys: list[str] | None =
     """Windows with fewer than ``min_packets`` packets roll into the next until the total reaches it.
 
     Packets are first reduced to one mergeable partial per window (Spark
-    aggregation); only those partials -- one row per active window, not per
-    packet -- are merged in order per key by ``applyInPandas``.
+    aggregation).  A window that alone has ``min_packets`` packets always
+    ends the carry (carry + n reaches the threshold, is emitted, resets), so
+    the walk restarts from zero after every such window.  Numbering those
+    windows with the skew-safe running count splits every key into independent
+    segments -- a run of sparse windows plus the window that closes it -- and
+    only a segment's partials are merged in order by ``applyInPandas``.  A busy
+    source becomes many tiny groups; the key-less global form runs in parallel.
     """
+    from ..operators import scan
     keys = list(keys or [])
     parts = partial_windows(packets, width, keys)
     from pyspark.sql.types import StructField, StructType
     base = parts.schema
     schema = StructType(list(base.fields) + [StructField("window_first_start", base["window_start"].dataType)])
-    grouping = [f"key_{k}" for k in keys] or [F.lit(0).alias("__all")]
-    if not keys:
-        parts = parts.withColumn("__all", F.lit(0))
-        merged = parts.groupBy("__all").applyInPandas(
-            lambda pdf: _merge_partials(keys, min_packets)(pdf.drop(columns=["__all"])), schema)
-    else:
-        merged = parts.groupBy(*grouping).applyInPandas(_merge_partials(keys, min_packets), schema)
+    key_cols = [f"key_{k}" for k in keys]
+    big = (F.col("__n") >= min_packets).cast("long")
+    segmented = scan.running(parts, key_cols, ["window_start"], {"__seg": ("sum", big)}, inclusive=False)
+    merge = _merge_partials(keys, min_packets)
+    merged = segmented.groupBy(*key_cols, "__seg").applyInPandas(
+        lambda pdf: merge(pdf.drop(columns=["__seg"])), schema)
     n = F.col("__n").cast("double")
     span = F.timestamp_diff("MICROSECOND", F.col("__first"), F.col("__last")) / F.lit(1e6)
     avg = F.col("__tot") / n

@@ -159,3 +159,21 @@ def test_chunk_shuffle_is_a_permutation(spark):
     agg = out.groupBy("file_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"),
                                                  F.max("pos").alias("hi"), F.countDistinct("pos").alias("d"))
     assert agg.where("lo != 1 OR hi != n OR d != n").count() == 0
+
+
+def test_global_carry_over_windows_match_loop(spark):
+    from flowsieve import fixtures as fx
+    from flowsieve.streaming import packets as st
+    from conftest import SF_SMALL
+    packets = fx.load(spark, SF_SMALL, "packets")
+    got = sorted((r["window_end"], int(r["Number"])) for r in st.carry_over_windows(packets, "1 hour").collect())
+    wins = {}
+    for r in packets.select(F.window("ts", "1 hour").alias("w")).collect():
+        wins[r["w"].end] = wins.get(r["w"].end, 0) + 1
+    want, acc = [], 0
+    for end in sorted(wins):
+        acc += wins[end]
+        if acc >= 3:
+            want.append((end, acc))
+            acc = 0
+    assert got == want

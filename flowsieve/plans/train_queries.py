@@ -136,6 +136,9 @@ def q_score_job(spark, sf_dir):
                             ["event_id", "window_start", "src_ip", "dst_ip", "n_pk"])
     verdict_rows = scored.select("event_id", F.col("window_start").alias("ts"), "src_ip", "dst_ip", "label",
                                  "confidence", F.col("n_pk").cast("int").alias("n_packets"))
+    # one row per scored window (far fewer than packets): materialise it once so the
+    # decision scans do not re-run window aggregation and scoring for their sampling
+    verdict_rows = cut_lineage(verdict_rows)
     decided = verdicts.decide(verdict_rows, fx.load(spark, sf_dir, "safe_list"))
     return decided.select("event_id", "src_ip", "label", r("confidence").alias("confidence"), "decision",
                           "escalated", "block_accepted")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve.session import scratch_path
 from flowsieve.sources.tables import table
 
-from . import packing, token_files
+from . import exact_dedup, fertility, line_dedup, mixing, packing, quality_model, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,48 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids")
             .mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+
+
+@query("op2_exact_dedup", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+    FROM d WINDOW same AS (PARTITION BY text)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op4_mixing", mixing.oracle())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "n_words", F.round("probability", 6).alias("probability"), "selected")
+
+
+@query("op9_url_filter", url_filter.oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"),
+        F.round("token_entropy", 6).alias("token_entropy"))
+
+
+@query("op3_quality_model")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_model.fit(docs, known.filter(quality_model.fold() != 1))
+    return quality_model.score(docs, model).select(
+        "doc_id", (quality_model.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))

@@ -7,8 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from flowsieve.session import scratch_path
+from flowsieve.session import scratch_path, shuffle_partitions
 
 #: A side of a join is broadcast only when its stored size is at most this.
 BROADCAST_BYTES = 48 << 20
@@ -164,3 +165,20 @@ class TwoAges:
         if len(young) > self.capacity:
             self.old, self.young = young, {}
         return found
+
+
+def grouped(rows: DataFrame, keys: list[str], spread: list[str], aggs: dict, keep: str | None = None) -> DataFrame:
+    """Rows with values of their whole group, without a task that holds a whole group.
+
+    ``aggs``: name -> (aggregate of rows, aggregate of those aggregates).  Rows are
+    salted by ``spread``, aggregated per (keys, salt), combined over the salts and
+    joined back on (keys, salt).  ``keep`` filters groups by the new values.
+    """
+    salts = max(8, shuffle_partitions(rows.sparkSession))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    part = salted.groupBy(*keys, "_salt").agg(*[own.alias(f"_{k}") for k, (own, _) in aggs.items()])
+    one = Window.partitionBy(*keys)  # at most one row per salt
+    whole = part.select(*keys, "_salt", *[both(f"_{k}").over(one).alias(k) for k, (_, both) in aggs.items()])
+    if keep:
+        whole = whole.filter(keep)
+    return salted.join(whole, [*keys, "_salt"]).drop("_salt")

@@ -23,11 +23,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flowsieve.session import scratch_path, shuffle_partitions
+from flowsieve.session import scratch_path
 
-from .common import join_checked, keyed, store
+from .common import grouped, join_checked, keyed, store
 
 WIDTH = 64
 GROWTH = 8
@@ -42,31 +41,26 @@ def digit_borders(width: int, growth: int, most: int = 1 << 31) -> list[int]:
     return borders
 
 
-def split(rows: DataFrame, salts: int) -> DataFrame:
+def split(rows: DataFrame) -> DataFrame:
     """Groups of equal (group, digit) with at least two rows.
 
     ``rows``: row_id, doc_id, grp, digit, ended.  Returns row_id, doc_id, grp
     (the row_id of the member that would stay), keep_id, n, ended.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-    part = salted.groupBy("grp", "digit", "salt").agg(
-        F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy("grp", "digit")  # at most ``salts`` rows
-    whole = part.select("grp", "digit", "salt", F.max("best").over(one).alias("best"), F.sum("n").over(one).alias("n"))
-    return (salted.join(whole.filter("n > 1"), ["grp", "digit", "salt"])
-            .select("row_id", "doc_id", F.col("best.row_id").alias("grp"), F.col("best.doc_id").alias("keep_id"),
-                    "n", "ended"))
+    met = grouped(rows, ["grp", "digit"], ["row_id"],
+                  {"best": (F.max(F.struct("doc_id", "row_id")), F.max), "n": (F.count(F.lit(1)), F.sum)}, "n > 1")
+    return met.select("row_id", "doc_id", F.col("best.row_id").alias("grp"), F.col("best.doc_id").alias("keep_id"),
+                      "n", "ended")
 
 
 def equal_groups(rows: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> DataFrame:
     """``row_id, grp, keep_id, n`` of every row whose text another row has too; ``rows`` from ``common.keyed``."""
     spark = rows.sparkSession
-    salts = max(8, shuffle_partitions(spark))
     borders = digit_borders(width, growth)
     data = F.col("text").cast("binary")
     first = rows.select("row_id", "doc_id", F.lit(0).cast("long").alias("grp"),
                         F.substring(data, 1, width).alias("digit"), (F.octet_length("text") < width).alias("ended"))
-    found = store(split(first, salts), "radix-0")
+    found = store(split(first), "radix-0")
     settled = found.filter("ended")
     alive = found.filter("not ended")
     n_alive = alive.count()
@@ -87,7 +81,7 @@ def equal_groups(rows: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> D
         digit = pieces.filter(F.col("round") == k).select("row_id", "digit")
         now = alive.select("row_id", "doc_id", "grp").join(digit, "row_id").withColumn(
             "ended", F.length("digit") < width * growth ** (k + 1))
-        found = store(split(now, salts), f"radix-{k + 1}")
+        found = store(split(now), f"radix-{k + 1}")
         settled = settled.unionByName(found.filter("ended"))
         alive = found.filter("not ended")
         if not alive.limit(1).count():

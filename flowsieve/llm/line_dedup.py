@@ -29,11 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flowsieve.session import shuffle_partitions
-
-from .common import join_checked, keyed, mix, slices, store
+from .common import grouped, join_checked, keyed, mix, slices, store
 
 LEAST = 3
 GRAM = 2
@@ -77,14 +74,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def at_two_places(runs: DataFrame, column: str) -> DataFrame:
     """Runs whose ``column`` has another position too, with the ``first`` of its positions."""
-    salts = max(8, shuffle_partitions(runs.sparkSession))
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("row_id", "run"), F.lit(salts)))
     place = F.struct(*PLACE_COLUMNS)
-    part = salted.groupBy(column, "salt").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    one = Window.partitionBy(column)  # at most ``salts`` rows
-    whole = part.select(column, "salt", F.min("a").over(one).alias("first"), F.max("b").over(one).alias("last")) \
-        .filter("first < last").drop("last")
-    return salted.join(whole, [column, "salt"]).drop("salt")
+    return grouped(runs, [column], ["row_id", "run"], {"first": (F.min(place), F.min), "last": (F.max(place), F.max)},
+                   "first < last").drop("last")
 
 
 def repeated_runs(rows: DataFrame, least: int, gram: int) -> DataFrame:

@@ -32,8 +32,9 @@ def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> Da
     """``row_id`` (unique long), ``doc_id``, ``text`` (null text is empty) and ``extra`` columns.
 
     ``row_id`` is the key itself when it is a unique integer without nulls.
-    Otherwise (nulls, repeated rows) the rows are stored once and numbered, so
-    that every row keeps an identity of its own.  Other columns of ``docs`` are
+    Otherwise (nulls, repeated rows) the rows are stored once and numbered in
+    ascending key order, nulls first, so that every row keeps an identity of its
+    own and ``row_id`` orders rows as the key does.  Other columns of ``docs`` are
     left out, so their names cannot clash with those of an operator.
     """
     cols = [F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
@@ -42,21 +43,23 @@ def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> Da
     odd = (docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
            .filter("n > 1 or k is null").limit(1).count())
     if odd:
-        rows = store(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+        rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("row_id", F.monotonically_increasing_id()), "rows")
     else:
         rows = rows.withColumn("row_id", F.col("doc_id"))
     return rows.select("row_id", "doc_id", "text", *(extra or {}))
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int,
-                 rows: int | None = None) -> DataFrame:
-    """Join that broadcasts ``small`` only if its rows (counted) times ``row_bytes`` fit the bound.
+                 rows: int | None = None, more: int = 0) -> DataFrame:
+    """Join that broadcasts ``small`` only if its rows (counted) times ``row_bytes`` (and ``more`` bytes) fit the bound.
 
     ``small`` must be a stored table, so the count is cheap.  Beyond the bound
     both sides are shuffled and the smaller side is hashed per partition.
     """
     n = small.count() if rows is None else rows
-    if n * row_bytes <= BROADCAST_BYTES:
+    if n * row_bytes + more <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("shuffle_hash"), on, how)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from flowsieve.session import scratch_path
 from flowsieve.sources.tables import table
 
-from . import exact_dedup, fertility, line_dedup, mixing, packing, quality_model, token_files, url_filter
+from . import (exact_dedup, fertility, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
+               token_files, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

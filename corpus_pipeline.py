@@ -1,22 +1,51 @@
-"""Corpus pipeline over ``documents``; each stage reads what the one before has kept."""
+"""Corpus pipeline over ``documents``; each stage reads what the one before has kept.
+
+Stages: quality rules, exact dedup (of equal texts the largest doc_id stays),
+n-gram Jaccard join (of a component the smallest doc_id stays), sampling to
+target weights, packing.  All but the last return rows with the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import common, packing
+from flowsieve.llm import common, exact_dedup, fertility, mixing, ngram_join, packing
 from flowsieve.session import ship_package
 from flowsieve.sources.tables import table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return fertility.drop_rejected(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ngram_join.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return mixing.sample(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of every document that is left."""
     ship_package(spark)
     return packing.with_crc(packing.pack(docs)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard_join", near_copies),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 

@@ -64,6 +64,13 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes:
     return big.join(small.hint("shuffle_hash"), on, how)
 
 
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the keys in ``gone`` (one column), columns as they were."""
+    gone = store(gone.toDF("_gone").filter("_gone is not null").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone.hint("shuffle_hash")
+    return docs.join(side, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Arrow record batches cut so that ``column`` has at most ``limit`` bytes (or one row) each."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import scratch_path
 
-from .common import grouped, join_checked, keyed, store
+from .common import grouped, join_checked, keyed, store, without
 
 WIDTH = 64
 GROWTH = 8
@@ -102,9 +102,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the equal texts that do not stay, columns as they were; ``key`` must be unique."""
-    gone = store(equal_groups(keyed(docs, key, text)).filter("grp != row_id").select(F.col("row_id").alias("_gone")),
-                 "copies")
-    n = gone.count()
-    gone = F.broadcast(gone) if n * 16 <= 48 << 20 else gone
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """``docs`` without the equal texts that do not stay, columns as they were.
+
+    A key that several rows share is dropped only if none of its rows stays.
+    """
+    judged = exact_dedup(docs, key, text)
+    return without(docs, key, judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"))

@@ -78,11 +78,15 @@ def draw(key: str) -> Column:
 
 def mix_sources(docs: DataFrame, targets: dict | None = None, rate: float = RATE, rounds: int = ROUNDS,
                 key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-                topic: Column | None = None) -> DataFrame:
-    """``doc_id, source, lang, topic`` (as classes), ``n_words, probability, selected`` of every row."""
+                topic: Column | None = None, carry: bool = False) -> DataFrame:
+    """``doc_id, source, lang, topic`` (as classes), ``n_words, probability, selected`` of every row.
+
+    ``carry`` adds the whole input row as ``row``.
+    """
     targets = targets or TARGETS
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(*row, F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
                        *([topic.alias("topic")] if topic is not None else []))
     rows = rows.withColumn("n_words", n_words())
@@ -92,7 +96,7 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, rate: float = RATE
     def listed(name: str) -> Column:
         return F.when(F.col(name).isin(*targets[name]), F.col(name)).otherwise("other").alias(name)
 
-    rows = rows.select("doc_id", *[listed(d) for d in DIMENSIONS], "n_words")
+    rows = rows.select(*["row"] * carry, "doc_id", *[listed(d) for d in DIMENSIONS], "n_words")
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_words").alias("n")).collect()  # bounded by the targets
     names = [tuple(c[d] for d in DIMENSIONS) for c in cells]
     chance = rake(names, np.array([c["n"] for c in cells], float), targets, rate, rounds)
@@ -102,6 +106,11 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, rate: float = RATE
             .withColumn("selected", draw("doc_id") < F.col("probability")))
 
 
+def sample(docs: DataFrame, **mix) -> DataFrame:
+    """The selected rows of ``docs``, columns as they were."""
+    return mix_sources(docs, carry=True, **mix).filter("selected").select("row.*")
+
+
 def _values(name: str, shares: dict) -> str:
     return ", ".join(f"('{name}', '{v}', {x}::double)" for v, x in shares.items())
 

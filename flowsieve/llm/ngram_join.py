@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, join_checked, keyed, mix, slices, store
+from .common import Words, join_checked, keyed, mix, slices, store, without
 from .components import components
 
 N, PERCENT = 3, 90
@@ -263,3 +263,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return join_checked(sets.select("row_id", "doc_id", "n", "cls"), named, "cls", "left", 48).select(
         "row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("class_id"),
         F.coalesce("group_least", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **join) -> DataFrame:
+    """``docs`` with the smallest key of every component only, columns as they were."""
+    linked = ngram_join(docs, key, text, **join)
+    return without(docs, key, linked.filter("doc_id != component_id").select("doc_id"))

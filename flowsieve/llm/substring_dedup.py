@@ -48,7 +48,9 @@ LENGTH = 50
 GRAM = 16
 LARGE = 20_000
 #: Stretches refined at once in a task.
-BLOCK = 50_000
+BLOCK = 4_000
+#: Text sampled at once: each byte takes some 150 in a task, and a cache holds this much.
+SAMPLE_BYTES = 512 << 10
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,14 +61,13 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def identifiers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash identifiers of the 16-grams and of the ``length``-byte strings at every place."""
-    at = {1: mix(raw.astype(np.uint64) + np.uint64(1))}
-    size = 1
+    now, size = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[raw], 1
+    grams = now
     while size * 2 <= length:
-        at[size * 2] = _join(at[size][:-size], at[size][size:])
-        size *= 2
+        now, size = _join(now[:-size], now[size:]), size * 2
+        grams = now if size == GRAM else grams
     n = max(len(raw) - length + 1, 0)
-    strings = at[size][:n] if size == length else _join(at[size][:n], at[size][length - size:length - size + n])
-    return at[GRAM], strings
+    return grams, now[:n] if size == length else _join(now[:n], now[length - size:length - size + n])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +114,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def sampled(rows: DataFrame, length: int) -> DataFrame:
     """``anchor, content, doc, at`` of every stretch; ``at`` is place * 256 + strings, negative if settled."""
     def scan(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=SAMPLE_BYTES):
             raw, offsets = utf8(b.column("text"))
             anchor, content, doc, place, size = stretches(raw, offsets, length)
             row = b.column("row_id").to_numpy()[doc]
@@ -193,7 +194,7 @@ def refine_contents(parts: DataFrame) -> DataFrame:
 def fetch(rows: DataFrame, wanted: DataFrame, n_places: int, length: int) -> DataFrame:
     """``anchor, doc, at, data``: the bytes of the wanted stretches (``row_id, places``)."""
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=4 * SAMPLE_BYTES):
             docs, ats, data = [], [], []
             for row, text, places in zip(b.column("row_id").to_pylist(), b.column("text"), b.column("places")):
                 raw = text.as_buffer().to_pybytes()

@@ -123,29 +123,30 @@ def sampled(rows: DataFrame, length: int) -> DataFrame:
             fresh = np.ones(len(x), bool)
             fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             least = z[fresh][np.cumsum(fresh) - 1]
-            later = z > least
-            at = (place[order] << 8) | size[order]
-            # settled rows need no bucket: spread them by place
+            later = np.empty(len(x), bool)
+            later[order] = z > least
+            at = (place << 8) | size
+            # text order, so that rows next to each other compress; settled rows need no bucket and go by document
             yield pa.RecordBatch.from_arrays(
-                [_long(np.where(later, mix((z.astype(np.uint64) << np.uint64(20)) + at.astype(np.uint64)), x)), _long(y), _long(z),
-                 _long(np.where(later, -at, at))], ["anchor", "content", "doc", "at"])
+                [_long(np.where(later, mix(row.astype(np.uint64)), anchor)), _long(np.where(later, np.uint64(0), content)),
+                 _long(row), _long(np.where(later, -at, at))], ["anchor", "content", "doc", "at"])
 
     return rows.select("row_id", "text").mapInArrow(scan, "anchor long, content long, doc long, at long")
 
 
 def refine_contents(parts: DataFrame) -> DataFrame:
-    """``open, doc, at``: removed stretches (not open), and those whose strings are to be refined (open)."""
+    """``anchor, doc, at``: stretches whose strings are to be refined, and removed ones (null anchor)."""
     def run(batches):
         # state of the anchor bucket that the last batch ended in
         last = None  # anchor, content, least doc of the content
         seen, mixed = None, False  # first least doc of the bucket; whether it has several
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
             x, y, doc, at = (b.column(c).to_numpy() for c in ("anchor", "content", "doc", "at"))
             settled = at < 0
-            out_doc, out_at, out_open = [doc[settled]], [-at[settled]], [np.zeros(int(settled.sum()), bool)]
+            gone, still = [(doc[settled], -at[settled])], []
             x, y, doc, at = x[~settled], y[~settled], doc[~settled], at[~settled]
             if len(x):
                 new_x = np.ones(len(x), bool)
@@ -158,48 +159,62 @@ def refine_contents(parts: DataFrame) -> DataFrame:
                     stop = np.flatnonzero(new_y)[1] if new_y.sum() > 1 else len(x)
                     least[:stop] = last[2]
                 later = doc > least
-                out_doc.append(doc[later])
-                out_at.append(at[later])
-                out_open.append(np.zeros(int(later.sum()), bool))
+                gone.append((doc[later], at[later]))
                 begin = np.flatnonzero(new_x)
                 low, high = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin)
                 several = low != high
                 if goes_on and (mixed or seen != low[0]):
                     several[0] = True
                 if goes_on and several[0] and waiting:
-                    out_doc += [d for d, _ in waiting]
-                    out_at += [t for _, t in waiting]
-                    out_open += [np.ones(len(d), bool) for d, _ in waiting]
+                    still += waiting
                 if not goes_on or several[0] or len(begin) > 1:
                     waiting = []
                 end = begin[-1]
                 bucket = np.cumsum(new_x) - 1
                 now = ~later & several[bucket]
-                out_doc.append(doc[now])
-                out_at.append(at[now])
-                out_open.append(np.ones(int(now.sum()), bool))
+                still.append((doc[now], at[now], x[now]))
                 if not several[-1]:  # all of one document so far
                     keep = ~later[end:]
-                    waiting.append((doc[end:][keep], at[end:][keep]))
+                    waiting.append((doc[end:][keep], at[end:][keep], x[end:][keep]))
                 seen = seen if goes_on and len(begin) == 1 else low[-1]
                 mixed = bool(several[-1])
                 last = (x[-1], y[-1], least[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_open)), _long(np.concatenate(out_doc)),
-                                              _long(np.concatenate(out_at))], ["open", "doc", "at"])
+            every = [*gone, *still]
+            anchor = pa.concat_arrays([pa.nulls(sum(len(g[0]) for g in gone), pa.int64()), *[_long(t[2]) for t in still]])
+            yield pa.RecordBatch.from_arrays([anchor, _long(np.concatenate([t[0] for t in every])),
+                                              _long(np.concatenate([t[1] for t in every]))], ["anchor", "doc", "at"])
 
     return (parts.repartition("anchor").sortWithinPartitions("anchor", "content", "doc")
-            .mapInArrow(run, "open boolean, doc long, at long"))
+            .mapInArrow(run, "anchor long, doc long, at long"))
 
 
-def fetch(rows: DataFrame, wanted: DataFrame, n_places: int, length: int) -> DataFrame:
-    """``anchor, doc, at, data``: the bytes of the wanted stretches (``row_id, places``)."""
+def places_of(found: DataFrame) -> DataFrame:
+    """``row_id, places``: the wanted stretches of a document, packed (4 bytes each, or 8 in texts of over 64 MB)."""
+    def pack(batches):
+        for b in batches:
+            out = []
+            for places in b.column("places"):
+                at = np.sort(places.values.to_numpy())
+                small = (at >> 8 << 6) | (at & 255)
+                out.append(small.astype("<u4" if small[-1] < 1 << 32 else "<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([len(p) for p in b.column("places")], pa.int64()),
+                                              pa.array(out, pa.binary())], ["row_id", "n", "places"])
+
+    return (found.groupBy(F.col("doc").alias("row_id")).agg(F.collect_list("at").alias("places"))  # of one document
+            .mapInArrow(pack, "row_id long, n long, places binary"))
+
+
+def fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``anchor, doc, at, data``: the bytes of the wanted stretches (stored ``places_of``)."""
     def run(batches):
         for b in slices(batches, limit=4 * SAMPLE_BYTES):
             docs, ats, data = [], [], []
-            for row, text, places in zip(b.column("row_id").to_pylist(), b.column("text"), b.column("places")):
+            for row, text, n, places in zip(b.column("row_id").to_pylist(), b.column("text"), b.column("n").to_pylist(),
+                                            b.column("places")):
                 raw = text.as_buffer().to_pybytes()
-                at = places.values.to_numpy()
-                place, end = at >> 8, (at >> 8) + (at & 255) + length - 1
+                small = np.frombuffer(places.as_buffer(), f"<u{len(places.as_buffer()) // n}").astype(np.int64)
+                place, size = small >> 6, small & 63
+                at, end = (place << 8) | size, place + size + length - 1
                 data += [raw[s:e] for s, e in zip(place.tolist(), end.tolist())]
                 docs.append(np.full(len(at), row))
                 ats.append(at)
@@ -212,8 +227,8 @@ def fetch(rows: DataFrame, wanted: DataFrame, n_places: int, length: int) -> Dat
             yield pa.RecordBatch.from_arrays([_long(anchor), _long(np.concatenate(docs)), _long(np.concatenate(ats)),
                                               pa.array(data, pa.binary())], ["anchor", "doc", "at", "data"])
 
-    docs = wanted.count()
-    joined = join_checked(rows.select("row_id", "text"), wanted, "row_id", "inner", 64, docs, 8 * n_places)
+    total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("places")), F.lit(0))).first()
+    joined = join_checked(rows.select("row_id", "text"), wanted, "row_id", "inner", 64, total[0], total[1])
     return joined.mapInArrow(run, "anchor long, doc long, at long, data binary")
 
 
@@ -327,17 +342,19 @@ def spans_of(removed: DataFrame, length: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
                     large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """``doc_id, kept`` (bytes), ``n_bytes, n_removed, starts, ends`` (removed spans) of every row."""
+    if not GRAM <= length < GRAM + 63:
+        raise ValueError(f"length must be {GRAM} to {GRAM + 62}")
     rows = keyed(docs, key, text)
     found = store(refine_contents(sampled(rows, length)), "contents")
-    wanted = store(found.filter("open").groupBy(F.col("doc").alias("row_id")).agg(F.collect_list("at").alias("places")), "wanted")
-    contexts = store(fetch(rows, wanted, found.filter("open").count(), length), "contexts")
-    # anchors of very many stretches: at most 1 / large of them
-    crowded = store(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("anchor"), "crowded")
-    removed = found.filter("not open").select("doc", "at")
+    removed, still = found.filter("anchor is null").select("doc", "at"), found.filter("anchor is not null")
+    # anchors of very many stretches: at most 1 / large of all
+    crowded = store(still.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("anchor"), "crowded")
     if crowded.limit(1).count():
-        removed = removed.unionByName(refine_large(join_checked(contexts, crowded, "anchor", "left_semi", 16), length))
-        contexts = join_checked(contexts, crowded, "anchor", "left_anti", 16)
-    removed = removed.unionByName(refine_strings(contexts, length, block))
+        dense = store(places_of(join_checked(still, crowded, "anchor", "left_semi", 16)), "dense")
+        removed = removed.unionByName(refine_large(fetch(rows, dense, length), length))
+        still = join_checked(still, crowded, "anchor", "left_anti", 16)
+    wanted = store(places_of(still), "wanted")
+    removed = removed.unionByName(refine_strings(fetch(rows, wanted, length), length, block))
     spans = store(spans_of(removed, length), "spans")
     n_spans = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
     joined = join_checked(rows, spans, "row_id", "left", 96, more=16 * n_spans)

@@ -50,6 +50,7 @@ N, PERCENT = 3, 90
 FREQUENT = 2000
 #: Shingles a task counts before it sends what may be frequent.
 CHUNK = 2_000_000
+#: Bits of a parity sketch: the next power of two from half the set size, this at least.
 SKETCH_BITS = 512
 #: Mean size of a class of frequent shingles.
 CLASS_SIZE = 16
@@ -139,9 +140,23 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles per bit."""
-    bits = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parity of the number of shingles per bit; half as many bits are the first half xor the second."""
+    bits = max(SKETCH_BITS, 1 << max(len(shingles) // 2 - 1, 0).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, folded to the shorter of the two."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0).tolist():
+        at = np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb))
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        least = min(x.shape[1], y.shape[1])
+        x, y = (np.bitwise_xor.reduce(v.reshape(len(at), -1, least), axis=1) for v in (x, y))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -184,8 +199,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, n_classes: int) -
 
     def run(batches):
         for b in batches:
-            sides = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("s_a", "s_b")]
-            differ = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+            differ = differing(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())
             both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
             # |a xor b| <= (1 - j) / (1 + j) * (|a| + |b|)
             yield b.select(extra).filter(pa.array(differ * (100 + percent) <= (100 - percent) * both))

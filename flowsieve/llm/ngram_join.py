@@ -16,10 +16,11 @@ size s may miss at most t = s - ceil(s * percent / 100) shingles of a partner.
    linked sets, the one whose prefix ends first keeps a rare shingle or a pair in
    the other's prefix.
 3. Equal sets are one class from here on.  Every index entry with two or more
-   classes offers each class the entry's smallest class as partner; pairs are
-   cut by size and by a parity sketch (the number of differing bits never exceeds
-   the number of differing shingles), and each class's best candidate is verified
-   on the real sets.  Linked classes are merged into components.
+   classes offers each class one partner, a class picked by hash (in a second
+   round: one of another component); pairs are cut by size and by a parity
+   sketch (the number of differing bits never exceeds the number of differing
+   shingles), and each class's nearest candidate is verified on the real sets.
+   Linked classes are merged into components.
 4. Only pairs of one entry that are still in different components are left.
    They are cut the same way and all verified.  So no group emits all its pairs,
    and no link between different components is missed.
@@ -47,7 +48,9 @@ from .components import components
 
 N, PERCENT = 3, 90
 #: A shingle is frequent in at least one of so many documents.
-FREQUENT = 2000
+FREQUENT = 8000
+#: Rounds in which every class is offered one partner per entry before the remaining pairs are listed.
+ROUNDS = 2
 #: Shingles a task counts before it sends what may be frequent.
 CHUNK = 2_000_000
 #: Bits of a parity sketch: the next power of two from half the set size, this at least.
@@ -160,7 +163,10 @@ def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``row_id, doc_id, n, cls, sketch, entries`` of every row; ``cls`` is a hash of the whole set."""
+    """``row_id, doc_id, n, cls, sketch, p, q, entries`` of every row.
+
+    ``cls`` is a hash of the whole set; ``p`` and ``q`` are the sketch folded to 128 bits.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches):
@@ -179,33 +185,35 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
             cls = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             flat = np.concatenate(entries) if entries else np.zeros(0, np.int64)
             borders = np.concatenate(([0], np.cumsum([len(x) for x in entries]))).astype(np.int32)
+            sketches = [sketch(s) for s in sets]
+            short = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 2), axis=0) for x in sketches])
+            short = short.reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()),
-                 pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
-                ["row_id", "doc_id", "n", "cls", "sketch", "entries"])
+                [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()),
+                 pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
+                ["row_id", "doc_id", "n", "cls", "sketch", "p", "q", "entries"])
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
-        scan, "row_id long, doc_id long, n long, cls long, sketch binary, entries array<long>")
+        scan, "row_id long, doc_id long, n long, cls long, sketch binary, p long, q long, entries array<long>")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, n_classes: int) -> DataFrame:
-    """Pairs (a, b and whatever else) that size and sketch allow to link."""
+    """Pairs (a, b) that size and sketch allow to link, with ``gap``: the least distance the sketch proves."""
     for side in ("a", "b"):
         own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
         pairs = join_checked(pairs, own, side, "inner", 120, n_classes)
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     pairs = pairs.filter(100 * small >= percent * large)
-    extra = [c for c in pairs.columns if c not in ("n_a", "n_b", "s_a", "s_b")]
 
     def run(batches):
         for b in batches:
             differ = differing(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())
             both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
             # |a xor b| <= (1 - j) / (1 + j) * (|a| + |b|)
-            yield b.select(extra).filter(pa.array(differ * (100 + percent) <= (100 - percent) * both))
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(differ / both)], ["a", "b", "gap"])
+            yield out.filter(pa.array(differ * (100 + percent) <= (100 - percent) * both))
 
-    kinds = dict(pairs.dtypes)
-    return pairs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in extra))
+    return pairs.mapInArrow(run, "a long, b long, gap double")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -235,6 +243,22 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percen
     return both.mapInArrow(check, "a long, b long")
 
 
+def unsettled(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of entries in which several components meet, with their ``component``."""
+    held = met.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = held.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("entry")
+    return held.join(mixed, "entry")
+
+
+def offers(held: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs: every class with one class of its entry's least component, or of the greatest if it is in that."""
+    pick = F.col("cls").bitwiseXOR(F.xxhash64("entry", F.lit(turn)))
+    leads = held.groupBy("entry", "component").agg(F.min(F.struct(pick.alias("k"), "cls")).alias("lead"))
+    ends = leads.groupBy("entry").agg(F.min(F.struct("component", "lead.cls")).alias("x"), F.max(F.struct("component", "lead.cls")).alias("y"))
+    lead = F.when(F.col("component") == F.col("x.component"), F.col("y.cls")).otherwise(F.col("x.cls"))
+    return held.select("entry", "cls", "component").join(ends, "entry").select(lead.alias("a"), F.col("cls").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT,
                frequent: int = FREQUENT) -> DataFrame:
     """``row_id, doc_id, n_shingles, class_id, component_id`` of every row."""
@@ -245,30 +269,35 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.count(F.lit(1)).alias("members")), "classes")
     n_classes = classes.count()
-    entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
-    shared = store(entries.groupBy("entry").agg(F.min("cls").alias("lead"), F.max("cls").alias("last"))
-                   .filter("lead < last").select("entry", "lead"), "shared")
-    met = store(join_checked(entries, shared, "entry", "inner", 32).select("entry", "cls", "lead").distinct(), "met")
-
-    # one verified link for each class, with the lead it shares most entries with
-    offers = met.filter("cls != lead").groupBy(F.col("cls").alias("b"), F.col("lead").alias("a")).agg(F.count(F.lit(1)).alias("k"))
-    best = store(likely(offers, classes, percent, n_classes).groupBy("b").agg(F.max(F.struct("k", "a")).alias("best"))
-                 .select("b", F.col("best.a").alias("a")), "offers")
-    links = store(verify(best, rows, classes, n, percent), "links-1")
-    parts = store(components(links), "components-1")
+    entries = sets.filter("n > 0").select("cls", "n", "p", "q", F.explode("entries").alias("entry"))
+    shared = store(entries.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
+                   .select("entry"), "shared")
+    met = store(join_checked(entries, shared, "entry", "inner", 24).distinct(), "met")
+
+    links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+    for k in range(ROUNDS):
+        held = store(unsettled(met, parts), f"held-{k}")
+        near = store(likely(offers(held, k), classes, percent, n_classes).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
+                     .select("b", F.col("best.a").alias("a")), "offers")
+        if not near.limit(1).count():
+            break
+        new = store(verify(near, rows, classes, n, percent), f"links-{k}")
+        links = new if links is None else links.unionByName(new)
+        parts = store(components(links), f"components-{k}")
 
     # what is left within an entry: pairs of different components
-    held = store(met.select("entry", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-                 .withColumn("component", F.coalesce("component", "cls")), "held")
-    open_entries = held.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("entry")
-    held = store(held.join(open_entries, "entry"), "open")
-    left = held.select("entry", F.col("cls").alias("a"), F.col("component").alias("c"))
-    right = held.select("entry", F.col("cls").alias("b"), F.col("component").alias("d"))
-    crossing = left.join(right, "entry").filter("c != d and a < b").select("a", "b").distinct()
+    held = store(unsettled(met, parts), "open")
+    left = held.select("entry", *[F.col(c).alias(f"{c}_a") for c in ("cls", "component", "n", "p", "q")])
+    right = held.select("entry", *[F.col(c).alias(f"{c}_b") for c in ("cls", "component", "n", "p", "q")])
+    bits = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b"))
+                & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+    crossing = left.join(right, "entry").filter(possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     more = store(likely(crossing, classes, percent, n_classes), "crossing")
     if more.limit(1).count():
-        links = links.unionByName(verify(more, rows, classes, n, percent).select("a", "b"))
-        parts = store(components(links), "components-2")
+        new = verify(more, rows, classes, n, percent)
+        parts = store(components(new if links is None else links.unionByName(new)), "components")
 
     of_class = classes.select("cls", "least", "members").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     least = of_class.filter("component is not null").groupBy("component").agg(F.min("least").alias("group_least"))

@@ -14,7 +14,7 @@ from flowsieve.session import scratch_path, shuffle_partitions
 #: A side of a join is broadcast only when its stored size is at most this.
 BROADCAST_BYTES = 48 << 20
 #: Text handled at once inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

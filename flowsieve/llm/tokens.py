@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,7 @@ PROBE = "It's  the CAFÉ,\n\tİstanbul: 12,345 #tags && <b>naïve</b> ...ok 's x
 
 SIMPLE_PROBE = "The end. A,b;c--d 12 3x4y!? ÀÉÎÕÜ ßÿ ñandú\t(#tag) $5.00 \"quoted\" x_y <b>&amp;</b> UP!!"
 #: What the vocabulary's pattern separates besides letters; apostrophes (contractions) are not simple.
-CUT = r"([^\x09-\x0d\x20\pL\pN]+|\pN)"
+CUT = r"([!-/:-@\[-`{-~]+|[0-9])"
 #: Bytes of simple texts: ASCII but for control characters and the apostrophe, and the Latin-1 letters.
 SIMPLE = np.zeros(256, bool)
 SIMPLE[[*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = True
@@ -55,14 +56,14 @@ def simple(texts) -> np.ndarray:
 class WordEncoder:
     """Ids of texts as the library gives them with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width = "<u2" if self.tok.get_vocab_size() < 1 << 16 else "<u4"
+        self.width, self.kind = ("<u2", "H") if self.tok.get_vocab_size() < 1 << 16 else ("<u4", "I")
         self.words, self.pieces = TwoAges(capacity), TwoAges(capacity)
         self.by_piece = self._cuts_alike()
         self.by_word = self._whole([PROBE])[0] == b"".join(self._whole(PROBE.split()))
@@ -76,7 +77,7 @@ class WordEncoder:
         return ids.tobytes() == self._whole([SIMPLE_PROBE])[0]
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]

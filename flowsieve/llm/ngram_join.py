@@ -48,7 +48,7 @@ from .components import components
 
 N, PERCENT = 3, 90
 #: A shingle is frequent in at least one of so many documents.
-FREQUENT = 8000
+FREQUENT = 16000
 #: Rounds in which every class is offered one partner per entry before the remaining pairs are listed.
 ROUNDS = 2
 #: Shingles a task counts before it sends what may be frequent.

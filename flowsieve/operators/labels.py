@@ -60,8 +60,8 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(F.col(label).alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_distribution(df: DataFrame, label: str = "label", top: int = 15) -> DataFrame:
-    """Count and percent per class, largest first; the top ``top`` classes and the number left over.
+def class_distribution(df: DataFrame, label: str = "label", top: int | None = None) -> DataFrame:
+    """Count, percent and rank of every class; with ``top``, of the largest ones and the number left over.
 
     The window runs over one row per class, not over the data.
     """
@@ -72,9 +72,10 @@ def class_distribution(df: DataFrame, label: str = "label", top: int = 15) -> Da
         "class_name", "n",
         (F.lit(100.0) * F.col("n") / F.sum("n").over(w_all)).alias("pct"),
         F.row_number().over(w_rank).alias("rank"),
-        F.greatest(F.count(F.lit(1)).over(w_all) - F.lit(top), F.lit(0)).alias("n_other_classes"),
+        (F.greatest(F.count(F.lit(1)).over(w_all) - F.lit(top), F.lit(0)) if top is not None else F.lit(0))
+        .cast("long").alias("n_other_classes"),
     )
-    return ranked.where(F.col("rank") <= top)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def balance_check(df: DataFrame, label: str = "label") -> DataFrame:

@@ -122,10 +122,13 @@ def _round_fn(states: list[SgdState]):
 
 def prepare(df: DataFrame, features: str, label_idx: str, weight: str | None, key, seed: int,
             num_partitions: int) -> DataFrame:
-    """Hash-partition and seed-sort the training rows (deterministic order per partition)."""
+    """Hash-partition and seed-sort the training rows (deterministic order per partition).
+
+    Rows without a known label teach nothing and are left out.
+    """
     h = F.xxhash64(key, F.lit(seed))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return (df.select(F.col(features).alias("features"), F.col(label_idx).cast("int").alias("label_idx"),
+    return (df.where(F.col(label_idx).isNotNull()).select(F.col(features).alias("features"), F.col(label_idx).cast("int").alias("label_idx"),
                       w.alias("weight"), h.alias("__h"))
             .repartition(num_partitions, "__h").sortWithinPartitions("__h").drop("__h"))
 
@@ -146,6 +149,8 @@ def fit(data: DataFrame, states: list[SgdState], rounds: int) -> list[SgdState]:
         new_b = {n: s.b.copy() for n, s in by_cfg.items()}
         steps = {n: 0.0 for n in by_cfg}
         for r in avg:
+            if r["w"] is None or not np.isfinite(r["w"]):
+                raise ValueError(f"{r['config']}: a coefficient is not finite; check features and weights")
             if r["feature_index"] < 0:
                 new_b[r["config"]][r["class_index"]] = r["w"]
             else:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contract import (ALERT_THRESHOLD, AUDIT_BENIGN_EVERY, AUDIT_MAX_LINES, BENIGN_LABELS,
+from ..contract import (ALERT_THRESHOLD, AUDIT_BENIGN_EVERY, BENIGN_LABELS,
                         BLOCK_THRESHOLD, FIREWALL_WHITELIST, MIN_PACKETS_TO_ALERT,
                         MIN_PACKETS_TO_BLOCK, MISSING_CONFIDENCE, REPEAT_ATTACK_COUNT)
 from . import scan
@@ -129,20 +129,20 @@ def engine_counters(decided: DataFrame) -> DataFrame:
     )
 
 
-def audit_sample(decided: DataFrame, every: int = AUDIT_BENIGN_EVERY, max_lines: int = AUDIT_MAX_LINES,
+def audit_sample(decided: DataFrame, every: int = AUDIT_BENIGN_EVERY, max_lines: int | None = None,
                  sample_from: DataFrame | None = None) -> DataFrame:
     """Audit rows: every non-benign decision, benign ones whose prediction number is a
-    multiple of ``every``; the first ``max_lines`` in prediction order.
+    multiple of ``every``; all of them, or the first ``max_lines`` in prediction order.
 
     Prediction numbers are a global running number (scan, not an
-    un-partitioned window); the cut is an ordered top-k, bounded by ``max_lines``.
+    un-partitioned window); a cut is an ordered top-k.
     ``sample_from`` (e.g. the raw verdict rows) saves re-running the decision
     pipeline just to place the scan's slice boundaries.
     """
     scored = decided.where(F.col("decision") != "SAFE_LIST")
     numbered = scan.row_number(scored, [], ORDER, "prediction_no", sample_from=sample_from)
     logged = numbered.where((F.col("decision") != "BENIGN") | (F.col("prediction_no") % every == 0))
-    return logged.orderBy("prediction_no").limit(max_lines)
+    return logged if max_lines is None else logged.orderBy("prediction_no").limit(max_lines)
 
 
 def percent_text(c: Column) -> Column:

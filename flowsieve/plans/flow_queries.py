@@ -183,8 +183,8 @@ def q_known_class_semi(spark, sf_dir):
     f"SELECT class_name, n, {sr('pct')} AS pct, rank, n_other_classes FROM ("
     "SELECT class_name, n, cast(100 AS double) * n / sum(n) OVER () AS pct, "
     "row_number() OVER (ORDER BY n DESC, class_name) AS rank, "
-    "greatest(count(*) OVER () - 15, 0) AS n_other_classes "
-    "FROM (SELECT label AS class_name, count(*) AS n FROM flows GROUP BY 1) AS c) AS x WHERE rank <= 15",
+    "0 AS n_other_classes "
+    "FROM (SELECT label AS class_name, count(*) AS n FROM flows GROUP BY 1) AS c) AS x",
     "flows"))
 def q_class_distribution(spark, sf_dir):
     out = labels.class_distribution(fx.load(spark, sf_dir, "flows"))

@@ -10,7 +10,7 @@ class lists, scaler parameters and coefficients (bounded by the model).
 from __future__ import annotations
 
 import json
-import time
+
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -89,17 +89,14 @@ def predictions(df: DataFrame, models: list[linear.LinearModel], classes: list[s
 def _training_rows(df: DataFrame, classes: list[str], raw: list[str], scaler: dict, chunk: str) -> DataFrame:
     v = vectors(df, raw, scaler, ["row_key", "label_group", chunk])
     v = v.withColumn("label_idx", F.try_element_at(index_map(classes), F.col("label_group")))
-    return sampling.balanced_weights(v, chunk, "label_group")
+    # null and unknown labels go before the weights are balanced
+    return sampling.balanced_weights(v.where(F.col("label_idx").isNotNull()), chunk, "label_group")
 
 
 def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw: list[str], scaler: dict,
-                order: str = "__order", passes: int = GRID_PASSES, time_budget: float = 300.0,
+                order: str = "__order", passes: int = GRID_PASSES,
                 seed: int = 42) -> tuple[dict, list[dict]]:
-    """Every grid point trained in the same passes; macro F1 on the held-out 20 %; the first best wins.
-
-    The time budget is checked between passes (all points share passes).
-    With no finished pass the default parameters are returned.
-    """
+    """Every grid point trained in the same ``passes``; macro F1 on the held-out 20 %; the first best wins."""
     # the tuning sample is bounded by files x rows_per_file: materialise it once
     # (reliable checkpoint in the shared folder) instead of recomputing its lineage
     split = cut_lineage(sampling.ordered_split(sample, order, 0.8))
@@ -110,15 +107,8 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
     data = sgd.prepare(rows, "features", "label_idx", "weight", F.col("row_key"), seed, n).cache()
     cfgs = grid_configs()
     states = sgd.init_states(cfgs, len(classes), len(raw) + len(DERIVED_FEATURES))
-    start, done = time.time(), 0
-    for _ in range(passes):
-        if time.time() - start > time_budget:
-            break
-        states = sgd.fit(data, states, 1)
-        done += 1
+    states = sgd.fit(data, states, passes)
     data.unpersist()
-    if done == 0:
-        return dict(GRID_DEFAULT), []
     vv = vectors(val, raw, scaler, ["label_group"])
     groups = {st.config.name: [st.to_model()] for st in states}
     preds = linear.predict_many(vv, "features", groups, classes, ["label_group"]).select(
@@ -128,7 +118,7 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
     for c in cfgs:
         r = scores[c.name]
         results.append({"alpha": c.alpha, "loss": c.loss, "penalty": c.penalty,
-                        "f1_macro": r["f1_macro"], "f1_weighted": r["f1_weighted"], "passes": done})
+                        "f1_macro": r["f1_macro"], "f1_weighted": r["f1_weighted"], "passes": passes})
         if r["f1_macro"] > best_f1:
             best_f1, best = r["f1_macro"], {"alpha": c.alpha, "loss": c.loss, "penalty": c.penalty}
     return best or dict(GRID_DEFAULT), results
@@ -136,8 +126,7 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
 
 def train(spark: SparkSession, flows: DataFrame, file_col: str = "file_id", tune: bool = True,
           epochs: int = EPOCHS_PER_CHUNK, rows_per_file: int = TEST_ROWS_PER_FILE,
-          max_rows_per_class: int = TEST_MAX_ROWS_PER_CLASS, seed: int = 42,
-          time_budget: float = 300.0) -> tuple[TrainedModel, DataFrame]:
+          max_rows_per_class: int = TEST_MAX_ROWS_PER_CLASS, seed: int = 42) -> tuple[TrainedModel, DataFrame]:
     """Returns the trained model and the test-set vectors used to evaluate it."""
     roles = detect_columns(flows.schema)
     raw = roles.features
@@ -153,7 +142,7 @@ def train(spark: SparkSession, flows: DataFrame, file_col: str = "file_id", tune
         sample = sampling.tuning_sample(train_rows, file_col, "row_key", TUNING_FILES, TUNING_ROWS_PER_FILE, seed)
         picks = sampling.pick_files(train_rows, file_col, TUNING_FILES, seed)
         sample = sample.join(picks, file_col).withColumn("__order", F.struct("pick_rank", "row_key"))
-        best, grid = grid_search(spark, sample, classes, raw, scaler, time_budget=time_budget, seed=seed)
+        best, grid = grid_search(spark, sample, classes, raw, scaler, seed=seed)
     rows = _training_rows(train_rows, classes, raw, scaler, file_col)
     data = sgd.prepare(rows, "features", "label_idx", "weight", F.col("row_key"), seed,
                        shuffle_partitions(spark)).cache()

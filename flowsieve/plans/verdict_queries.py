@@ -95,8 +95,7 @@ def q_engine_counters(spark, sf_dir):
 @register("audit_sample", _decide_sql(
     f"SELECT prediction_no, event_id, src_ip, decision, escalated, {sr('confidence')} AS confidence FROM ("
     "SELECT *, row_number() OVER (ORDER BY ts, event_id) AS prediction_no FROM decided "
-    "WHERE decision <> 'SAFE_LIST') AS n WHERE decision <> 'BENIGN' OR prediction_no % 10 = 0 "
-    "ORDER BY prediction_no LIMIT 10000"))
+    "WHERE decision <> 'SAFE_LIST') AS n WHERE decision <> 'BENIGN' OR prediction_no % 10 = 0"))
 def q_audit_sample(spark, sf_dir):
     out = verdicts.audit_sample(decided(spark, sf_dir), sample_from=fx.load(spark, sf_dir, "verdict_in"))
     return out.select("prediction_no", "event_id", "src_ip", "decision", "escalated",

@@ -151,6 +151,17 @@ class Words:
         return np.arange(n) + width <= end
 
 
+_HELD: dict = {}
+
+
+def worker_cache(name, make):
+    """What a Python worker keeps between tasks: one operator's at a time, as workers serve all stages."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class TwoAges:
     """Cache of at most two generations of ``capacity`` entries; the older one is dropped whole."""
 

@@ -19,15 +19,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, Words, mix, segment_sums, slices, utf8
+from .common import TwoAges, Words, mix, segment_sums, slices, utf8, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 WHITE = " \t\n\r\x0b\f"
@@ -62,7 +60,7 @@ def default_vocabulary() -> str:
 class PieceCounter:
     """Token ids of words, cached; which ids are single bytes."""
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,9 +74,8 @@ class PieceCounter:
         return self.words.lookup(words, self._new)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return worker_cache(("pieces", path), lambda: PieceCounter(path))
 
 
 def repeated_words(w: Words, width: int = WINDOW) -> np.ndarray:
@@ -140,9 +137,17 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
     """Counts and token measures of every row; see ``SCHEMA``.  ``carry`` adds the whole input row as ``row``."""
     vocabulary, bands = vocabulary or default_vocabulary(), bands or BANDS
 
+    def read(batches):
+        """The text of a carried row is taken from the row, not sent twice."""
+        for b in batches:
+            if carry:
+                own = pc.fill_null(pc.struct_field(b.column("row"), [text]), "")
+                b = pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, "text"])
+            yield b
+
     def run(batches):
         c = counter(vocabulary)
-        for b in slices(batches):
+        for b in slices(read(batches)):
             texts = b.column("text")
             w = Words(texts)
             known = c.ids(w.distinct.to_pylist())
@@ -174,8 +179,8 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
 
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
     row = [F.struct(*docs.columns).alias("row")] if carry else []
-    rows = docs.select(*row, F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                       language.alias("lang"))
+    content = [] if carry else [F.coalesce(F.col(text), F.lit("")).alias("text")]
+    rows = docs.select(*row, F.col(key).cast("long").alias("doc_id"), *content, language.alias("lang"))
     return rows.mapInArrow(run, (f"row {rows.schema['row'].dataType.simpleString()}, " if carry else "") + SCHEMA)
 
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, Words, mix, slices
+from .common import TwoAges, Words, mix, slices, worker_cache
 
 BITS = 20
 MAX_ROWS = 20_000
@@ -53,9 +52,8 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", _SHAPE.sub(run, plain))
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> TwoAges:
-    return TwoAges(300_000)
+    return worker_cache("hashes", lambda: TwoAges(100_000))
 
 
 def _hash_words(words: list[str]) -> list[tuple[int, int]]:

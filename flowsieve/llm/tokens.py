@@ -13,14 +13,13 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, Words, segment_sums, slices, utf8
+from .common import TwoAges, Words, segment_sums, slices, utf8, worker_cache
 
 #: Id appended to every document.
 END_ID = 1
@@ -141,10 +140,9 @@ class WordEncoder:
         return out, np.concatenate(([0], ends))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder (and cache) per Python worker."""
-    return WordEncoder(path)
+    return worker_cache(("ids", path), lambda: WordEncoder(path))
 
 
 def pack_ids(ids: np.ndarray) -> bytes:

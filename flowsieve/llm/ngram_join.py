@@ -15,8 +15,8 @@ size s may miss at most t = s - ceil(s * percent / 100) shingles of a partner.
    of the set size, and a set close to a border uses both class counts.  Of two
    linked sets, the one whose prefix ends first keeps a rare shingle or a pair in
    the other's prefix.
-3. Equal sets are one class from here on.  Every index entry with two or more
-   classes offers each class one partner, a class picked by hash (in a second
+3. Equal sets are one class from here on.  Of index entries in which the same
+   classes meet, one is kept.  Every entry with two or more classes offers each class one partner, a class picked by hash (in a second
    round: one of another component); pairs are cut by size and by a parity
    sketch (the number of differing bits never exceeds the number of differing
    shingles), and each class's nearest candidate is verified on the real sets.
@@ -163,9 +163,9 @@ def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``row_id, doc_id, n, cls, sketch, p, q, entries`` of every row.
+    """``row_id, doc_id, n, cls, sketch, folded, entries`` of every row.
 
-    ``cls`` is a hash of the whole set; ``p`` and ``q`` are the sketch folded to 128 bits.
+    ``cls`` is a hash of the whole set; ``folded`` is the sketch folded to ``SKETCH_BITS`` bits.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -186,15 +186,14 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
             flat = np.concatenate(entries) if entries else np.zeros(0, np.int64)
             borders = np.concatenate(([0], np.cumsum([len(x) for x in entries]))).astype(np.int32)
             sketches = [sketch(s) for s in sets]
-            short = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 2), axis=0) for x in sketches])
-            short = short.reshape(-1, 2)
+            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, SKETCH_BITS // 64), axis=0) for x in sketches]
             yield pa.RecordBatch.from_arrays(
                 [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()),
-                 pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
-                ["row_id", "doc_id", "n", "cls", "sketch", "p", "q", "entries"])
+                 pa.array(short, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
+                ["row_id", "doc_id", "n", "cls", "sketch", "folded", "entries"])
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
-        scan, "row_id long, doc_id long, n long, cls long, sketch binary, p long, q long, entries array<long>")
+        scan, "row_id long, doc_id long, n long, cls long, sketch binary, folded array<long>, entries array<long>")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, n_classes: int) -> DataFrame:
@@ -243,6 +242,13 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percen
     return both.mapInArrow(check, "a long, b long")
 
 
+def one_of_each(met: DataFrame) -> DataFrame:
+    """Rows (cls, entry) of one entry for each set of classes that meet: entries of the same classes offer the same pairs."""
+    kinds = met.groupBy("entry").agg(
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    return met.join(kinds.groupBy("x", "members", "low", "high").agg(F.min("entry").alias("entry")).select("entry"), "entry")
+
+
 def unsettled(met: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows of entries in which several components meet, with their ``component``."""
     held = met.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -267,16 +273,17 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     sets = store(index_sets(rows, n, percent, often), "shingle-index")
     classes = store(sets.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
-        F.count(F.lit(1)).alias("members")), "classes")
+        F.min("folded").alias("folded"), F.count(F.lit(1)).alias("members")), "classes")
     n_classes = classes.count()
-    entries = sets.filter("n > 0").select("cls", "n", "p", "q", F.explode("entries").alias("entry"))
+    entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
     shared = store(entries.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
                    .select("entry"), "shared")
     met = store(join_checked(entries, shared, "entry", "inner", 24).distinct(), "met")
+    met = store(one_of_each(met), "kinds")
 
     links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
     for k in range(ROUNDS):
-        held = store(unsettled(met, parts), f"held-{k}")
+        held = store(unsettled(met, parts), f"held-{k}") if k else met.withColumn("component", F.col("cls"))
         near = store(likely(offers(held, k), classes, percent, n_classes).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
                      .select("b", F.col("best.a").alias("a")), "offers")
         if not near.limit(1).count():
@@ -287,9 +294,11 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     # what is left within an entry: pairs of different components
     held = store(unsettled(met, parts), "open")
-    left = held.select("entry", *[F.col(c).alias(f"{c}_a") for c in ("cls", "component", "n", "p", "q")])
-    right = held.select("entry", *[F.col(c).alias(f"{c}_b") for c in ("cls", "component", "n", "p", "q")])
-    bits = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    words = SKETCH_BITS // 64
+    held = join_checked(held, classes.select("cls", "n", "folded"), "cls", "inner", 64 + 8 * words, n_classes)
+    own = ("cls", "component", "n", "folded")
+    left, right = (held.select("entry", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
+    bits = sum(F.bit_count(F.col("folded_a")[k].bitwiseXOR(F.col("folded_b")[k])) for k in range(words))
     possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b"))
                 & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
                 & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))

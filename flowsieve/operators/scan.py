@@ -105,6 +105,15 @@ def slice_number(df: DataFrame, sort_cols: list[Column], n: int, sample_from: Da
     return search(0, len(lits))
 
 
+def dealt(tagged: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Rows dealt by slice and key.
+
+    Rows that already lie by their key (after a join on it) would satisfy the
+    window without an exchange, and a hot key would stay in one task.
+    """
+    return tagged.repartition(n, "__pid", *keys)
+
+
 def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
             inclusive: bool = True, totals: bool = False,
             num_partitions: int | None = None, sample_from: DataFrame | None = None) -> DataFrame:
@@ -124,7 +133,7 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
     key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
 
-    tagged = df.select("*", *inputs, slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid"))
+    tagged = dealt(df.select("*", *inputs, slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid")), keys, n)
 
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
@@ -178,8 +187,8 @@ def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column,
     base_cols = df.columns
     key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
-    tagged = df.select("*", inc.cast("long").alias("__inc"), reset.alias("__reset"),
-                       slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid"))
+    tagged = dealt(df.select("*", inc.cast("long").alias("__inc"), reset.alias("__reset"),
+                             slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid")), keys, n)
     w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     a_loc = F.sum("__inc").over(w_local)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from ..contract import KNOWN_FEATURES
 
 ALLOWED_EXTENSIONS = (".csv", ".txt", ".tsv", ".data")
+#: CSV files of a folder, whatever the case of the extension.
+CSV_GLOB = "*.[cC][sS][vV]"
 
 
 class FlowSourceError(ValueError):
@@ -30,8 +34,8 @@ def flow_files(paths: list[str]) -> list[str]:
     return out
 
 
-def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """``path, length`` of the files in a folder (file contents are not read)."""
+def list_files(spark: SparkSession, folder: str, glob: str = CSV_GLOB) -> DataFrame:
+    """``path, length`` of the files in a folder (file contents are not read); any case of the extension."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
             .select("path", "length"))
 
@@ -42,36 +46,53 @@ def read_flow_csv(spark: SparkSession, paths: list[str], sep: str = ",", numeric
 
     Every column arrives as text; headers are trimmed; known feature names and
     the ``numeric`` extras become doubles with ``try_cast`` (bad text -> null,
-    later cleaned to 0); everything else stays text.
+    later cleaned to 0); everything else stays text.  Columns are taken by name:
+    files with the same header line are read together, the groups are put
+    together by name, and a column that a file lacks is null there.  A file
+    without a data row is an error.
     """
     files = flow_files(paths)
     if not files:
         raise FlowSourceError("no flow files given")
-    raw = (spark.read.option("header", True).option("sep", sep)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(files))
     wanted = set(KNOWN_FEATURES) | set(numeric or [])
-    cols = []
-    for c in raw.columns:
-        name = c.strip()
-        col = F.col(f"`{c}`")
-        cols.append((col.try_cast("double") if name in wanted else col).alias(name))
-    if with_file:
-        cols.append(F.col("_metadata.file_name").alias("file_name"))
-    return raw.select(*cols)
+    parts = []
+    for group in by_header(spark, files):
+        raw = (spark.read.option("header", True).option("sep", sep)
+               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(group))
+        cols = []
+        for c in raw.columns:
+            name = c.strip()
+            col = F.col(f"`{c}`")
+            cols.append((col.try_cast("double") if name in wanted else col).alias(name))
+        if with_file:
+            cols.append(F.col("_metadata.file_name").alias("file_name"))
+        parts.append(raw.select(*cols))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """Files grouped by their header line; only the first two lines of each file are read.
+
+    ``files`` is metadata (one entry per file), and so are the headers collected here.
+    """
+    groups: dict[str, list[str]] = {}
+    for path in files:
+        head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+        if len(head) < 2:
+            raise FlowSourceError(f"{os.path.basename(path)}: empty, or a header without rows")
+        groups.setdefault(head[0], []).append(path)
+    return list(groups.values())
 
 
 def read_flow_dir(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
-    """All ``*.csv`` files of a folder in name order; empty files and empty folders are errors.
+    """All ``*.csv`` files of a folder in name order; files without rows and folders without files are errors.
 
-    The listing is metadata (one row per file) and is the only thing collected.
+    The listing (one entry per file, empty files too) is metadata and all that the driver holds.
     """
-    listing = list_files(spark, folder).orderBy("path").collect()
-    if not listing:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", CSV_GLOB).load(folder).inputFiles()
+    if not found:
         raise FlowSourceError(f"{folder}: no CSV files")
-    empty = [r["path"] for r in listing if r["length"] == 0]
-    if empty:
-        raise FlowSourceError(f"empty file(s): {', '.join(os.path.basename(p) for p in empty)}")
-    return read_flow_csv(spark, [r["path"] for r in listing], **kwargs)
+    return read_flow_csv(spark, sorted(unquote(p) for p in found), **kwargs)
 
 
 def file_manifest(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -162,6 +164,20 @@ def worker_cache(name, make):
     return _HELD[name]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: an idle Python worker counts against its executor too."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def forget() -> None:
+    """Drop what an operator with a cache has left in this Python worker; for those without one."""
+    _HELD.clear()
+    trim()
+
+
 class TwoAges:
     """Cache of at most two generations of ``capacity`` entries; the older one is dropped whole."""
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, Words, mix, segment_sums, slices, utf8, worker_cache
+from .common import TwoAges, Words, mix, segment_sums, slices, trim, utf8, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 WHITE = " \t\n\r\x0b\f"
@@ -176,6 +176,7 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
                 "byte_share": pa.array(segment_sums(byte[w.codes], w.offsets) / least, pa.float64()),
                 "token_entropy": pa.array(entropies(flat[at], offsets), pa.float64()),
                 "band": pa.array(bands_of(texts, b.column("lang").to_pylist(), bands), pa.string())})
+        trim()
 
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
     row = [F.struct(*docs.columns).alias("row")] if carry else []

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, join_checked, keyed, mix, slices, store, without
+from .common import Words, forget, join_checked, keyed, mix, slices, store, trim, without
 from .components import components
 
 N, PERCENT = 3, 90
@@ -94,6 +94,7 @@ def frequent_shingles(rows: DataFrame, n: int, frequent: int = FREQUENT, chunk:
             return pa.RecordBatch.from_arrays(
                 [pa.array(every[often].view(np.int64), pa.int64()), pa.array(times[often], pa.int64())], ["shingle", "n"])
 
+        forget()
         size = 0
         for b in slices(batches):
             for s in shingle_sets(b.column("text"), n):
@@ -104,6 +105,8 @@ def frequent_shingles(rows: DataFrame, n: int, frequent: int = FREQUENT, chunk:
                 held, size = [], 0
         if held:
             yield flush()
+        held = []
+        trim()
 
     least = max(rows.count() / frequent, 2)
     found = (rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -170,6 +173,7 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches):
+        forget()
         often = shared.value
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), n)
@@ -191,6 +195,7 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                 [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()),
                  pa.array(short, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
                 ["row_id", "doc_id", "n", "cls", "sketch", "folded", "entries"])
+        trim()
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
         scan, "row_id long, doc_id long, n long, cls long, sketch binary, folded array<long>, entries array<long>")
@@ -221,9 +226,11 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percen
                    .join(classes.select("cls", F.col("rep").alias("row_id")), "cls"), "needed")
 
     def build(batches):
+        forget()
         for b in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, pa.binary())], ["cls", "shingles"])
+        trim()
 
     sets = store(join_checked(rows.select("row_id", "text"), needed, "row_id", "inner", 32)
                  .select("cls", "text").mapInArrow(build, "cls long, shingles binary"), "sets", "uncompressed")

@@ -11,12 +11,16 @@ doc_id, then row, then line).  Every line of a repeated run is deleted from the
 later place; the first place keeps all.  Judged on the input: a run counts as
 repeated even if its earlier copy is itself deleted.
 
+With ``long_runs`` fewer lines than ``least`` are a run too if together they have
+that many words or bytes (``LONG`` in the registered query), and so are all lines
+of a shorter document if they are all lines of an earlier one.
+
 Counts and first positions are aggregated per task before they are shuffled, and
 the join that brings positions back is salted, so a line that a third of all
 documents share is no hot key.
 
-Edge cases: null text is empty; a document with fewer than ``least`` lines with
-words keeps all of them; equal documents lose all lines but in the first one;
+Edge cases: null text is empty; without ``long_runs`` a document with fewer than
+``least`` lines with words keeps all of them; equal documents lose all lines but in the first one;
 rows that share a doc_id are ordered by row; null doc_ids come first; lines
 without a word stay; an empty table gives no rows; extra columns are ignored.
 """
@@ -34,17 +38,16 @@ from .common import grouped, join_checked, keyed, mix, slices, store
 
 LEAST = 3
 GRAM = 2
+#: Words, or bytes (for scripts without spaces), from which fewer lines than ``LEAST`` are a run.
+LONG = (50, 600)
 WHITE = " \t\n\r\x0b\f"
 #: Order of positions.
 PLACE_COLUMNS = ("doc_id", "row_id", "run")
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lines with a word, and their places among all lines."""
-    lines = text.split("\n")
-    at = [i for i, x in enumerate(lines) if x.strip(WHITE)]
-    raw = b"".join(hashlib.blake2b(lines[i].encode(), digest_size=8).digest() for i in at)
-    return np.frombuffer(raw, "<u8"), np.array(at, np.int64)
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    """64-bit hashes of lines."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in lines), "<u8")
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -72,6 +75,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def short_runs(lines: list[bytes], hashes: np.ndarray, least: int, long_runs: tuple[int, int]):
+    """``(places, width, hashes)`` of the long runs under ``least`` lines, and of a whole text under ``least`` lines."""
+    size = [np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+            for x in ([len(x.split()) for x in lines], [len(x) for x in lines])]
+    for width in range(1, min(least - 1, len(lines)) + 1):
+        run = grams(hashes, width)
+        at = np.flatnonzero(np.any([x[width:] - x[:-width] >= limit for x, limit in zip(size, long_runs)], axis=0))
+        yield at, width, mix(run[at] ^ np.uint64(2 * width))
+        if width == len(lines):
+            yield np.zeros(1, np.int64), width, mix(run ^ np.uint64(2 * width + 1))
+
+
 def at_two_places(runs: DataFrame, column: str) -> DataFrame:
     """Runs whose ``column`` has another position too, with the ``first`` of its positions."""
     place = F.struct(*PLACE_COLUMNS)
@@ -79,38 +94,45 @@ def at_two_places(runs: DataFrame, column: str) -> DataFrame:
                    "first < last").drop("last")
 
 
-def repeated_runs(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """``row_id, run`` of every run that also begins at an earlier position."""
+def repeated_runs(rows: DataFrame, least: int, gram: int, long_runs: tuple[int, int] | None = None) -> DataFrame:
+    """``row_id, run, width`` of every run that also begins at an earlier position."""
     def scan(batches):
         for b in slices(batches):
-            out: dict[str, list] = {"row_id": [], "doc_id": [], "run": [], "fingerprint": [], "content": []}
+            out: dict[str, list] = {"row_id": [], "doc_id": [], "run": [], "width": [], "fingerprint": [], "content": []}
             for r, d, t in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
-                hashes, _ = line_hashes(t.as_py())
+                lines = [x.encode() for x in t.as_py().split("\n") if x.strip(WHITE)]
+                hashes = line_hashes(lines)
                 mark, _ = selected(hashes, least, gram)
-                n = len(mark)
-                if n:
-                    out["row_id"].append(np.full(n, r))
-                    out["doc_id"] += [d] * n
-                    out["run"].append(np.arange(n))
-                    out["fingerprint"].append(mark.view(np.int64))
-                    out["content"].append(grams(hashes, least).view(np.int64))
+                found = [(np.arange(len(mark)), least, mark, grams(hashes, least))]
+                if long_runs:
+                    found += [(at, width, h, h) for at, width, h in short_runs(lines, hashes, least, long_runs)]
+                for at, width, mark, content in found:
+                    n = len(at)
+                    if n:
+                        out["row_id"].append(np.full(n, r))
+                        out["doc_id"] += [d] * n
+                        out["run"].append(at)
+                        out["width"].append(np.full(n, width))
+                        out["fingerprint"].append(mark.view(np.int64))
+                        out["content"].append(content.view(np.int64))
             cat = lambda k: pa.array(np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [cat("row_id"), pa.array(out["doc_id"], pa.int64()), cat("run"), cat("fingerprint"), cat("content")],
-                ["row_id", "doc_id", "run", "fingerprint", "content"])
+                [cat("row_id"), pa.array(out["doc_id"], pa.int64()), cat("run"), cat("width"), cat("fingerprint"), cat("content")],
+                ["row_id", "doc_id", "run", "width", "fingerprint", "content"])
 
-    runs = store(rows.mapInArrow(scan, "row_id long, doc_id long, run long, fingerprint long, content long"), "runs")
+    runs = store(rows.mapInArrow(scan, "row_id long, doc_id long, run long, width long, fingerprint long, content long"), "runs")
     candidates = store(at_two_places(runs, "fingerprint").drop("first", "fingerprint"), "candidates")
-    return at_two_places(candidates, "content").filter(F.struct(*PLACE_COLUMNS) > F.col("first")).select("row_id", "run")
+    return at_two_places(candidates, "content").filter(F.struct(*PLACE_COLUMNS) > F.col("first")).select("row_id", "run", "width")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST,
-                gram: int = GRAM) -> DataFrame:
+                gram: int = GRAM, long_runs: tuple[int, int] | None = None) -> DataFrame:
     """``doc_id, text`` without later repeated runs, ``n_lines``, ``n_deleted`` of every row."""
     rows = keyed(docs, key, text)
-    runs = store(repeated_runs(rows, least, gram).groupBy("row_id").agg(F.sort_array(F.collect_set("run")).alias("runs")),
-                 "repeated")  # runs of one document
-    joined = join_checked(rows, runs, "row_id", "left", 400)
+    runs = store(repeated_runs(rows, least, gram, long_runs).groupBy("row_id", "width")
+                 .agg(F.sort_array(F.collect_set("run")).alias("runs"))
+                 .groupBy("row_id").agg(F.collect_list(F.struct("width", "runs")).alias("runs")), "repeated")  # of one document
+    joined = join_checked(rows, runs, "row_id", "left", 500)
 
     def cut(batches):
         for b in slices(batches):
@@ -120,8 +142,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 gone = np.zeros(len(lines), bool)
                 if found:
                     at = np.array([i for i, x in enumerate(lines) if x.strip(WHITE)])
-                    for k in range(least):
-                        gone[at[np.array(found) + k]] = True
+                    for kind in found:
+                        for k in range(kind["width"]):
+                            gone[at[np.array(kind["runs"]) + k]] = True
                 out["text"].append("\n".join(x for x, g in zip(lines, gone) if not g))
                 out["n_lines"].append(len(lines))
                 out["n_deleted"].append(int(gone.sum()))

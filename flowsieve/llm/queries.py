@@ -91,7 +91,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_runs=line_dedup.LONG).select(
         "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 

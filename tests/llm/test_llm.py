@@ -255,6 +255,49 @@ def test_line_dedup(documents, odd, empty, texts):
     assert next(r.text for r in rows if r.doc_id == 8) == "z\nq"
 
 
+def brute_long_runs(rows, words, size):
+    """Texts by key without later runs of three lines, of one or two long enough, and without later whole texts."""
+    seen, out = set(), {}
+    for k, text in rows:
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(line_dedup.WHITE)]
+        gone = set()
+        for n in (1, 2, 3):
+            for i in range(len(at) - n + 1):
+                run = tuple(lines[j] for j in at[i:i + n])
+                if n == 3 or sum(len(WORD.findall(x)) for x in run) >= words or sum(len(x.encode()) for x in run) >= size:
+                    if run in seen:
+                        gone.update(at[i:i + n])
+                    seen.add(run)
+        whole = ("whole", *(lines[j] for j in at))
+        if 0 < len(at) < 3 and whole in seen:
+            gone.update(at)
+        seen.add(whole)
+        out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_dedup_long_runs(spark, documents, texts, odd, empty):
+    for words, size in (line_dedup.LONG, (8, 10_000)):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents, long_runs=(words, size)).collect()}
+        assert got == brute_long_runs(sorted(texts.items()), words, size)
+    line, wide = " ".join(f"w{i}" for i in range(60)), "漢字" * 120
+    rows = [(0, f"a\n{line}\nb"), (1, line), (2, f"x\n{line}\n{line}\ny"), (3, "two\nshort"), (4, "two\n\nshort"),
+            (5, "two"), (6, f"{wide}\nc"), (7, f"d\n{wide}"), (8, "two\nshort\nmore")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, long_runs=line_dedup.LONG).collect()}
+    assert got == {**dict(rows), 1: "", 2: "x\ny", 4: "", 7: "d"} == brute_long_runs(rows, *line_dedup.LONG)
+    assert line_dedup.dedup_lines(odd, long_runs=line_dedup.LONG).count() == odd.count()
+    assert line_dedup.dedup_lines(empty, long_runs=line_dedup.LONG).count() == 0
+
+
+def test_line_dedup_query_deletes_long_runs(spark, texts):
+    import hashlib
+    got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op7_line_dedup"](spark, SF_ORACLE).collect()}
+    want = brute_long_runs(sorted(texts.items()), 50, 600)
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+
+
 def test_quality_rules(documents, odd, empty, texts):
     got = {r.doc_id: r for r in fertility.quality_rules(documents).collect()}
     for k, t in texts.items():

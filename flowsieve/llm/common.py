@@ -17,6 +17,8 @@ from flowsieve.session import scratch_path, shuffle_partitions
 BROADCAST_BYTES = 48 << 20
 #: Text handled at once inside a task.
 SLICE_BYTES = 4 << 20
+#: Column of ``numbered``.
+ROW = "_row_id"
 
 
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -30,6 +32,22 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def odd_keys(docs: DataFrame, key: str) -> bool:
+    """Whether ``key`` is null or repeated in some row."""
+    return bool(docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+                .filter("n > 1 or k is null").limit(1).count())
+
+
+def numbered(docs: DataFrame, key: str, text: str, nulls_first: bool) -> DataFrame:
+    """``docs`` with ``ROW``, a unique long that orders rows as ``key`` does; whole rows are stored if keys are odd."""
+    if not odd_keys(docs, key):
+        return docs.withColumn(ROW, F.col(key).cast("long"))
+    value = F.col(key).cast("long")
+    order = [value.asc_nulls_first() if nulls_first else value.asc_nulls_last(), F.xxhash64(text)]
+    return store(docs.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> DataFrame:
     """``row_id`` (unique long), ``doc_id``, ``text`` (null text is empty) and ``extra`` columns.
 
@@ -42,9 +60,7 @@ def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> Da
     cols = [F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     cols += [c.alias(k) for k, c in (extra or {}).items()]
     rows = docs.select(*cols)
-    odd = (docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-           .filter("n > 1 or k is null").limit(1).count())
-    if odd:
+    if key != ROW and odd_keys(docs, key):
         order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
         rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order)
                      .withColumn("row_id", F.monotonically_increasing_id()), "rows")

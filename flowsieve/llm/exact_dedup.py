@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import scratch_path
 
-from .common import grouped, join_checked, keyed, store, without
+from .common import ROW, grouped, join_checked, keyed, numbered, store, without
 
 WIDTH = 64
 GROWTH = 8
@@ -102,9 +102,6 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the equal texts that do not stay, columns as they were.
-
-    A key that several rows share is dropped only if none of its rows stays.
-    """
-    judged = exact_dedup(docs, key, text)
-    return without(docs, key, judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"))
+    """One row of each text, columns as they were; rows are judged one by one, also those that share a key or have none."""
+    rows = numbered(docs, key, text, nulls_first=True)
+    return without(rows, ROW, exact_dedup(rows, ROW, text).filter("not kept").select("doc_id")).drop(ROW)

@@ -360,6 +360,20 @@ def test_url_filter_odd_rows(spark):
     assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_dedup_stages_judge_rows_not_keys(spark, odd, empty):
+    a, x, y, z, w = (" ".join(f"{c}{i}" for i in range(60)) for c in "axyzw")
+    rows = [(1, a), (1, a), (None, a), (None, a), (5, x), (5, y), (3, y + " tail"), (None, z), (None, z), (7, None),
+            (7, None), (8, ""), (9, w), (9, w), (10, z + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect())
+    assert got == Counter([(1, a), (5, x), (5, y), (3, y + " tail"), (None, z), (8, ""), (9, w), (10, z + " tail")])
+    got = Counter((r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs).collect())
+    assert got == Counter([(1, a), (5, x), (3, y + " tail"), (10, z + " tail"), (7, None), (7, None), (8, ""), (9, w)])
+    for drop in (exact_dedup.drop_copies, ngram_join.drop_near_copies):
+        assert drop(odd).columns == odd.columns and drop(empty).count() == 0
+    assert Counter(r.text or "" for r in exact_dedup.drop_copies(odd).collect()) == {r.text or "": 1 for r in odd.collect()}
+
+
 def test_pipeline_against_brute_force(spark, texts):
     """Stages 1 to 3 by brute force; the sample and the packed ids by their own counts."""
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")

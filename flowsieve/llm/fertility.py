@@ -5,7 +5,9 @@ Every whole text is measured with a vocabulary that falls back to bytes:
 and ``token_entropy`` (bits, of the text's own token distribution).  Clean text
 of a language stays within a band of each; text in another encoding, symbol
 soup, shouting and loops leave it.  Bands are given per language, and for an
-unknown or null language per script, found from the text's letters.
+unknown or null language per script, found from the text's letters.  Shares of
+bytes and of symbols (per word) are judged at any length, the others from
+``BAND_TOKENS`` tokens on.
 
 The vocabulary never merges across white space, so a worker asks it once per
 word and keeps the answer in a bounded cache.
@@ -36,17 +38,20 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 
 #: language or script: (least and most characters per token, most byte share, least entropy in bits).
-#: Outside lies about one labelled-good text in a thousand; invented prose makes real bands wider.
+#: Lower limits are those of invented prose (about 2 characters per token); natural prose has 3 to over 5, so the
+#: upper limits lie beyond what the vocabulary gives words of a Latin script.
 BANDS = {
-    "en": (1.85, 3.0, 0.02, 4.5),
-    "de": (1.80, 3.0, 0.02, 4.5),
-    "fr": (1.65, 3.0, 0.02, 4.5),
-    "es": (1.68, 3.0, 0.02, 4.5),
-    "latin": (1.50, 5.0, 0.05, 4.0),
+    "en": (1.85, 8.0, 0.02, 4.5),
+    "de": (1.80, 8.0, 0.02, 4.5),
+    "fr": (1.65, 8.0, 0.02, 4.5),
+    "es": (1.68, 8.0, 0.02, 4.5),
+    "latin": (1.50, 8.0, 0.05, 4.0),
     "other": (0.20, 8.0, 0.95, 2.0),
 }
-#: Bands hold from this many tokens on; the measures of a shorter text say little.
+#: Fertility and entropy count from this many tokens on; of a shorter text they say little.
 BAND_TOKENS = 64
+#: Most symbols per hundred words.
+MAX_SYMBOL_PERCENT = 30
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_tokens long, chars_per_token double, byte_share double, token_entropy double, band string")
@@ -186,7 +191,8 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
 
 
 def judge(measured: DataFrame, bands: dict | None = None, min_words: int = MIN_WORDS,
-          max_repeat_percent: int = MAX_REPEAT_PERCENT, band_tokens: int = BAND_TOKENS) -> DataFrame:
+          max_repeat_percent: int = MAX_REPEAT_PERCENT, band_tokens: int = BAND_TOKENS,
+          max_symbol_percent: int = MAX_SYMBOL_PERCENT) -> DataFrame:
     """Adds ``base_failed`` (too short, or loops), ``in_band`` and ``kept``."""
     bands = bands or BANDS
 
@@ -195,9 +201,10 @@ def judge(measured: DataFrame, bands: dict | None = None, min_words: int = MIN_W
         table = F.create_map(*[F.lit(x) for name, b in bands.items() for x in (name, float(b[k]))])
         return F.coalesce(F.element_at(table, F.col("band")), F.lit(float(widest)))
 
-    in_band = (F.col("n_tokens") < band_tokens) | (
-        F.col("chars_per_token").between(limit(0), limit(1)) & (F.col("byte_share") <= limit(2))
-        & (F.col("token_entropy") >= limit(3)))
+    at_any_length = ((F.col("byte_share") <= limit(2))
+                     & (100 * F.col("n_symbols") <= max_symbol_percent * F.col("n_words")))
+    in_band = at_any_length & ((F.col("n_tokens") < band_tokens) | (
+        F.col("chars_per_token").between(limit(0), limit(1)) & (F.col("token_entropy") >= limit(3))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (measured.withColumn("base_failed", failed).withColumn("in_band", in_band)
             .withColumn("kept", ~F.col("base_failed") & F.col("in_band")))

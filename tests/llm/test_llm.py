@@ -319,6 +319,44 @@ def test_quality_rules(documents, odd, empty, texts):
     assert fertility.drop_rejected(odd).columns == odd.columns
 
 
+NATURAL = {
+    "en": "The committee decided on Tuesday that the old library building should remain open to the public throughout the "
+          "winter, although several members pointed out that heating costs have increased considerably. Local residents "
+          "welcomed the decision and offered to organise a series of evening events, including readings, concerts and "
+          "discussions about the history of the neighbourhood. According to the director, more than three hundred people "
+          "visited the reading room during the first week of November, which is twice as many as in the previous year.",
+    "de": "Der Ausschuss hat am Dienstag beschlossen, dass die alte Bibliothek auch im Winter für alle geöffnet bleibt, obwohl "
+          "einige Mitglieder auf die gestiegenen Heizkosten hingewiesen haben. Die Bewohner des Viertels begrüßten die "
+          "Entscheidung und wollen nun Lesungen, Konzerte und Gespräche über die Geschichte der Stadt veranstalten. Nach "
+          "Angaben der Leiterin kamen in der ersten Woche im November mehr als dreihundert Menschen in den Lesesaal.",
+    "fr": "Le comité a décidé mardi que la vieille bibliothèque resterait ouverte au public pendant tout l'hiver, bien que "
+          "plusieurs membres aient rappelé que le chauffage coûte beaucoup plus cher qu'avant. Les habitants du quartier se "
+          "sont réjouis de cette décision et proposent d'organiser des lectures, des concerts et des rencontres sur l'histoire "
+          "de la ville. Selon la directrice, plus de trois cents personnes sont venues pendant la première semaine de novembre.",
+    "es": "El comité decidió el martes que la antigua biblioteca seguirá abierta al público durante todo el invierno, aunque "
+          "varios miembros recordaron que la calefacción cuesta mucho más que antes. Los vecinos del barrio celebraron la "
+          "decisión y quieren organizar lecturas, conciertos y conversaciones sobre la historia de la ciudad. Según la "
+          "directora, más de trescientas personas visitaron la sala durante la primera semana de noviembre.",
+}
+
+
+def test_quality_rules_keep_natural_prose_and_reject_symbol_soup(spark, documents):
+    soup = " | ".join(f"{w}###" for w in NATURAL["en"].split()[:12])
+    short_bytes = " ".join("ᚠᚢᚦᚨᚱ" for _ in range(2)) + " alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(k, NATURAL[k], k) for k in NATURAL] + [(f"null-{k}", t, None) for k, t in NATURAL.items()]
+    rows += [("soup", soup, "en"), ("bytes", short_bytes, "en")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {rows[r.doc_id][0]: r for r in fertility.quality_rules(docs).collect()}
+    assert got["en"].chars_per_token > 3 and all(got[k].n_tokens >= fertility.BAND_TOKENS for k in NATURAL)
+    assert {k for k, r in got.items() if r.kept} == {*NATURAL, *(f"null-{k}" for k in NATURAL)}
+    assert not got["soup"].base_failed and not got["bytes"].base_failed and got["bytes"].n_tokens < fertility.BAND_TOKENS
+    labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet").select("doc_id", "quality")
+    judged = fertility.quality_rules(documents).join(labels, "doc_id").filter("not base_failed").collect()
+    for quality, least, most in ((0, 0, 0.1), (1, 0.98, 1)):
+        kept = [r.kept for r in judged if r.quality == quality]
+        assert least <= sum(kept) / len(kept) <= most
+
+
 def test_quality_model(spark, documents, odd, empty):
     labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet").selectExpr("doc_id", "quality as label")
     model = quality_model.fit(documents, labels.filter(quality_model.fold() != 1))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve.session import scratch_path
 from flowsieve.sources.tables import table
 
-from . import (exact_dedup, fertility, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
+from . import (exact_dedup, fertility, hard_negatives, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
                token_files, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_hard_negatives", """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+                 CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+                 AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(
+        "if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)

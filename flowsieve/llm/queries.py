@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve.session import scratch_path
 from flowsieve.sources.tables import table
 
-from . import (exact_dedup, fertility, hard_negatives, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
+from . import (alignment, exact_dedup, fertility, hard_negatives, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
                token_files, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(
         "if(vec_id % 7 = 0, (label + 1) % 10, label)"))
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -13,7 +13,7 @@ from flowsieve.session import scratch_path
 from flowsieve.sources.tables import table
 
 from . import (alignment, exact_dedup, fertility, hard_negatives, line_dedup, mixing, ngram_join, packing, quality_model, substring_dedup,
-               token_files, url_filter)
+               token_files, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(toxicity.fold() != 0)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), known).select(
+        "doc_id", (toxicity.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -30,6 +30,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,18 @@ FREQUENT = 1_000_000
 STEPS = 8
 #: Pairs that a task counts before it hands them on.
 PAIRS_AT_ONCE = 1 << 21
-SLICE = 1 << 20
+SLICE = 2 << 20
+#: New chunks that are encoded in one call.
+GROUP = 256
+#: Ends that the first probe of a stretch compares.
+PROBE = 4
 #: White space at which a text may be cut, and characters whose texts are not cut.
 BLANK = np.zeros(256, bool)
 BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x20]] = True
 UNCUT = "[\\x{0}-\\x{8}\\x{D}-\\x{1F}\\x{7F}-\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{2581}\\x{3000}]"
 
+_UNCUT = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", UNCUT))
+
 
 def default_vocabularies() -> tuple[str, str]:
     import public_tokenizers
@@ -72,32 +79,45 @@ def skip_runs(ends_a: np.ndarray, ends_b: np.ndarray):
     (first A, first B, A after, B after) and the links inside irregular groups
     (A token, B token), all as integer arrays of token positions.
     """
-    n, m = len(ends_a), len(ends_b)
+    n = len(ends_a)
     a, b = ends_a.tolist(), ends_b.tolist()
     raw_a, raw_b = ends_a.astype("<u4").tobytes(), ends_b.astype("<u4").tobytes()
+    a.append(-1)  # closes the arrays: no end of the other side equals these
+    b.append(-2)
     runs, odd, link_a, link_b = [], [], [], []
+    more_a, more_b = link_a.append, link_b.append
     i = j = 0
+    x, y = a[0], b[0]
+    close = 4 * n
     while i < n:
-        if a[i] == b[j]:
-            first_a, first_b, k = i, j, 1
+        if x == y:
+            first_a, first_b = i, j
             i += 1
             j += 1
-            # doubled stretches at this shift, then halved ones up to the break
-            while i + 2 * k <= n and j + 2 * k <= m and raw_a[4 * i:4 * (i + 2 * k)] == raw_b[4 * j:4 * (j + 2 * k)]:
-                k *= 2
-                i += k
-                j += k
-            while k:
-                if i + k <= n and j + k <= m and raw_a[4 * i:4 * (i + k)] == raw_b[4 * j:4 * (j + k)]:
-                    i += k
-                    j += k
-                k //= 2
-            runs.append((first_a, first_b, i - first_a))
+            if a[i] == b[j]:
+                # doubled stretches at this shift, then halved ones, then single ends up to the break;
+                # p, q, k count bytes, and bytes equal to a full stretch of A are a full stretch of B
+                p, q, k = 4 * i, 4 * j, 4 * PROBE
+                while p + k <= close and raw_a[p:p + k] == raw_b[q:q + k]:
+                    p += k
+                    q += k
+                    k *= 2
+                while k > 4 * PROBE:
+                    k //= 2
+                    if p + k <= close and raw_a[p:p + k] == raw_b[q:q + k]:
+                        p += k
+                        q += k
+                i, j = p // 4, q // 4
+                while a[i] == b[j]:
+                    i += 1
+                    j += 1
+            runs += first_a, first_b, i - first_a
             if i == n:
                 break
-        first_a, first_b, x, y = i, j, a[i], b[j]
-        link_a.append(i)
-        link_b.append(j)
+            x, y = a[i], b[j]
+        first_a, first_b = i, j
+        more_a(i)
+        more_b(j)
         while x != y:
             if x < y:
                 i += 1
@@ -105,11 +125,12 @@ def skip_runs(ends_a: np.ndarray, ends_b: np.ndarray):
             else:
                 j += 1
                 y = b[j]
-            link_a.append(i)
-            link_b.append(j)
+            more_a(i)
+            more_b(j)
         i += 1
         j += 1
-        odd.append((first_a, first_b, i, j))
+        odd += first_a, first_b, i, j
+        x, y = a[i], b[j]
     return (np.array(runs, np.int64).reshape(-1, 3), np.array(odd, np.int64).reshape(-1, 4),
             np.array(link_a, np.int64), np.array(link_b, np.int64))
 
@@ -167,18 +188,44 @@ class Encoders:
         return np.frombuffer(b"".join(x.ljust(width) for x in out), np.uint8).reshape(-1, width), size
 
     def _new(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        out = []
-        for c, x, y in zip(chunks, ids_a, ids_b):
-            if c[0] != " ":
-                y = y[1:]  # the space that B adds
-            elif c == " ":
-                y = [self.space]
-            raw = c.encode()
-            fine = b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes(), fine))
-        return out
+        """Ids of chunks, many in one call: strung together they are a text that would be cut into them again."""
+        alone = [c for c in chunks if not self.cuts or c[-1] in " \t\n\v\f" or _UNCUT.search(c)]
+        apart = set(alone)
+        together = [c for c in chunks if c not in apart]
+        known = {}
+        for groups in ([together[i:i + GROUP] for i in range(0, len(together), GROUP)], [[c] for c in alone]):
+            if not groups:
+                continue
+            texts = ["".join(g) for g in groups]
+            ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            ids_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+            for g, t, x, y in zip(groups, texts, ids_a, ids_b):
+                if t[0] != " ":
+                    y = y[1:]  # the space that B adds
+                elif t == " ":
+                    y = [self.space]
+                fine = b"".join(map(self.bytes_a.__getitem__, x)) == t.encode() == b"".join(map(self.bytes_b.__getitem__, y))
+                if len(g) == 1:
+                    known[t] = np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes(), fine
+                elif not fine:
+                    known.update((c, self._new_alone(c)) for c in g)
+                else:
+                    ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in g])
+                    cut = []
+                    for ids, size in ((x, self.size_a), (y, self.size_b)):
+                        ids = np.array(ids, "<u4")
+                        cut += [ids.tobytes(), (4 * np.searchsorted(np.cumsum(size[ids]), ends, "right")).tolist()]
+                    raw_a, at_a, raw_b, at_b = cut
+                    own_a = [raw_a[i:k] for i, k in zip([0, *at_a], at_a)]
+                    own_b = [raw_b[i:k] for i, k in zip([0, *at_b], at_b)]
+                    known.update(zip(g, zip(own_a, own_b, [True] * len(g))))
+        return [known[c] for c in chunks]
+
+    def _new_alone(self, chunk: str) -> tuple[bytes, bytes, bool]:
+        x = self.a.encode(chunk, add_special_tokens=False).ids
+        y = self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode(chunk)[1:]
+        fine = b"".join(self.bytes_a[i] for i in x) == chunk.encode() == b"".join(self.bytes_b[i] for i in y)
+        return np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes(), fine
 
     def encode(self, texts):
         """Ids of A and of B for all texts in a row, and each one's n + 1 borders; texts without tokens are empty."""

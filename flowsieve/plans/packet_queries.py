@@ -23,8 +23,8 @@ _INT_FEATURES = {"Number", "Max", "Min", "Tot size", "Tot sum", "Protocol Type",
     f"{f}_flag_number" for f in ("ack", "cwr", "ece", "fin", "psh", "rst", "syn")}
 
 
-def _window_out(df, keys):
-    cols = [ts_text("window_start").alias("window_start")]
+def _window_out(df, keys, more=()):
+    cols = [ts_text("window_start").alias("window_start"), *more]
     cols += [F.col(f"key_{k}") for k in keys]
     cols += ["src_ip", "dst_ip"]
     cols += [F.col(f"`{n}`") if n in _INT_FEATURES else r(F.col(f"`{n}`")).alias(n)
@@ -34,6 +34,12 @@ def _window_out(df, keys):
 
 def _window_sql(width_unit: str, keys: list[str], cap: int | None = None, closed_only: bool = False) -> str:
     """Oracle for the 37 window features (global or per key)."""
+    return fx.with_ctes(window_body(width_unit, keys, cap, closed_only), "packets")
+
+
+def window_body(width_unit: str, keys: list[str], cap: int | None = None, closed_only: bool = False,
+                source: str | None = None) -> str:
+    """Features per window ``w`` of ``source`` (packets with ``w`` and ``rk``, the rank from the window's end)."""
     q = fx.q_sql
     key_sel = "".join(f", {k} AS key_{k}" for k in keys)
     key_grp = "".join(f", {k}" for k in keys)
@@ -44,6 +50,8 @@ def _window_sql(width_unit: str, keys: list[str], cap: int | None = None, closed
         for n, p in PORT_PROTOCOLS.items()}
     flag = {n: f"sum(CASE WHEN proto = 6 AND (flags & {b}) > 0 THEN 1 ELSE 0 END)" for n, b in TCP_FLAG_BITS.items()}
     keep = lambda e: f"CASE WHEN {cap_filter} THEN {e} END"
+    source = source or (f"SELECT *, date_trunc('{width_unit}', ts) AS w, row_number() OVER (PARTITION BY {part} "
+                        "ORDER BY ts DESC, event_id DESC) AS rk FROM packets")
     # a stream emits a window once the watermark (latest event time) has passed its end
     closed = (f" AND w + INTERVAL 1 {width_unit} <= (SELECT max(ts) FROM packets)" if closed_only else "")
     agg = f"""
@@ -58,9 +66,7 @@ def _window_sql(width_unit: str, keys: list[str], cap: int | None = None, closed
         arg_max(dst_ip, CASE WHEN dst_ip IS NOT NULL THEN {_LAST} END) AS dst_ip,
         {', '.join(f'{e} AS f_{n}' for n, e in flag.items())},
         {', '.join(f'max(CASE WHEN {e} THEN 1 ELSE 0 END) AS p_{n}' for n, e in ports.items())}
-      FROM (SELECT *, date_trunc('{width_unit}', ts) AS w,
-                   row_number() OVER (PARTITION BY {part} ORDER BY ts DESC, event_id DESC) AS rk
-            FROM packets) AS p
+      FROM ({source}) AS p
       GROUP BY w{key_grp}
       HAVING count({keep('1')}) >= 3{closed}"""
     feats = {
@@ -91,9 +97,8 @@ def _window_sql(width_unit: str, keys: list[str], cap: int | None = None, closed
         feats[f"{f}_flag_number"] = f"CASE WHEN f_{f} > 0 THEN 1.0 ELSE 0.0 END"
     sel = ", ".join(f"cast({feats[n]} AS double) AS {q(n)}" for n in MODEL_FEATURES)
     keys_out = "".join(f", key_{k}" for k in keys)
-    body = (f"SELECT {sql_ts_text('w')} AS window_start{keys_out}, src_ip, dst_ip, {sel} "
+    return (f"SELECT {sql_ts_text('w')} AS window_start{keys_out}, src_ip, dst_ip, {sel} "
             f"FROM ({agg.replace('SELECT w' + key_grp, 'SELECT w' + key_sel, 1)}) AS a")
-    return fx.with_ctes(body, "packets")
 
 
 @register("flow_window_features", _window_sql("hour", []))

@@ -8,12 +8,13 @@ import os
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..operators import carry
 from ..session import local_dir, scratch_path
 from ..sources import flow_csv
 from ..sources.tables import table
 from ..streaming import packets as st
-from .packet_queries import GLOBAL_WIDTH, _window_out, _window_sql
-from .registry import r, register, sql_ts_text, sr, ts_text
+from .packet_queries import GLOBAL_WIDTH, _window_out, _window_sql, window_body
+from .registry import register, sql_ts_text, ts_text
 from .verdict_queries import _decide_sql
 
 _FLOW_COLS = [n for n, _ in fx.FLOWS]
@@ -121,42 +122,33 @@ def q_running_counters_stream(spark, sf_dir):
 
 
 def _carry_sql() -> str:
-    """Recursive walk over each source's hourly windows: carry until >= 3 packets, then emit."""
+    """Recursive walk over each source's hourly windows: carry until >= 3 packets, then close; features from the packets."""
+    source = ("SELECT p.*, g.g AS w, 1 AS rk FROM packets p JOIN walk g "
+              "ON g.k = p.src_ip AND g.ws = date_trunc('hour', p.ts)")
     body = f"""
-w AS (SELECT src_ip AS k, date_trunc('hour', ts) AS ws, count(*) AS n, cast(sum(size) AS double) AS tot,
-        cast(sum(size * size) AS double) AS sq, min(ts) AS f, max(ts) AS l,
+w AS (SELECT src_ip AS k, date_trunc('hour', ts) AS ws, count(*) AS n,
         row_number() OVER (PARTITION BY src_ip ORDER BY date_trunc('hour', ts)) AS i
       FROM packets GROUP BY src_ip, date_trunc('hour', ts)),
 walk AS (
-  SELECT k, i, ws AS g, ws, n, tot, sq, f, l FROM w WHERE i = 1
+  SELECT k, i, ws AS g, ws, n FROM w WHERE i = 1
   UNION ALL
-  SELECT w.k, w.i,
-    CASE WHEN p.n >= 3 THEN w.ws ELSE p.g END,
-    w.ws,
-    CASE WHEN p.n >= 3 THEN w.n ELSE p.n + w.n END,
-    CASE WHEN p.n >= 3 THEN w.tot ELSE p.tot + w.tot END,
-    CASE WHEN p.n >= 3 THEN w.sq ELSE p.sq + w.sq END,
-    CASE WHEN p.n >= 3 THEN w.f ELSE least(p.f, w.f) END,
-    CASE WHEN p.n >= 3 THEN w.l ELSE greatest(p.l, w.l) END
-  FROM walk p JOIN w ON w.k = p.k AND w.i = p.i + 1)
-SELECT {sql_ts_text('g')} AS window_first_start, {sql_ts_text("ws + INTERVAL 1 hour")} AS window_end,
-  k AS key_src_ip, cast(n AS double) AS Number, {sr('tot / n')} AS AVG,
-  {sr('sqrt(greatest(sq / n - (tot / n) * (tot / n), 0.0))')} AS Std,
-  {sr("CASE WHEN n > 1 THEN ((epoch_us(l) - epoch_us(f)) / 1000000.0) / (n - 1) ELSE 0.0 END")} AS IAT,
-  {sr("n / greatest((epoch_us(l) - epoch_us(f)) / 1000000.0, 0.001)")} AS Rate
-FROM walk WHERE n >= 3"""
+  SELECT w.k, w.i, CASE WHEN p.n >= 3 THEN w.ws ELSE p.g END, w.ws, CASE WHEN p.n >= 3 THEN w.n ELSE p.n + w.n END
+  FROM walk p JOIN w ON w.k = p.k AND w.i = p.i + 1),
+ends AS (SELECT k, {sql_ts_text('g')} AS first, {sql_ts_text('max(ws) + INTERVAL 1 hour')} AS last FROM walk GROUP BY k, g)
+SELECT f.window_start AS window_first_start, ends.last AS window_end, f.* EXCLUDE (window_start)
+FROM ({window_body('hour', ['src_ip'], source=source)}) f
+JOIN ends ON ends.k = f.key_src_ip AND ends.first = f.window_start"""
     head = fx.with_ctes("SELECT 1", "packets")[:-len("\nSELECT 1")]
     return "WITH RECURSIVE " + head[len("WITH "):] + "," + body
 
 
 @register("carry_over_windows", _carry_sql())
 def q_carry_over_windows(spark, sf_dir):
-    """Windows under three packets roll into the next (per source, 1-hour windows)."""
-    packets = fx.load(spark, sf_dir, "packets")
-    out = st.carry_over_windows(packets, GLOBAL_WIDTH, keys=["src_ip"])
-    return out.select(ts_text("window_first_start").alias("window_first_start"),
-                      ts_text("window_end").alias("window_end"), "key_src_ip", "Number",
-                      r("AVG").alias("AVG"), r("Std").alias("Std"), r("IAT").alias("IAT"), r("Rate").alias("Rate"))
+    """Windows under three packets roll into the next (per source, 1-hour windows): all 37 features."""
+    out = carry.carry_over_windows(fx.load(spark, sf_dir, "packets"), GLOBAL_WIDTH, keys=["src_ip"])
+    text = out.withColumn("window_start", F.col("window_first_start"))
+    return _window_out(text, ["src_ip"], [ts_text("window_end").alias("window_end")]) \
+        .withColumnRenamed("window_start", "window_first_start")
 
 
 @register("incremental_train_stream")

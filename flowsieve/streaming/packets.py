@@ -140,96 +140,3 @@ def running_counters(verdict_rows: DataFrame, safe: DataFrame) -> DataFrame:
         count(~is_safe & (F.col("decision") == "BLOCK")).alias("block_decisions"),
         count(is_safe).alias("safe_list_skipped"),
     )
-
-
-# -- carry-over windows --------------------------------------------------------
-
-def partial_windows(packets: DataFrame, width: str, keys: list[str]) -> DataFrame:
-    """Mergeable per-window partials: counts, sums, squares, extremes, flags, ports, last values."""
-    from ..contract import TCP_FLAG_BITS
-    from ..functions import packets as pk
-    aggs = [
-        F.count(F.lit(1)).alias("__n"), F.min("ts").alias("__first"), F.max("ts").alias("__last"),
-        F.sum(F.col("size").cast("double")).alias("__tot"),
-        F.sum(F.col("size").cast("double") * F.col("size").cast("double")).alias("__sq"),
-        F.min(F.col("size").cast("double")).alias("__min"), F.max(F.col("size").cast("double")).alias("__max"),
-        F.sum(F.col("header_len").cast("double")).alias("__hdr_sum"),
-        pk.last_by_time("proto").alias("__proto"), pk.last_by_time("src_ip").alias("src_ip"),
-        pk.last_by_time("dst_ip").alias("dst_ip"),
-    ]
-    aggs += [F.sum(pk.flag_bit(n)).alias(f"__flag_{n}") for n in TCP_FLAG_BITS]
-    aggs += pk.port_indicator_aggs()
-    g = [F.col(k).alias(f"key_{k}") for k in keys]
-    out = packets.groupBy(F.window("ts", width).alias("w"), *g).agg(*aggs)
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      *[f"key_{k}" for k in keys], *[c for c in out.columns if c.startswith("__") or c in
-                                                      ("src_ip", "dst_ip")])
-
-
-def _merge_partials(keys: list[str], min_packets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_start", kind="mergesort")
-        sum_cols = [c for c in pdf.columns if c.startswith("__flag_")] + ["__n", "__tot", "__sq", "__hdr_sum"]
-        max_cols = [c for c in pdf.columns if c.startswith("__port_")]
-        out, acc = [], None
-        for row in pdf.to_dict("records"):
-            if acc is None:
-                acc = dict(row)
-                acc["window_first_start"] = row["window_start"]
-            else:
-                for c in sum_cols:
-                    acc[c] += row[c]
-                for c in max_cols:
-                    acc[c] = max(acc[c], row[c])
-                acc["__first"] = min(acc["__first"], row["__first"])
-                acc["__last"] = max(acc["__last"], row["__last"])
-                acc["__min"] = min(acc["__min"], row["__min"])
-                acc["__max"] = max(acc["__max"], row["__max"])
-                for c in ("__proto", "src_ip", "dst_ip"):
-                    if row[c] is not None and not (isinstance(row[c], float) and np.isnan(row[c])):
-                        acc[c] = row[c]
-                acc["window_end"] = row["window_end"]
-            if acc["__n"] >= min_packets:
-                out.append(acc)
-                acc = None
-        return pd.DataFrame(out, columns=list(pdf.columns) + ["window_first_start"])
-    return run
-
-
-def carry_over_windows(packets: DataFrame, width: str, keys: list[str] | None = None,
-                       min_packets: int = MIN_WINDOW_PACKETS) -> DataFrame:
-    """Windows with fewer than ``min_packets`` packets roll into the next until the total reaches it.
-
-    Packets are first reduced to one mergeable partial per window (Spark
-    aggregation).  A window that alone has ``min_packets`` packets always
-    ends the carry (carry + n reaches the threshold, is emitted, resets), so
-    the walk restarts from zero after every such window.  Numbering those
-    windows with the skew-safe running count splits every key into independent
-    segments -- a run of sparse windows plus the window that closes it -- and
-    only a segment's partials are merged in order by ``applyInPandas``.  A busy
-    source becomes many tiny groups; the key-less global form runs in parallel.
-    """
-    from ..operators import scan
-    keys = list(keys or [])
-    parts = partial_windows(packets, width, keys)
-    from pyspark.sql.types import StructField, StructType
-    base = parts.schema
-    schema = StructType(list(base.fields) + [StructField("window_first_start", base["window_start"].dataType)])
-    key_cols = [f"key_{k}" for k in keys]
-    big = (F.col("__n") >= min_packets).cast("long")
-    segmented = scan.running(parts, key_cols, ["window_start"], {"__seg": ("sum", big)}, inclusive=False)
-    merge = _merge_partials(keys, min_packets)
-    merged = segmented.groupBy(*key_cols, "__seg").applyInPandas(
-        lambda pdf: merge(pdf.drop(columns=["__seg"])), schema)
-    n = F.col("__n").cast("double")
-    span = F.timestamp_diff("MICROSECOND", F.col("__first"), F.col("__last")) / F.lit(1e6)
-    avg = F.col("__tot") / n
-    var = F.greatest(F.col("__sq") / n - avg * avg, F.lit(0.0))
-    return merged.select(
-        "window_first_start", "window_end", *[f"key_{k}" for k in keys], "src_ip", "dst_ip",
-        n.alias("Number"), avg.alias("AVG"), F.sqrt(var).alias("Std"), var.alias("Variance"),
-        F.col("__min").alias("Min"), F.col("__max").alias("Max"), F.col("__tot").alias("Tot size"),
-        (F.col("__hdr_sum") / n).alias("Header_Length"),
-        F.when(F.col("__n") > 1, span / (n - 1)).otherwise(F.lit(0.0)).alias("IAT"),
-        (n / F.greatest(span, F.lit(0.001))).alias("Rate"),
-    )

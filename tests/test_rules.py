@@ -132,11 +132,11 @@ def test_previous_value_is_lag(spark):
 
 def test_carry_over_windows_match_loop(spark):
     from flowsieve import fixtures as fx
-    from flowsieve.streaming import packets as st
+    from flowsieve.operators import carry
     from conftest import SF_SMALL
     packets = fx.load(spark, SF_SMALL, "packets")
     got = sorted((r["key_src_ip"], r["window_end"], int(r["Number"]))
-                 for r in st.carry_over_windows(packets, "1 hour", ["src_ip"]).collect())
+                 for r in carry.carry_over_windows(packets, "1 hour", ["src_ip"]).collect())
     per = {}
     for r in packets.select("src_ip", F.window("ts", "1 hour").alias("w")).collect():
         per.setdefault(r["src_ip"], {}).setdefault(r["w"].end, 0)
@@ -163,10 +163,10 @@ def test_chunk_shuffle_is_a_permutation(spark):
 
 def test_global_carry_over_windows_match_loop(spark):
     from flowsieve import fixtures as fx
-    from flowsieve.streaming import packets as st
+    from flowsieve.operators import carry
     from conftest import SF_SMALL
     packets = fx.load(spark, SF_SMALL, "packets")
-    got = sorted((r["window_end"], int(r["Number"])) for r in st.carry_over_windows(packets, "1 hour").collect())
+    got = sorted((r["window_end"], int(r["Number"])) for r in carry.carry_over_windows(packets, "1 hour").collect())
     wins = {}
     for r in packets.select(F.window("ts", "1 hour").alias("w")).collect():
         wins[r["w"].end] = wins.get(r["w"].end, 0) + 1

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, forget, keyed, segment_sums, slices, store, trim, utf8, worker_cache
+from .common import ByteCache, forget, keyed, segment_sums, slices, store, trim, utf8, worker_cache
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast at most (17 bytes each).
@@ -47,7 +47,8 @@ FREQUENT = 1_000_000
 STEPS = 8
 #: Pairs that a task counts before it hands them on.
 PAIRS_AT_ONCE = 1 << 21
-SLICE = 2 << 20
+#: Text that a task encodes at once, and bytes of a generation of the cache of chunks.
+SLICE, CACHE_BYTES = 2 << 20, 32 << 20
 #: New chunks that are encoded in one call.
 GROUP = 256
 #: Ends that the first probe of a stretch compares.
@@ -144,7 +145,7 @@ def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Encoders:
     """Ids of both vocabularies for whole texts, chunk by chunk."""
 
-    def __init__(self, path_a: str, path_b: str, capacity: int = 100_000):
+    def __init__(self, path_a: str, path_b: str, capacity: int = CACHE_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,7 +166,7 @@ class Encoders:
         self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.cuts = self._cuts_alike(pieces)
-        self.chunks = TwoAges(capacity)
+        self.chunks = ByteCache(capacity)
         self._text = self._decimals()
 
     def _cuts_alike(self, pieces: list[str]) -> bool:

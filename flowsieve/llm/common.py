@@ -17,10 +17,23 @@ from flowsieve.session import scratch_path, shuffle_partitions
 BROADCAST_BYTES = 48 << 20
 #: Text handled at once inside a task.
 SLICE_BYTES = 4 << 20
-#: Column of ``numbered``.
+#: Column of ``numbered``; underscores follow while the input has a column of that name.
 ROW = "_row_id"
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(docs: DataFrame):
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table under the shared checkpoint folder and read it back.
 
@@ -38,14 +51,15 @@ def odd_keys(docs: DataFrame, key: str) -> bool:
                 .filter("n > 1 or k is null").limit(1).count())
 
 
-def numbered(docs: DataFrame, key: str, text: str, nulls_first: bool) -> DataFrame:
-    """``docs`` with ``ROW``, a unique long that orders rows as ``key`` does; whole rows are stored if keys are odd."""
+def numbered(docs: DataFrame, key: str, text: str, nulls_first: bool) -> tuple[DataFrame, str]:
+    """``docs`` with a unique long (named as told) that orders rows as ``key`` does; whole rows are stored if keys are odd."""
+    name = free_name(docs, ROW)
     if not odd_keys(docs, key):
-        return docs.withColumn(ROW, F.col(key).cast("long"))
+        return docs.withColumn(name, F.col(key).cast("long")), name
     value = F.col(key).cast("long")
     order = [value.asc_nulls_first() if nulls_first else value.asc_nulls_last(), F.xxhash64(text)]
     return store(docs.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+                 .withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> DataFrame:
@@ -60,7 +74,7 @@ def keyed(docs: DataFrame, key: str, text: str, extra: dict | None = None) -> Da
     cols = [F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     cols += [c.alias(k) for k, c in (extra or {}).items()]
     rows = docs.select(*cols)
-    if key != ROW and odd_keys(docs, key):
+    if not key.startswith(ROW) and odd_keys(docs, key):
         order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
         rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order)
                      .withColumn("row_id", F.monotonically_increasing_id()), "rows")
@@ -84,9 +98,10 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes:
 
 def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``docs`` without the keys in ``gone`` (one column), columns as they were."""
-    gone = store(gone.toDF("_gone").filter("_gone is not null").distinct(), "gone")
+    name = free_name(docs, "_gone")
+    gone = store(gone.toDF(name).filter(F.col(name).isNotNull()).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone.hint("shuffle_hash")
-    return docs.join(side, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(side, F.col(key).cast("long") == F.col(name), "left_anti")
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
@@ -175,7 +190,7 @@ _HELD: dict = {}
 def worker_cache(name, make):
     """What a Python worker keeps between tasks: one operator's at a time, as workers serve all stages."""
     if name not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[name] = make()
     return _HELD[name]
 
@@ -220,6 +235,32 @@ class TwoAges:
         return found
 
 
+class ByteCache:
+    """Cache of two generations bounded by bytes: an entry counts about 200, and 4 for each letter of its key."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held, self.young, self.old = capacity, 0, {}, {}
+
+    def lookup(self, keys: list, make) -> list:
+        """Values (never None) for ``keys`` in order; ``make(list of unknown keys)`` gives theirs."""
+        young, old = self.young, self.old
+        found = [young.get(k) for k in keys]
+        moved, unknown = [], []
+        for i, v in enumerate(found):
+            if v is None:
+                v = found[i] = old.get(keys[i])
+                (unknown if v is None else moved).append(i)
+        for i in moved:
+            young[keys[i]] = found[i]
+        if unknown:
+            for i, v in zip(unknown, make([keys[i] for i in unknown])):
+                found[i] = young[keys[i]] = v
+        self.held += sum(200 + 4 * len(keys[i]) for part in (moved, unknown) for i in part)
+        if self.held > self.capacity:
+            self.old, self.young, self.held = young, {}, 0
+        return found
+
+
 def grouped(rows: DataFrame, keys: list[str], spread: list[str], aggs: dict, keep: str | None = None) -> DataFrame:
     """Rows with values of their whole group, without a task that holds a whole group.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import scratch_path
 
-from .common import ROW, grouped, join_checked, keyed, numbered, store, without
+from .common import grouped, join_checked, keyed, numbered, store, without
 
 WIDTH = 64
 GROWTH = 8
@@ -103,5 +103,5 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each text, columns as they were; rows are judged one by one, also those that share a key or have none."""
-    rows = numbered(docs, key, text, nulls_first=True)
-    return without(rows, ROW, exact_dedup(rows, ROW, text).filter("not kept").select("doc_id")).drop(ROW)
+    rows, row = numbered(docs, key, text, nulls_first=True)
+    return without(rows, row, exact_dedup(rows, row, text).filter("not kept").select("doc_id")).drop(row)

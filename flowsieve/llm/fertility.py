@@ -26,8 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import TwoAges, Words, mix, segment_sums, slices, trim, utf8, worker_cache
+from .common import TwoAges, Words, mix, segment_sums, slices, trim, utf8, whole_row, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 WHITE = " \t\n\r\x0b\f"
@@ -184,10 +185,11 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
         trim()
 
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [whole_row(docs).alias("row")] if carry else []
     content = [] if carry else [F.coalesce(F.col(text), F.lit("")).alias("text")]
     rows = docs.select(*row, F.col(key).cast("long").alias("doc_id"), *content, language.alias("lang"))
-    return rows.mapInArrow(run, (f"row {rows.schema['row'].dataType.simpleString()}, " if carry else "") + SCHEMA)
+    out = StructType.fromDDL(SCHEMA)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *out.fields]) if carry else out)
 
 
 def judge(measured: DataFrame, bands: dict | None = None, min_words: int = MIN_WORDS,

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
@@ -85,7 +87,7 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, rate: float = RATE
     """
     targets = targets or TARGETS
     spark = docs.sparkSession
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [whole_row(docs).alias("row")] if carry else []
     rows = docs.select(*row, F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
                        *([topic.alias("topic")] if topic is not None else []))

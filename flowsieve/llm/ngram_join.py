@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Words, forget, join_checked, keyed, mix, numbered, slices, store, trim, without
+from .common import Words, forget, join_checked, keyed, mix, numbered, slices, store, trim, without
 from .components import components
 
 N, PERCENT = 3, 90
@@ -326,6 +326,6 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **join) -> DataFrame:
     """One row of every component (of the smallest key, null last), columns as they were; rows are judged one by one."""
-    rows = numbered(docs, key, text, nulls_first=False)
-    linked = ngram_join(rows, ROW, text, **join)
-    return without(rows, ROW, linked.filter("doc_id != component_id").select("doc_id")).drop(ROW)
+    rows, row = numbered(docs, key, text, nulls_first=False)
+    linked = ngram_join(rows, row, text, **join)
+    return without(rows, row, linked.filter("doc_id != component_id").select("doc_id")).drop(row)

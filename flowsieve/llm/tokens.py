@@ -19,11 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, Words, segment_sums, slices, utf8, worker_cache
+from .common import ByteCache, Words, segment_sums, slices, trim, utf8, worker_cache
 
 #: Id appended to every document.
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Text that a task encodes at once, and bytes of a generation of the cache of pieces.
+SLICE, CACHE_BYTES = 1 << 20, 24 << 20
 
 
 def default_vocabulary() -> str:
@@ -55,7 +57,7 @@ def simple(texts) -> np.ndarray:
 class WordEncoder:
     """Ids of texts as the library gives them with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, capacity: int = 150_000):
+    def __init__(self, path: str, capacity: int = CACHE_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +65,7 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width, self.kind = ("<u2", "H") if self.tok.get_vocab_size() < 1 << 16 else ("<u4", "I")
-        self.words, self.pieces = TwoAges(capacity), TwoAges(capacity)
+        self.words, self.pieces = ByteCache(capacity // 2), ByteCache(capacity)
         self.by_piece = self._cuts_alike()
         self.by_word = self._whole([PROBE])[0] == b"".join(self._whole(PROBE.split()))
 
@@ -171,7 +173,7 @@ def tokenise(rows: DataFrame, vocabulary: str, end_id: int = END_ID, cuts: tuple
     """
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             ids, borders = enc.encode(batch.column("text"))
             rid, did = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
             out = {"row_id": [], "doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
@@ -186,6 +188,7 @@ def tokenise(rows: DataFrame, vocabulary: str, end_id: int = END_ID, cuts: tuple
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
                 [("row_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                  ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
+        trim()
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
         run, "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary")

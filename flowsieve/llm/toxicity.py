@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, Words, forget, keyed, mix, segment_sums, slices, store, trim, worker_cache
+from .common import ByteCache, Words, forget, keyed, mix, segment_sums, slices, store, trim, worker_cache
 
 MAX_LABELLED = 20_000
 MAX_TRAINED = 20_000
@@ -188,7 +189,7 @@ def votes(texts, bits: dict[str, int]) -> np.ndarray:
         return out
 
     w = letter_words(texts)
-    cache = worker_cache(("votes", len(bits), zlib.crc32(repr(sorted(bits)).encode())), lambda: TwoAges(100_000))
+    cache = worker_cache(("votes", len(bits), zlib.crc32(repr(sorted(bits)).encode())), lambda: ByteCache(24 << 20))
     mask = np.array(cache.lookup(w.distinct.to_pylist(), masks), np.int64)[w.codes] if len(w.codes) else np.zeros(0, np.int64)
     n = np.diff(w.offsets)
     hit = np.flatnonzero(mask)
@@ -335,11 +336,14 @@ def _word_features(words: list[str]) -> list[tuple[int, ...]]:
 
 def _features(w: Words, bits: int):
     """Feature numbers of the distinct words, flat, and each word's borders."""
-    cache = worker_cache("toxic-words", lambda: TwoAges(60_000))
-    known = cache.lookup(w.distinct.to_pylist(), _word_features)
-    flat = np.fromiter((h for k in known for h in k), np.uint64)
+    known = _word_features(w.distinct.to_pylist())
+    flat = np.fromiter(chain.from_iterable(known), np.uint64)
     borders = np.concatenate(([0], np.cumsum([len(k) for k in known], dtype=np.int64)))
-    return (mix(flat + np.uint64(11)) >> np.uint64(64 - bits)).astype(np.int64), borders.astype(np.int64)
+    return _number(flat, bits), borders.astype(np.int64)
+
+
+def _number(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(hashes + np.uint64(11)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def train_soft(rows, bits: int, epochs: int = EPOCHS) -> tuple[float, np.ndarray]:
@@ -421,13 +425,26 @@ def score(rows: DataFrame, classifier: tuple[float, np.ndarray]) -> DataFrame:
     bits = len(weights).bit_length() - 1
     shared = rows.sparkSession.sparkContext.broadcast(weights)  # 4 << bits bytes
 
+    name = zlib.crc32(weights.tobytes())
+
+    def weighty(words):
+        """Of each word the features that have a weight; most have none."""
+        known = _word_features(words)
+        flat = np.fromiter(chain.from_iterable(known), np.uint64)
+        number = _number(flat, bits)
+        owner = np.repeat(np.arange(len(known)), [len(k) for k in known])
+        out = [()] * len(known)
+        for at in np.flatnonzero(shared.value[number]).tolist():
+            out[owner[at]] += (int(number[at]),)
+        return out
+
     def run(batches):
         for b in slices(batches, limit=1 << 20):
             w = letter_words(b.column("text"))
-            number, borders = _features(w, bits)
+            known = worker_cache(("toxic-score", name), lambda: ByteCache(16 << 20)).lookup(w.distinct.to_pylist(), weighty)
             n, weight = np.diff(w.offsets), shared.value
-            counts = weight[number] != 0
-            number, borders = number[counts], np.concatenate(([0], np.cumsum(counts)))[borders]
+            number = np.fromiter(chain.from_iterable(known), np.int64)
+            borders = np.concatenate(([0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)))))
             per = np.diff(borders)[w.codes] if len(w.codes) else np.zeros(0, np.int64)
             hit = np.flatnonzero(per)  # words with a feature that has a weight
             per = per[hit]

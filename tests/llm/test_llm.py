@@ -176,11 +176,11 @@ def test_substring_dedup_odd_rows(odd, empty):
     assert 0 < len(bytes(tail.kept)) <= 54
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, percent=90, n=3):
     sets = []
     for key, text in rows:
         w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
-        sets.append((key, frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])))
+        sets.append((key, frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])))
     parent = list(range(len(sets)))
 
     def find(x):
@@ -421,7 +421,7 @@ def test_pipeline_against_brute_force(spark, texts):
     for k in sorted(text):
         last[text[k]] = k
     text = {k: t for t, k in last.items()}
-    stay = {k: text[k] for k, _, c in brute_components(sorted(text.items())) if k == c}
+    stay = {k: text[k] for k, _, c in brute_components(sorted(text.items()), 80, 5) if k == c}
     left = docs.filter(docs.doc_id.isin(*stay))
     chosen = {r.doc_id for r in mixing.mix_sources(left).filter("selected").collect()}
     got = corpus_pipeline.run(spark, SF_SMALL).collect()
@@ -434,6 +434,39 @@ def test_pipeline_against_brute_force(spark, texts):
     assert [s for s, _ in corpus_pipeline.STAGES][-1] == "packing"
 
 
+def test_stages_take_odd_rows_and_names(spark, tmp_path):
+    """Names that clash with the operators' own, dots, nulls, repeated rows, an empty table: all stages in order."""
+    good = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, 2, "a", None) for r in good] * 2
+    rows += [(None, good[0].text, None, None, None, None, None, None, 7), (None, None, None, None, 1, 1, 1, "b", 7), (3, "", "en", "src1", 0, 1, 1, "c", 8)]
+    names = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "_gone int", "_row_id int", "`a.b` string", "row int"]
+    for k, part in enumerate((rows, [])):
+        path = str(tmp_path / f"in{k}" / "documents.parquet")
+        spark.createDataFrame(part, ", ".join(names)).repartition(2).write.parquet(path)
+        docs = spark.read.parquet(path)
+        columns, seen = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs.write.parquet(out := str(tmp_path / f"{k}-{name}")) if name != "quality_rules" else None
+            docs = stage(spark, spark.read.parquet(out) if name != "quality_rules" else docs, str(tmp_path / f"in{k}"))
+            if name != "packing":
+                assert docs.columns == columns and docs.count() <= seen, name
+                seen = docs.count()
+                if name == "exact_dedup":
+                    texts = [r.text or "" for r in docs.collect()]
+                    assert len(texts) == len(set(texts))
+        assert docs.count() == 0 or k == 0
+        assert (k == 0) == (corpus_pipeline.run(spark, str(tmp_path / f"in{k}")).count() > 0)
+
+
+def test_near_copies_of_five_words(spark):
+    """A 200-word text with four scattered words replaced links at five words and 80 %, not at three words and 90 %."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "quite another text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3]
+    assert ngram_join.drop_near_copies(docs).count() == 3
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for p in root.glob("flowsieve/**/*.py"):

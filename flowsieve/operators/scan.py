@@ -174,9 +174,11 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
 
 
 def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column, reset: Column,
-                      name: str, sample_from: DataFrame | None = None) -> DataFrame:
+                      name: str, sample_from: DataFrame | None = None, start: Column | None = None) -> DataFrame:
     """Running sum of ``inc`` since the latest row where ``reset`` holds (reset rows give 0 there).
 
+    ``start`` is what a key has counted before its first row here; null counts as 0.
+
     One pass: with A = running sum of ``inc`` and M = A at the latest reset row,
     the answer is ``A - M``.  Inside a slice both come from one window; across
     slices A gets the summed totals of earlier slices and M the largest
@@ -206,7 +208,7 @@ def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column,
     joined = local.join(offsets, on=cond, how="inner")
     a = F.col("__a") + F.col("__off_a")
     m = F.greatest(F.col("__m") + F.col("__off_a"), F.col("__off_m"))
-    return joined.select(*[F.col(c) for c in base_cols], (a - F.coalesce(m, F.lit(0))).alias(name))
+    return joined.select(*[F.col(c) for c in base_cols], (a - F.coalesce(m, -start if start is not None else F.lit(0), F.lit(0))).alias(name))
 
 
 def row_number(df: DataFrame, keys: list[str], order: list, name: str = "rn",

@@ -133,6 +133,54 @@ def prepare(df: DataFrame, features: str, label_idx: str, weight: str | None, ke
             .repartition(num_partitions, "__h").sortWithinPartitions("__h").drop("__h"))
 
 
+def gradient_step(data: DataFrame, states: list[SgdState]) -> list[SgdState]:
+    """One full-batch step: the mean gradient over all rows, whatever the partitions.
+
+    Partitions emit gradient sums (configs x K x (F + 1) numbers); the sum of the
+    sums over the number of rows is the step that ``local_pass`` takes on one batch
+    that holds everything.
+    """
+    def run(batches):
+        total, n = None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+            y, sw = pdf["label_idx"].to_numpy().astype(np.int64), pdf["weight"].to_numpy().astype(np.float64)
+            part = []
+            for st in states:
+                ypm = np.where(y[:, None] == np.arange(len(st.b))[None, :], 1.0, -1.0)
+                g = _dloss(st.config.loss, ypm * (x @ st.w.T + st.b)) * ypm * sw[:, None]
+                part.append(np.concatenate((g.sum(axis=0)[:, None], g.T @ x), axis=1))
+            total = part if total is None else [a + b for a, b in zip(total, part)]
+            n += len(y)
+        if n:
+            yield pd.DataFrame([(st.config.name, k, j - 1, float(g[k, j]), n, 1.0) for st, g in zip(states, total)
+                                for k in range(g.shape[0]) for j in range(g.shape[1])],
+                               columns=["config", "class_index", "feature_index", "wsum", "n", "steps"])
+
+    means = (data.mapInPandas(run, _OUT_SCHEMA).groupBy("config", "class_index", "feature_index")
+             .agg((F.sum("wsum") / F.sum("n")).alias("g")).collect())
+    by_config = {}
+    for r in means:
+        if r["g"] is None or not np.isfinite(r["g"]):
+            raise ValueError(f"{r['config']}: a gradient is not finite; check features and weights")
+        by_config.setdefault(r["config"], {})[r["class_index"], r["feature_index"]] = r["g"]
+    out = []
+    for st in states:
+        g = by_config.get(st.config.name)
+        if g is None:
+            out.append(st)
+            continue
+        c, eta = st.config, 1.0 / (st.config.alpha * (st.t + _t0(st.config)))
+        w = st.w * max(0.0, 1.0 - eta * c.alpha * (1.0 - c.l1_ratio))
+        w = w - eta * np.array([[g[k, j] for j in range(w.shape[1])] for k in range(w.shape[0])])
+        if c.l1_ratio > 0:
+            w = np.sign(w) * np.maximum(np.abs(w) - eta * c.alpha * c.l1_ratio, 0.0)
+        out.append(SgdState(c, w, st.b - eta * np.array([g[k, -1] for k in range(len(st.b))]), st.t + 1.0))
+    return out
+
+
 def init_states(configs: list[SgdConfig], n_classes: int, n_features: int) -> list[SgdState]:
     return [SgdState(c, np.zeros((n_classes, n_features)), np.zeros(n_classes)) for c in configs]
 

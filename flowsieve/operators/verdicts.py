@@ -47,30 +47,36 @@ def ladder(df: DataFrame, alert_threshold: float = ALERT_THRESHOLD, block_thresh
 
 
 def repeat_offender(decided: DataFrame, src: str = "src_ip", order: list[str] = ORDER,
-                    repeat: int = REPEAT_ATTACK_COUNT, sample_from: DataFrame | None = None) -> DataFrame:
+                    repeat: int = REPEAT_ATTACK_COUNT, sample_from: DataFrame | None = None,
+                    alerts_before: str | None = None, running: str | None = None) -> DataFrame:
     """Alerts since the last BENIGN or BLOCK per source; every ``repeat``-th escalates to a block.
 
     The count restarts after an escalation, so escalation happens exactly when
     the count is a multiple of ``repeat``.  FP_PREVENT rows neither add nor reset.
     With A = running number of alerts and M = A at the latest reset row,
     the count is A - M, computed in one skew-safe scan (no per-source task).
+    ``alerts_before`` names a column with the source's count before these rows;
+    ``running`` names a column for the count after each row, whatever its decision.
     """
     is_alert = F.col("decision") == "ALERT_ONLY"
     is_reset = F.col("decision").isin("BENIGN", "BLOCK")
     counted = scan.count_since_reset(decided, [src], order, is_alert.cast("long"), is_reset, "__since",
-                                     sample_from=sample_from)
+                                     sample_from=sample_from,
+                                     start=F.col(alerts_before) if alerts_before else None)
     out = counted.withColumn("alerts_since_reset", F.when(is_alert, F.col("__since")).otherwise(F.lit(0)))
     out = out.withColumn("escalated", is_alert & (F.col("alerts_since_reset") % repeat == 0))
-    return out.drop("__since")
+    return out.withColumnRenamed("__since", running) if running else out.drop("__since")
 
 
-def block_acceptance(decided: DataFrame, src: str = "src_ip", whitelist: list[str] = FIREWALL_WHITELIST) -> DataFrame:
+def block_acceptance(decided: DataFrame, src: str = "src_ip", whitelist: list[str] = FIREWALL_WHITELIST,
+                     blocked_before: str | None = None) -> DataFrame:
     """Whether the firewall ledger accepts each block action.
 
     The detector never unblocks, so the first block action of a source is
     accepted (unless whitelisted) and later ones find it already blocked.
     The first action is found by a per-source ``min`` (partial aggregation)
-    joined back, not by a per-source window.
+    joined back, not by a per-source window.  ``blocked_before`` names a column
+    that says whether the source was blocked before these rows.
     """
     action = (F.col("decision") == "BLOCK") | F.col("escalated")
     tagged = decided.withColumn("block_action", action)
@@ -80,10 +86,13 @@ def block_acceptance(decided: DataFrame, src: str = "src_ip", whitelist: list[st
     joined = tagged.join(firsts, tagged[src] == firsts["__src"], "left")
     accepted = (F.col("block_action") & ~F.col(src).isin(*whitelist)
                 & (F.struct(*[F.col(c) for c in ORDER]) == F.col("__first")))
+    if blocked_before:
+        accepted = accepted & ~F.coalesce(F.col(blocked_before), F.lit(False))
     return joined.withColumn("block_accepted", F.coalesce(accepted, F.lit(False))).drop("__src", "__first")
 
 
-def decide(verdicts: DataFrame, safe: DataFrame | None, **ladder_args) -> DataFrame:
+def decide(verdicts: DataFrame, safe: DataFrame | None, alerts_before: str | None = None,
+           blocked_before: str | None = None, running: str | None = None, **ladder_args) -> DataFrame:
     """Full per-verdict decision table.
 
     Safe-listed rows are kept with ``decision = 'SAFE_LIST'`` (they are only
@@ -95,12 +104,16 @@ def decide(verdicts: DataFrame, safe: DataFrame | None, **ladder_args) -> DataFr
     else:
         to_score, skipped = verdicts, verdicts.limit(0)
     # slice boundaries are sampled from the raw verdict rows (cheaper than after the join)
-    scored = block_acceptance(repeat_offender(ladder(to_score, **ladder_args), sample_from=verdicts))
+    counted = repeat_offender(ladder(to_score, **ladder_args), sample_from=verdicts, alerts_before=alerts_before,
+                              running=running)
+    scored = block_acceptance(counted, blocked_before=blocked_before)
     rest = (skipped.withColumn("decision", F.lit("SAFE_LIST"))
             .withColumn("alerts_since_reset", F.lit(0).cast("long"))
             .withColumn("escalated", F.lit(False))
             .withColumn("block_action", F.lit(False))
             .withColumn("block_accepted", F.lit(False)))
+    if running:
+        rest = rest.withColumn(running, F.lit(None).cast("long"))
     return scored.unionByName(rest)
 
 
@@ -163,6 +176,7 @@ def alerts(decided: DataFrame) -> DataFrame:
     return alert_rows.unionByName(block_rows)
 
 
-def alert_json(alerts_df: DataFrame) -> DataFrame:
-    """Alert payloads as JSON text, ready for a message sink (Kafka, files)."""
-    return alerts_df.select(F.to_json(F.struct(*alerts_df.columns)).alias("value"))
+def alert_json(alerts_df: DataFrame, name: str = "value") -> DataFrame:
+    """Alerts with their payload as JSON text (nulls included), ready for a message sink (Kafka, files)."""
+    payload = F.to_json(F.struct(*alerts_df.columns), {"ignoreNullFields": "false"})
+    return alerts_df.withColumn(name, payload)

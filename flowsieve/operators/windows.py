@@ -88,12 +88,14 @@ def feature_columns() -> list:
 
 
 def flow_window_features(packets: DataFrame, width: str = "1 second", keys: list[str] | None = None,
-                         min_packets: int = MIN_WINDOW_PACKETS, cap: int | None = None) -> DataFrame:
+                         min_packets: int = MIN_WINDOW_PACKETS, cap: int | None = None,
+                         with_event: bool = False) -> DataFrame:
     """One row per (window, keys) with at least ``min_packets`` packets.
 
     ``keys=[]`` is one global window stream (the last packet names the source);
     ``keys=['src_ip']`` keeps one window per source, the form that scales.
     ``cap`` keeps only the last ``cap`` packets of a window for times and sizes.
+    ``with_event`` adds ``event_id``, the greatest of the window's packets, as its number.
     """
     keys = list(keys or [])
     p = packets.withColumn("__w", F.window("ts", width))
@@ -103,13 +105,14 @@ def flow_window_features(packets: DataFrame, width: str = "1 second", keys: list
         p = p.withColumn("__in_cap", F.col("__rank_desc") <= cap)
         capped = "__in_cap"
     group_keys = [F.col(k).alias(f"__key_{k}") for k in keys]
-    agg = p.groupBy(F.col("__w"), *group_keys).agg(*window_aggregates(capped))
+    more = [F.max("event_id").alias("event_id")] if with_event else []
+    agg = p.groupBy(F.col("__w"), *group_keys).agg(*window_aggregates(capped), *more)
     agg = agg.where(F.col("__n") >= min_packets)
     return agg.select(
         F.col("__w.start").alias("window_start"),
         F.col("__w.end").alias("window_end"),
         *[F.col(f"__key_{k}").alias(f"key_{k}") for k in keys],
-        "src_ip", "dst_ip",
+        "src_ip", "dst_ip", *["event_id"] * with_event,
         *feature_columns(),
     )
 

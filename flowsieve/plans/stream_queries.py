@@ -3,19 +3,19 @@ features, stateful verdicts, live counters, carry-over windows, incremental trai
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import carry
-from ..session import local_dir, scratch_path
-from ..sources import flow_csv
+from ..operators import carry, verdicts
+from ..session import scratch_path
+from ..sources import alert_sink, flow_csv
 from ..sources.tables import table
 from ..streaming import packets as st
+from ..streaming.training import TrainingStream
+from ..streaming.verdicts import VerdictStream
 from .packet_queries import GLOBAL_WIDTH, _window_out, _window_sql, window_body
 from .registry import register, sql_ts_text, ts_text
-from .verdict_queries import _decide_sql
+from .verdict_queries import _COUNTER_SQL, _decide_sql
 
 _FLOW_COLS = [n for n, _ in fx.FLOWS]
 _PADDED = {"label": " label ", "Rate": "Rate "}     # headers written with stray blanks
@@ -89,36 +89,59 @@ def q_packet_stream_source(spark, sf_dir):
 @register("flow_windows_stream", _window_sql("hour", [], closed_only=True))
 def q_flow_windows_stream(spark, sf_dir):
     """Window features on the packet stream; closed windows only (watermark)."""
-    out = _run(st.flow_windows_stream(_packet_stream(spark, sf_dir), GLOBAL_WIDTH), spark, "windows-stream")
+    out = _run(st.flow_windows_stream(_packet_stream(spark, sf_dir), GLOBAL_WIDTH, "0 seconds"), spark, "windows-stream")
     return _window_out(out, [])
 
 
-def _verdict_stream_input(spark, sf_dir):
-    packets = fx.PROJECTIONS["packets"].apply(_events_stream(spark, sf_dir))
-    return fx.PROJECTIONS["verdict_in"].apply(packets)
+#: Files of the verdict streams, arriving out of order: an event arrives up to four days after its time.
+ARRIVALS, DELAY = 3, "5 days"
+_ARRIVAL = "unix_micros(cast(ts as timestamp)) + (event_id % 5) * 86400000000L"
+
+
+class _AlertingVerdicts(VerdictStream):
+    """Decisions whose alerts go to the alert sink, one transaction per batch."""
+
+    def __init__(self, spark, root, safe, delay, schema, sink_path):
+        super().__init__(spark, root, safe, delay)
+        self.schema, self.sink, self.sink_path = schema, alert_sink.register(spark), sink_path
+
+    def before_commit(self, number):
+        (verdicts.alerts(self.batch_decisions(self.schema, number)).write.format(self.sink).option("path", self.sink_path)
+         .option("transaction", f"batch-{number}").mode("append").save())
+
+
+def verdict_run(spark, sf_dir, root=None, make=VerdictStream):
+    """All verdict rows through the stream, out of order, stopped and restarted after each arrival; (stream, schema)."""
+    rows = fx.load(spark, sf_dir, "verdict_in").withColumn("__arrival", F.expr(_ARRIVAL))
+    ends = rows.agg(F.min("__arrival").alias("lo"), F.max("__arrival").alias("hi")).first()
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ARRIVALS + 1)
+    rows = rows.withColumn("__part", F.expr(f"cast((__arrival - {ends['lo'] or 0}L) div {width}L as int)"))
+    src, root, ckpt = (scratch_path(spark, f"verdict-{x}") for x in ("in", "tables", "checkpoint"))
+    safe = fx.load(spark, sf_dir, "safe_list")
+    for part in range(ARRIVALS):
+        rows.where(F.col("__part") == part).drop("__arrival", "__part").write.mode("append").parquet(src)
+        schema = spark.read.parquet(src).schema
+        run = make(spark, root, safe, DELAY)
+        (spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(run.apply)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    return run, schema
 
 
 @register("verdict_stream", _decide_sql(
     "SELECT event_id, src_ip, decision, alerts_since_reset, escalated, block_accepted FROM decided "
     "WHERE decision <> 'SAFE_LIST'"))
 def q_verdict_stream(spark, sf_dir):
-    """Ladder, repeat counter and block ledger with keyed state per source."""
-    out = _run(st.verdict_stream(_verdict_stream_input(spark, sf_dir), fx.load(spark, sf_dir, "safe_list")),
-               spark, "verdict-stream")
-    return out.select("event_id", "src_ip", "decision", "alerts_since_reset", "escalated", "block_accepted")
-
-
-@register("running_counters_stream", _decide_sql(
-    "SELECT cast(sum(n_packets) AS BIGINT) AS total_packets, "
-    "cast(sum(CASE WHEN decision <> 'SAFE_LIST' THEN 1 ELSE 0 END) AS BIGINT) AS total_predictions, "
-    "cast(sum(CASE WHEN decision = 'ALERT_ONLY' THEN 1 ELSE 0 END) AS BIGINT) AS total_alerts, "
-    "cast(sum(CASE WHEN decision = 'FP_PREVENT' THEN 1 ELSE 0 END) AS BIGINT) AS false_positives_prevented, "
-    "cast(sum(CASE WHEN decision = 'BLOCK' THEN 1 ELSE 0 END) AS BIGINT) AS block_decisions, "
-    "cast(sum(CASE WHEN decision = 'SAFE_LIST' THEN 1 ELSE 0 END) AS BIGINT) AS safe_list_skipped FROM decided"))
+    """Ladder, repeat counter and block ledger over files out of order, with a restart after each."""
+    run, schema = verdict_run(spark, sf_dir)
+    return run.decided(schema).where(F.col("decision") != "SAFE_LIST").select(
+        "event_id", "src_ip", "decision", "alerts_since_reset", "escalated", "block_accepted")
+
+
+@register("running_counters_stream", _decide_sql(_COUNTER_SQL))
 def q_running_counters_stream(spark, sf_dir):
-    """Live totals in complete mode; the last snapshot is returned."""
-    counters = st.running_counters(_verdict_stream_input(spark, sf_dir), fx.load(spark, sf_dir, "safe_list"))
-    return _run(counters, spark, "counters-stream", mode="complete").drop("batch_id")
+    """Live totals behind the verdicts, over files out of order, with a restart after each."""
+    run, schema = verdict_run(spark, sf_dir)
+    return run.totals(schema)
 
 
 def _carry_sql() -> str:
@@ -153,34 +176,63 @@ def q_carry_over_windows(spark, sf_dir):
 
 @register("incremental_train_stream")
 def q_incremental_train_stream(spark, sf_dir):
-    """Flow files arriving one per micro-batch update the models; version = batch id (idempotent)."""
+    """Flow files arriving one after the other update the stored models, with a restart after each; version = batch."""
+    run = train_run(spark, sf_dir)
+    return run.versions().groupBy("version", "model").agg(
+        F.count(F.lit(1)).alias("n_coefficients"), F.max("steps").alias("steps"), F.sum(F.abs("weight")).alias("l1_norm"))
+
+
+#: Arrivals of the training stream, and files of each.
+FILES, FILE_PARTS = 3, 4
+
+
+def train_run(spark, sf_dir, restart: bool = True, make=TrainingStream, files: int = FILES):
+    """The training stream over flow files, in one run or with a restart after each file."""
     from . import train_queries, training
-    from ..operators import sgd
     model, _ = train_queries.trained(spark, sf_dir)
-    src = scratch_path(spark, "flow-files")
-    fx.load(spark, sf_dir, "flows").repartition(3, "file_id").write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    store = scratch_path(spark, "coefficients")
-    state = {"states": sgd.init_states(training.member_configs(model.best_params), len(model.classes),
-                                       len(model.feature_names))}
-
-    def update(batch, batch_id):
-        done = local_dir(f"{store}/version={batch_id}")
-        if done and os.path.exists(done):
-            return                                  # replayed batch: already applied
+    flows = fx.load(spark, sf_dir, "flows")
+    src, root, ckpt = (scratch_path(spark, f"train-{x}") for x in ("in", "models", "checkpoint"))
+
+    def vectors(batch):
         keyed = training.keyed(training.labels.group_labels(batch))
-        rows = training._training_rows(keyed, model.classes, model.raw, model.scaler, "file_id")
-        data = sgd.prepare(rows, "features", "label_idx", "weight", F.col("row_key"), 42, 4)
-        state["states"] = sgd.fit(data, state["states"], 3)
-        from ..operators import linear
-        coefs = spark.createDataFrame(linear.coefficient_rows([s.to_model() for s in state["states"]]),
-                                      linear.COEF_SCHEMA)
-        coefs.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
-
-    ckpt = scratch_path(spark, "train-stream-checkpoint")
-    stream.writeStream.foreachBatch(update).option("checkpointLocation", ckpt).trigger(availableNow=True) \
-        .start().awaitTermination()
-    stored = spark.read.parquet(store)
-    return stored.groupBy("version", "model").agg(F.count(F.lit(1)).alias("n_coefficients"),
-                                                 F.sum(F.abs("weight")).alias("l1_norm"))
+        return training._training_rows(keyed, model.classes, model.raw, model.scaler, "file_id")
+
+    def go(limit):
+        run = make(spark, root, training.member_configs(model.best_params), len(model.classes),
+                   len(model.feature_names), vectors, 3)
+        stream = spark.readStream.schema(flows.schema)
+        (stream.option("maxFilesPerTrigger", limit) if limit else stream).parquet(src).writeStream \
+            .foreachBatch(run.apply).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+        return run
+
+    for part in range(files):
+        flows.where(F.col("file_id") % files == part).repartition(FILE_PARTS).write.mode("append").parquet(src)
+        if restart or part == files - 1:
+            run = go(None if restart else FILE_PARTS)
+    return run
+
+
+def score_stream(spark, sf_dir, model, packets, root, delay: str, checkpoint: str):
+    """Packets -> windows -> vote -> decisions as one streaming query; runs to the end of the input."""
+    from . import train_queries
+    run = VerdictStream(spark, root, fx.load(spark, sf_dir, "safe_list"), "0 seconds")
+    windows = st.flow_windows_stream(packets, train_queries.SCORE_WIDTH, delay, ["src_ip"], with_event=True)
+
+    def step(batch, number):
+        # windows close in the order of the watermark, so no row has to wait for an earlier one
+        run.apply(train_queries.verdict_rows(batch, model), number)
+
+    windows.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return run
+
+
+@register("score_job_stream")
+def q_score_job_stream(spark, sf_dir):
+    """The scoring job over a packet stream: decisions on closed windows."""
+    from . import train_queries
+    model, _ = train_queries.trained(spark, sf_dir)
+    run = score_stream(spark, sf_dir, model, _packet_stream(spark, sf_dir), scratch_path(spark, "score-tables"),
+                       "0 seconds", scratch_path(spark, "score-checkpoint"))
+    rows = train_queries.verdict_schema(spark)
+    return train_queries.decided_out(run.decided(rows))

@@ -121,27 +121,39 @@ def q_sink_model(spark, sf_dir):
     return j.select(*keys, F.col("a.weight").alias("saved"), (F.col("a.weight") == F.col("b.weight")).alias("equal"))
 
 
+#: Window of the scoring job in the test tables.
+SCORE_WIDTH = "1 day"
+_VERDICT_ROW = "event_id long, ts timestamp, src_ip string, dst_ip string, label string, confidence double, n_packets int"
+
+
+def verdict_schema(spark):
+    return spark.createDataFrame([], _VERDICT_ROW).schema
+
+
+def verdict_rows(win, model):
+    """Scored windows (with ``event_id``) as rows to decide on."""
+    from ..operators import linear
+    keep = ["event_id", "window_start", "src_ip", "dst_ip", "n_pk"]
+    v = training.vectors(win.withColumn("n_pk", F.col("Number")), model.raw, model.scaler, keep)
+    scored = linear.predict(v, "features", model.models, model.classes, keep)
+    return scored.select("event_id", F.col("window_start").cast("timestamp").alias("ts"), "src_ip", "dst_ip", "label",
+                         "confidence", F.col("n_pk").cast("int").alias("n_packets"))
+
+
+def decided_out(decided):
+    return decided.select("event_id", "src_ip", "label", r("confidence").alias("confidence"), "decision",
+                          "escalated", "block_accepted")
+
+
 @register("score_job")
 def q_score_job(spark, sf_dir):
     """Packets -> per-source windows -> features -> scale -> vote -> decisions."""
     model, _ = trained(spark, sf_dir)
-    packets = fx.load(spark, sf_dir, "packets")
-    win = windows.flow_window_features(packets, "1 day", keys=["src_ip"])
-    ids = packets.groupBy(F.window("ts", "1 day").start.alias("window_start"), F.col("src_ip").alias("key_src_ip")) \
-        .agg(F.max("event_id").alias("event_id"))
-    win = win.join(ids, ["window_start", "key_src_ip"]).withColumn("n_pk", F.col("Number"))
-    v = training.vectors(win, model.raw, model.scaler, ["event_id", "window_start", "src_ip", "dst_ip", "n_pk"])
-    from ..operators import linear
-    scored = linear.predict(v, "features", model.models, model.classes,
-                            ["event_id", "window_start", "src_ip", "dst_ip", "n_pk"])
-    verdict_rows = scored.select("event_id", F.col("window_start").alias("ts"), "src_ip", "dst_ip", "label",
-                                 "confidence", F.col("n_pk").cast("int").alias("n_packets"))
+    win = windows.flow_window_features(fx.load(spark, sf_dir, "packets"), SCORE_WIDTH, keys=["src_ip"], with_event=True)
     # one row per scored window (far fewer than packets): materialise it once so the
     # decision scans do not re-run window aggregation and scoring for their sampling
-    verdict_rows = cut_lineage(verdict_rows)
-    decided = verdicts.decide(verdict_rows, fx.load(spark, sf_dir, "safe_list"))
-    return decided.select("event_id", "src_ip", "label", r("confidence").alias("confidence"), "decision",
-                          "escalated", "block_accepted")
+    rows = cut_lineage(verdict_rows(win, model))
+    return decided_out(verdicts.decide(rows, fx.load(spark, sf_dir, "safe_list")))
 
 
 def registry_rows(spark, sf_dir):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..contract import BENIGN_LABELS, FIREWALL_WHITELIST, MAC_VENDORS, UNKNOWN_VENDOR
 from ..operators import ledgers, verdicts
+from ..session import cut_lineage, scratch_path
+from ..sources import alert_sink
 from .registry import r, register, sql_ts_text, sr
 
 SAFE_DEFAULTS = ["127.0.0.1"]
@@ -102,15 +104,25 @@ def q_audit_sample(spark, sf_dir):
                       r("confidence").alias("confidence"))
 
 
-@register("sink_alerts", _decide_sql(
-    "SELECT event_id, src_ip, dst_ip, printf('%.1f%%', coalesce(confidence, 0.5) * 100.0) AS confidence_text, "
-    "n_packets, strftime(ts, '%H:%M:%S') AS time_text, 'alert' AS kind, label || ' (alert only)' AS attack_type, "
-    "'not blocked' AS status FROM decided WHERE decision = 'ALERT_ONLY' UNION ALL "
-    "SELECT event_id, src_ip, dst_ip, printf('%.1f%%', coalesce(confidence, 0.5) * 100.0), n_packets, "
-    "strftime(ts, '%H:%M:%S'), 'block', label, CASE WHEN block_accepted THEN 'blocked' ELSE 'not blocked' END "
-    "FROM decided WHERE block_action"))
+_ALERT_SQL = """SELECT *, to_json({event_id: event_id, src_ip: src_ip, dst_ip: dst_ip, confidence_text: confidence_text,
+  n_packets: n_packets, time_text: time_text, kind: kind, attack_type: attack_type, status: status}) AS payload FROM (
+SELECT event_id, src_ip, dst_ip, printf('%.1f%%', coalesce(confidence, 0.5) * 100.0) AS confidence_text,
+  n_packets, strftime(ts, '%H:%M:%S') AS time_text, 'alert' AS kind, label || ' (alert only)' AS attack_type,
+  'not blocked' AS status FROM decided WHERE decision = 'ALERT_ONLY' UNION ALL
+SELECT event_id, src_ip, dst_ip, printf('%.1f%%', coalesce(confidence, 0.5) * 100.0), n_packets,
+  strftime(ts, '%H:%M:%S'), 'block', label, CASE WHEN block_accepted THEN 'blocked' ELSE 'not blocked' END
+  FROM decided WHERE block_action) AS a"""
+
+
+@register("sink_alerts", _decide_sql(_ALERT_SQL))
 def q_sink_alerts(spark, sf_dir):
-    return verdicts.alerts(decided(spark, sf_dir))
+    """Alerts written by the alert sink, one transaction sent twice, and read back with their payloads."""
+    sink, path = alert_sink.register(spark), scratch_path(spark, "alerts")
+    rows = verdicts.alerts(decided(spark, sf_dir))
+    rows = cut_lineage(rows)
+    for _ in range(2):  # the second try of a transaction adds nothing
+        rows.write.format(sink).option("path", path).option("transaction", "1").mode("append").save()
+    return verdicts.alert_json(spark.read.format(sink).load(path), "payload")
 
 
 # -- ledgers ------------------------------------------------------------------

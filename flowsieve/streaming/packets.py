@@ -1,24 +1,17 @@
-"""Structured Streaming: packet source, windowed features, stateful verdicts, counters,
-carry-over windows and incremental training.
+"""Structured Streaming: packet source and windowed features.
 
 Streams are read with an explicit schema; event time is a ``timestamp``
 (``timestamp_ntz`` cannot carry a watermark).  Windows close by watermark, so
-late packets beyond it are dropped -- the tool itself used arrival time.
+late packets beyond it are dropped -- the tool itself used arrival time.  How
+late a packet may come is the caller's choice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..contract import (ALERT_THRESHOLD, BENIGN_LABELS, BLOCK_THRESHOLD, FIREWALL_WHITELIST,
-                        MIN_PACKETS_TO_ALERT, MIN_PACKETS_TO_BLOCK, MIN_WINDOW_PACKETS,
-                        MISSING_CONFIDENCE, REPEAT_ATTACK_COUNT)
+from ..contract import MIN_WINDOW_PACKETS
 from ..operators import windows
 
 
@@ -34,109 +27,7 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def flow_windows_stream(packets: DataFrame, width: str, keys: list[str] | None = None,
-                        delay: str = "0 seconds", min_packets: int = MIN_WINDOW_PACKETS) -> DataFrame:
-    """The batch window features over a stream; append mode emits closed windows."""
-    return windows.flow_window_features(packets.withWatermark("ts", delay), width, keys, min_packets)
-
-
-# -- stateful verdicts -------------------------------------------------------
-
-VERDICT_OUT = ("event_id long, ts timestamp, src_ip string, dst_ip string, label string, confidence double, "
-               "n_packets int, decision string, alerts_since_reset long, escalated boolean, "
-               "block_action boolean, block_accepted boolean")
-VERDICT_STATE = "alerts long, blocked boolean"
-
-
-def _decide_rows(pdf: pd.DataFrame, alerts: int, blocked: bool, src: str):
-    """Sequential ladder + repeat counter + block ledger for one source's rows (time order)."""
-    conf = pdf["confidence"].fillna(MISSING_CONFIDENCE).to_numpy()
-    n = pdf["n_packets"].to_numpy()
-    benign = pdf["label"].isin(BENIGN_LABELS).to_numpy()
-    decision, since, esc, action, accepted = [], [], [], [], []
-    for i in range(len(pdf)):
-        if benign[i]:
-            d = "BENIGN"
-        elif conf[i] < ALERT_THRESHOLD or n[i] < MIN_PACKETS_TO_ALERT:
-            d = "FP_PREVENT"
-        elif conf[i] < BLOCK_THRESHOLD or n[i] < MIN_PACKETS_TO_BLOCK:
-            d = "ALERT_ONLY"
-        else:
-            d = "BLOCK"
-        e, s = False, 0
-        if d == "BENIGN":
-            alerts = 0
-        elif d == "ALERT_ONLY":
-            # counted since the last BENIGN/BLOCK; an escalation every REPEAT_ATTACK_COUNT alerts
-            # is the same as restarting the count after each escalation
-            alerts += 1
-            s = alerts
-            e = alerts % REPEAT_ATTACK_COUNT == 0
-        elif d == "BLOCK":
-            alerts = 0
-        act = d == "BLOCK" or e
-        acc = False
-        if act and not blocked and src not in FIREWALL_WHITELIST:
-            acc, blocked = True, True
-        decision.append(d)
-        since.append(s)
-        esc.append(e)
-        action.append(act)
-        accepted.append(acc)
-    out = pdf[["event_id", "ts", "src_ip", "dst_ip", "label", "confidence", "n_packets"]].copy()
-    out["decision"] = decision
-    out["alerts_since_reset"] = np.array(since, dtype="int64")
-    out["escalated"] = esc
-    out["block_action"] = action
-    out["block_accepted"] = accepted
-    return out, alerts, blocked
-
-
-def _verdict_state_fn(key, batches: Iterator[pd.DataFrame], state: GroupState):
-    src = key[0]
-    alerts, blocked = (state.get if state.exists else (0, False))
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if len(pdf) == 0:
-        return
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    out, alerts, blocked = _decide_rows(pdf, int(alerts), bool(blocked), src)
-    state.update((alerts, blocked))
-    yield out
-
-
-def verdict_stream(verdict_rows: DataFrame, safe: DataFrame | None = None) -> DataFrame:
-    """Ladder, repeat counter and block ledger per source with keyed state.
-
-    Rows of a source inside one micro-batch are processed in time order; the
-    counter and the blocked flag carry over between batches.  Safe-listed
-    sources are removed first by a stream-static anti join.
-    """
-    rows = verdict_rows
-    if safe is not None:
-        rows = rows.join(safe.select(F.col("ip").alias("src_ip")).distinct(), "src_ip", "left_anti")
-    return rows.groupBy("src_ip").applyInPandasWithState(
-        _verdict_state_fn, VERDICT_OUT, VERDICT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def running_counters(verdict_rows: DataFrame, safe: DataFrame) -> DataFrame:
-    """Live totals (complete/update mode): packets, predictions, alerts, FP prevented, safe skipped, blocks.
-
-    Escalations need per-source state and are counted by ``verdict_stream``.
-    """
-    from ..operators import verdicts
-    flagged = verdict_rows.join(safe.select(F.col("ip").alias("src_ip"), F.lit(True).alias("__safe")).distinct(),
-                                "src_ip", "left")
-    laddered = verdicts.ladder(flagged)
-    is_safe = F.coalesce(F.col("__safe"), F.lit(False))
-
-    def count(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("long")
-
-    return laddered.agg(
-        F.sum("n_packets").cast("long").alias("total_packets"),
-        count(~is_safe).alias("total_predictions"),
-        count(~is_safe & (F.col("decision") == "ALERT_ONLY")).alias("total_alerts"),
-        count(~is_safe & (F.col("decision") == "FP_PREVENT")).alias("false_positives_prevented"),
-        count(~is_safe & (F.col("decision") == "BLOCK")).alias("block_decisions"),
-        count(is_safe).alias("safe_list_skipped"),
-    )
+def flow_windows_stream(packets: DataFrame, width: str, delay: str, keys: list[str] | None = None,
+                        min_packets: int = MIN_WINDOW_PACKETS, with_event: bool = False) -> DataFrame:
+    """The batch window features over a stream; append mode emits windows once ``delay`` has passed after them."""
+    return windows.flow_window_features(packets.withWatermark("ts", delay), width, keys, min_packets, with_event=with_event)

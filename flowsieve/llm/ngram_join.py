@@ -53,7 +53,7 @@ FREQUENT = 16000
 ROUNDS = 2
 #: Shingles a task counts before it sends what may be frequent.
 CHUNK = 2_000_000
-#: Bits of a parity sketch: the next power of two from half the set size, this at least.
+#: Bits of a parity sketch: the next power of two from twice the set size, this at least.
 SKETCH_BITS = 512
 #: Mean size of a class of frequent shingles.
 CLASS_SIZE = 16
@@ -145,20 +145,22 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
     return np.concatenate(out)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles per bit; half as many bits are the first half xor the second."""
-    bits = max(SKETCH_BITS, 1 << max(len(shingles) // 2 - 1, 0).bit_length())
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles per bit, as words; half as many bits are the first half xor the second."""
+    bits = max(SKETCH_BITS, 1 << max(2 * len(shingles) - 1, 0).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Bits in which the sketches of each pair differ, folded to the shorter of the two."""
+def differing(a, b) -> np.ndarray:
+    """Bits in which the sketches (Arrow lists of words) of each pair differ, folded to the shorter of the two."""
     out = np.zeros(len(a), np.int64)
-    size = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    first = [x.offsets.to_numpy().astype(np.int64) for x in (a, b)]
+    words = [x.values.to_numpy().view(np.uint64) for x in (a, b)]
+    size = np.stack([np.diff(x) for x in first], axis=1)
     for la, lb in np.unique(size, axis=0).tolist():
         at = np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb))
-        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        x, y = (w[f[:-1][at][:, None] + np.arange(n)] for w, f, n in zip(words, first, (la, lb)))
         least = min(x.shape[1], y.shape[1])
         x, y = (np.bitwise_xor.reduce(v.reshape(len(at), -1, least), axis=1) for v in (x, y))
         out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
@@ -190,28 +192,31 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
             flat = np.concatenate(entries) if entries else np.zeros(0, np.int64)
             borders = np.concatenate(([0], np.cumsum([len(x) for x in entries]))).astype(np.int32)
             sketches = [sketch(s) for s in sets]
-            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, SKETCH_BITS // 64), axis=0) for x in sketches]
+            short = [np.bitwise_xor.reduce(x.reshape(-1, SKETCH_BITS // 64), axis=0) for x in sketches]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()),
+                [b.column("row_id"), b.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(sketches, pa.list_(pa.int64())),
                  pa.array(short, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))],
                 ["row_id", "doc_id", "n", "cls", "sketch", "folded", "entries"])
         trim()
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
-        scan, "row_id long, doc_id long, n long, cls long, sketch binary, folded array<long>, entries array<long>")
+        scan, "row_id long, doc_id long, n long, cls long, sketch array<long>, folded array<long>, entries array<long>")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, n_classes: int) -> DataFrame:
-    """Pairs (a, b) that size and sketch allow to link, with ``gap``: the least distance the sketch proves."""
+def likely(pairs: DataFrame, classes: DataFrame, percent: int, size: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that size and sketch allow to link, with ``gap``: the least distance the sketch proves.
+
+    ``size``: classes, and words of all their sketches.
+    """
     for side in ("a", "b"):
         own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-        pairs = join_checked(pairs, own, side, "inner", 120, n_classes)
+        pairs = join_checked(pairs, own, side, "inner", 64, size[0], 8 * size[1])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     pairs = pairs.filter(100 * small >= percent * large)
 
     def run(batches):
         for b in batches:
-            differ = differing(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())
+            differ = differing(b.column("s_a"), b.column("s_b"))
             both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
             # |a xor b| <= (1 - j) / (1 + j) * (|a| + |b|)
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(differ / both)], ["a", "b", "gap"])
@@ -220,6 +225,18 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, n_classes: int) -
     return pairs.mapInArrow(run, "a long, b long, gap double")
 
 
+def longer_sketches():
+    """Differing bits of ``sketch_a`` and ``sketch_b``, the longer one folded once; 0 where that does not make them alike."""
+    def fold(own: str, other: str):
+        half = (F.size(own) / 2).cast("int")
+        halves = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) == 2 * F.size(other), halves).otherwise(F.col(own))
+
+    bits = F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    longer, shorter = F.greatest(F.size("sketch_a"), F.size("sketch_b")), F.least(F.size("sketch_a"), F.size("sketch_b"))
+    return F.when(longer <= 2 * shorter, F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)).otherwise(F.lit(0))
+
+
 def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of stored pairs (a, b) those whose real sets link."""
     needed = store(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -281,7 +298,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     classes = store(sets.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.min("folded").alias("folded"), F.count(F.lit(1)).alias("members")), "classes")
-    n_classes = classes.count()
+    size = tuple(x or 0 for x in classes.agg(F.count(F.lit(1)), F.sum(F.size("sketch"))).first())
     entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
     shared = store(entries.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
                    .select("entry"), "shared")
@@ -291,7 +308,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
     for k in range(ROUNDS):
         held = store(unsettled(met, parts), f"held-{k}") if k else met.withColumn("component", F.col("cls"))
-        near = store(likely(offers(held, k), classes, percent, n_classes).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
+        near = store(likely(offers(held, k), classes, percent, size).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
                      .select("b", F.col("best.a").alias("a")), "offers")
         if not near.limit(1).count():
             break
@@ -302,15 +319,16 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # what is left within an entry: pairs of different components
     held = store(unsettled(met, parts), "open")
     words = SKETCH_BITS // 64
-    held = join_checked(held, classes.select("cls", "n", "folded"), "cls", "inner", 64 + 8 * words, n_classes)
-    own = ("cls", "component", "n", "folded")
+    held = join_checked(held, classes.select("cls", "n", "folded", "sketch"), "cls", "inner", 80 + 8 * words, size[0], 8 * size[1])
+    own = ("cls", "component", "n", "folded", "sketch")
     left, right = (held.select("entry", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
     bits = sum(F.bit_count(F.col("folded_a")[k].bitwiseXOR(F.col("folded_b")[k])) for k in range(words))
     possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b"))
                 & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+                & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+                & (longer_sketches() * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
     crossing = left.join(right, "entry").filter(possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    more = store(likely(crossing, classes, percent, n_classes), "crossing")
+    more = store(likely(crossing, classes, percent, size), "crossing")
     if more.limit(1).count():
         new = verify(more, rows, classes, n, percent)
         parts = store(components(new if links is None else links.unionByName(new)), "components")

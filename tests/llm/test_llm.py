@@ -458,6 +458,22 @@ def test_stages_take_odd_rows_and_names(spark, tmp_path):
         assert (k == 0) == (corpus_pipeline.run(spark, str(tmp_path / f"in{k}")).count() > 0)
 
 
+def test_sketches_never_exceed_the_difference(spark):
+    """Sketches of sets of any two sizes, in Python and in the crossing join's expression."""
+    rng = np.random.default_rng(8)
+    every = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [np.unique(rng.choice(every, n)) for n in (0, 1, 40, 250, 257, 300, 500, 520, 1000, 1100, 2000, 4000, 8000)]
+    pairs = [(i, j, len(np.setxor1d(x, y)), ngram_join.sketch(x).tolist(), ngram_join.sketch(y).tolist())
+             for i, x in enumerate(sets) for j, y in enumerate(sets)]
+    a, b = (pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (3, 4))
+    own = ngram_join.differing(a, b)
+    df = spark.createDataFrame(pairs, "i int, j int, d int, sketch_a array<long>, sketch_b array<long>")
+    sql = {(r.i, r.j): r.x for r in df.select("i", "j", ngram_join.longer_sketches().alias("x")).collect()}
+    for (i, j, d, x, y), bits in zip(pairs, own.tolist()):
+        assert bits <= d and sql[i, j] <= d and (i != j or bits == 0)
+        assert sql[i, j] == (bits if max(len(x), len(y)) <= 2 * min(len(x), len(y)) else 0)
+
+
 def test_near_copies_of_five_words(spark):
     """A 200-word text with four scattered words replaced links at five words and 80 %, not at three words and 90 %."""
     words = [f"w{i}" for i in range(200)]

@@ -1,8 +1,9 @@
 """Chunks, heads, capped stratified samples, interleaving, splits and file picks.
 
 Every "first k" or running-number operator takes an explicit, unique order key
-(CSV has no row index) and goes through ``scan``: no key, file or class is
-ever numbered inside a single task.
+(CSV has no row index).  Running numbers go through ``scan``: no key, file or class
+is numbered inside a single task.  Firsts go through ``selection``: rows are cut by
+a histogram of their order before any are ranked.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..contract import (CHUNK_ROWS, TEST_MAX_ROWS_PER_CLASS, TEST_ROWS_PER_FILE,
                         TUNING_FILES, TUNING_ROWS_PER_FILE)
-from . import scan
+from . import scan, selection
 
 # Seeded permutation of integral file ids: (id * A + seed * B) mod P, P prime.
 _PICK_A, _PICK_B, _PICK_P = 7919, 104729, 1000003
@@ -41,8 +42,8 @@ def chunk_assign(df: DataFrame, file_col: str, order_col: str, chunksize: int =
 
 
 def head_per_file(df: DataFrame, file_col: str, order_col: str, k: int) -> DataFrame:
-    """First ``k`` rows of every file (``rn`` is the 1-based position)."""
-    return scan.first_k(df, [file_col], [order_col], k, "rn")
+    """First ``k`` rows of every file (``rn`` is the 1-based position); rows are cut before they are ranked."""
+    return selection.first_k(df, [file_col], [order_col], k, "rn")
 
 
 def stratified_cap_sample(df: DataFrame, file_col: str, order_col: str, label_col: str,
@@ -59,8 +60,7 @@ def stratified_cap_sample(df: DataFrame, file_col: str, order_col: str, label_co
     head = head.where(F.col(label_col).isNotNull())
     if classes is not None:
         head = head.where(F.col(label_col).isin(*classes))
-    ranked = scan.row_number(head, [label_col], [file_col, order_col], "__class_rn")
-    return ranked.where(F.col("__class_rn") <= max_rows_per_class).drop("__class_rn")
+    return selection.first_k(head, [label_col], [file_col, order_col], max_rows_per_class, "__class_rn").drop("__class_rn")
 
 
 def round_robin_order(df: DataFrame, file_col: str, chunk_col: str) -> DataFrame:

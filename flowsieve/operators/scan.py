@@ -4,18 +4,22 @@ A plain ``Window.partitionBy(key).orderBy(t)`` puts every row of one key in one
 task, and an un-partitioned window puts the whole table in one task.  Both break
 when one key holds a third of the rows.  ``running`` instead:
 
-1. samples the sort key ``(keys, order)`` once and picks slice boundaries, so a
-   hot key is cut into many contiguous slices of its order;
-2. tags every row with its slice number, a pure function of the row (a binary
-   search over literal boundaries), so a retried task always agrees;
-3. computes the running aggregate inside each (slice, key) with an ordinary
-   window; the window's shuffle on (slice, key) spreads a hot key over tasks;
-4. aggregates one row per (slice, key), turns those into offsets with a window
-   over that small table and joins them back (AQE broadcasts the offsets when
-   they are small, otherwise it is a co-partitioned sort-merge join).
-
-Sums add their offset, maxima take the greater of local value and offset.
-Orders are ascending; order keys must be unique within a key where ties matter.
+1. draws a bounded sample of the sort key ``(keys, order)`` and picks slice
+   boundaries from it, so a hot key is cut into many contiguous slices of its
+   order; the sample is a scalar subquery of the plan, nothing runs while a query
+   is built;
+2. tags every row with its slice number, a binary search in the boundaries and so
+   a pure function of the row: a retried task always agrees;
+3. deals the rows once, by (slice, key), several slices for each task, and computes
+   the running aggregate inside each (slice, key) with an ordinary window, which
+   needs no further exchange;
+4. aggregates one row per (slice, key) with partial aggregation, turns those into
+   offsets with a window over that small table and joins them back by the same
+   (slice, key), for which the rows already lie right.
+
+Keys are compared as one struct, in which nulls are equal.  Sums add their offset,
+maxima take the greater of local value and offset.  Orders are ascending; order
+keys must be unique within a key where ties matter.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import types as T
 from ..session import shuffle_partitions
 
 _KINDS = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
-_SAMPLES_PER_SLICE = 40
+_SAMPLES_PER_SLICE = 20
+#: Slices are hashed to tasks, so a task gets several small ones rather than one or none.
+_SLICES_PER_TASK = 4
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -59,59 +65,55 @@ def _sort_key(df: DataFrame, cols: list[Column]) -> list[Column]:
     return prims
 
 
-def _boundaries(df: DataFrame, key: Column, n: int) -> list:
-    """``n - 1`` sampled boundaries of ``key`` in ascending order (fewer when data is small)."""
-    if n <= 1:
-        return []
-    total = df.count()
-    if total == 0:
-        return []
-    fraction = min(1.0, _SAMPLES_PER_SLICE * n / total)
-    sample = (df.select(key.alias("k")).sample(fraction=fraction, seed=20240101)
-              .orderBy("k").collect())
-    m = len(sample)
-    picks = []
-    for i in range(1, n):
-        row = sample[min(m - 1, (i * m) // n)].k if m else None
-        if row is not None and (not picks or picks[-1] != row):
-            picks.append(row)
-    return picks
+def _boundaries(df: DataFrame, key: Column, parts: list[Column], n: int) -> Column:
+    """Array of ``n - 1`` sampled boundaries of ``key`` in ascending order (empty for no rows), found when the plan runs.
 
-
-def _literal(row, fields) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+    The sample is the ``_SAMPLES_PER_SLICE * n`` rows with the least hash.
+    """
+    drawn = (df.select(key.alias("k"), F.xxhash64(*parts).alias("h")).orderBy("h").limit(_SAMPLES_PER_SLICE * n)
+             .agg(F.sort_array(F.collect_list("k")).alias("s")))
+    m = F.size("s")
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
+                     lambda i: F.element_at("s", F.least(m, F.floor(i * m / n).cast("int") + 1)))
+    return drawn.select(F.when((m > 0) & F.lit(n > 1), at).otherwise(F.slice("s", 1, 0)).alias("b")).scalar()
 
 
-def slice_number(df: DataFrame, sort_cols: list[Column], n: int, sample_from: DataFrame | None = None) -> Column:
-    """Slice of each row: number of boundaries at or below its sort key.
+def with_slice(df: DataFrame, sort_cols: list[Column], n: int, sample_from: DataFrame | None = None,
+               name: str = "__pid") -> DataFrame:
+    """``df`` with the slice of each row: number of boundaries at or below its sort key.
 
     Boundaries only balance the slices -- any boundaries give correct results --
     so they may be sampled from ``sample_from``, a cheaper frame with the same
-    key columns (e.g. the rows before an expensive join), instead of ``df``.
+    key columns (e.g. the rows before an expensive join), instead of ``df``.  The
+    search takes one projection per halving; a step that is used twice is computed
+    once.
     """
     prims = _sort_key(df, sort_cols)
     key = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prims)])
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    bounds = _boundaries(sample_from if sample_from is not None else df, key, n)
-    lits = [_literal(b, fields) for b in bounds]
+    bounds = _boundaries(sample_from if sample_from is not None else df, key, prims, n)
+    out = df.select("*", key.alias("__key"), F.lit(0).alias(name))
+    for i in reversed(range(max(n - 1, 1).bit_length())):
+        reached = F.coalesce(F.try_element_at(bounds, F.col(name) + (1 << i)) <= F.col("__key"), F.lit(False))
+        out = out.withColumn(name, F.col(name) + F.when(reached, 1 << i).otherwise(0))
+    return out.drop("__key")
+
 
-    def search(lo: int, hi: int) -> Column:
-        # answer is in [lo, hi]: number of bounds <= key, knowing bounds[:lo] <= key < bounds[hi:]
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= lits[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+def _slices(df: DataFrame) -> int:
+    return _SLICES_PER_TASK * shuffle_partitions(df.sparkSession)
 
-    return search(0, len(lits))
 
+def _group(keys: list[str]) -> Column:
+    """All keys as one column without nulls of its own."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
-def dealt(tagged: DataFrame, keys: list[str], n: int) -> DataFrame:
+
+def dealt(tagged: DataFrame) -> DataFrame:
     """Rows dealt by slice and key.
 
     Rows that already lie by their key (after a join on it) would satisfy the
     window without an exchange, and a hot key would stay in one task.
     """
-    return tagged.repartition(n, "__pid", *keys)
+    return tagged.repartition("__pid", "__gk")
 
 
 def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
@@ -124,39 +126,33 @@ def running(df: DataFrame, keys: list[str], order: list, aggs: dict,
     the current row out (the value "before" the row).  With ``totals=True``
     each aggregate also gets ``<name>_total`` over the whole key.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
+    n = num_partitions or _slices(df)
     base_cols = df.columns
     inputs = []
     for name, (kind, expr) in aggs.items():
         src = F.lit(1).cast("long") if kind == "count" else _as_col(expr)
         inputs.append(src.alias(f"__in_{name}"))
-    key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
 
-    tagged = dealt(df.select("*", *inputs, slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid")), keys, n)
-
+    sort = [F.col(k) for k in keys] + order_cols
+    tagged = with_slice(df, sort, n, sample_from).select("*", *inputs, _group(keys).alias("__gk"))
     frame_end = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
+    w_local = (Window.partitionBy("__pid", "__gk").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, frame_end))
-    local = tagged.select(
+    local = dealt(tagged).select(
         "*", *[_KINDS[kind](f"__in_{name}").over(w_local).alias(f"__loc_{name}")
                for name, (kind, _) in aggs.items()])
 
-    slices = tagged.groupBy("__pid", *keys).agg(
+    slices = tagged.groupBy("__pid", "__gk").agg(
         *[_KINDS[kind](f"__in_{name}").alias(f"__tot_{name}") for name, (kind, _) in aggs.items()])
-    w_prev = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys)
+    w_prev = Window.partitionBy("__gk").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy("__gk")
     off_cols = [_KINDS[kind](f"__tot_{name}").over(w_prev).alias(f"__off_{name}")
                 for name, (kind, _) in aggs.items()]
     if totals:
         off_cols += [_KINDS[kind](f"__tot_{name}").over(w_all).alias(f"__all_{name}")
                      for name, (kind, _) in aggs.items()]
-    renamed = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
-    offsets = slices.select(F.col("__pid").alias("__opid"), *renamed, *off_cols)
-
-    cond = [F.col("__pid") == F.col("__opid")]
-    cond += [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
-    joined = local.join(offsets, on=cond, how="inner")
+    joined = local.join(slices.select("__pid", "__gk", *off_cols), ["__pid", "__gk"])
 
     outs = []
     for name, (kind, _) in aggs.items():
@@ -185,27 +181,22 @@ def count_since_reset(df: DataFrame, keys: list[str], order: list, inc: Column,
     ``(slice's last reset A) + (that slice's offset)`` of earlier slices, both
     computed over the small per-slice table.  ``inc`` must be non-negative.
     """
-    n = shuffle_partitions(df.sparkSession)
     base_cols = df.columns
-    key_cols = [F.col(k) for k in keys]
     order_cols = [_as_col(c) for c in order]
-    tagged = dealt(df.select("*", inc.cast("long").alias("__inc"), reset.alias("__reset"),
-                             slice_number(df, key_cols + order_cols, n, sample_from).alias("__pid")), keys, n)
-    w_local = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
+    tagged = dealt(with_slice(df, [F.col(k) for k in keys] + order_cols, _slices(df), sample_from).select(
+        "*", inc.cast("long").alias("__inc"), reset.alias("__reset"), _group(keys).alias("__gk")))
+    w_local = (Window.partitionBy("__pid", "__gk").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     a_loc = F.sum("__inc").over(w_local)
     local = tagged.select("*", a_loc.alias("__a"))
     local = local.withColumn("__m", F.max(F.when(F.col("__reset"), F.col("__a"))).over(w_local))
-    slices = local.groupBy("__pid", *keys).agg(F.sum("__inc").alias("__t"),
-                                               F.max(F.when(F.col("__reset"), F.col("__a"))).alias("__r"))
-    w_prev = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = local.groupBy("__pid", "__gk").agg(F.sum("__inc").alias("__t"),
+                                                F.max(F.when(F.col("__reset"), F.col("__a"))).alias("__r"))
+    w_prev = Window.partitionBy("__gk").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("__off_a", F.coalesce(F.sum("__t").over(w_prev), F.lit(0)))
     slices = slices.withColumn("__r_glob", F.col("__r") + F.col("__off_a"))
-    offsets = slices.select(F.col("__pid").alias("__opid"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
-                            "__off_a", F.max("__r_glob").over(w_prev).alias("__off_m"))
-    cond = [F.col("__pid") == F.col("__opid")]
-    cond += [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
-    joined = local.join(offsets, on=cond, how="inner")
+    offsets = slices.select("__pid", "__gk", "__off_a", F.max("__r_glob").over(w_prev).alias("__off_m"))
+    joined = local.join(offsets, ["__pid", "__gk"])
     a = F.col("__a") + F.col("__off_a")
     m = F.greatest(F.col("__m") + F.col("__off_a"), F.col("__off_m"))
     return joined.select(*[F.col(c) for c in base_cols], (a - F.coalesce(m, -start if start is not None else F.lit(0), F.lit(0))).alias(name))

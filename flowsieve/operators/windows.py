@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..contract import (MIN_DURATION_SECONDS, MIN_WINDOW_PACKETS, MODEL_FEATURES,
                         PORT_PROTOCOLS, TCP_FLAG_BITS)
 from ..functions import packets as pk
-from . import scan
+from . import selection
 
 _US = 1_000_000.0
 
@@ -101,8 +101,11 @@ def flow_window_features(packets: DataFrame, width: str = "1 second", keys: list
     p = packets.withColumn("__w", F.window("ts", width))
     capped = None
     if cap is not None:
-        p = scan.last_k(p, ["__w", *keys], ["ts", "event_id"], cap, "__rank_desc")
-        p = p.withColumn("__in_cap", F.col("__rank_desc") <= cap)
+        # windows with more packets get the time of their cap-th newest; all others count whole
+        p = p.withColumn("__gk", F.struct("__w", *keys))
+        oldest = selection.kth(p, ["__gk"], ["ts", "event_id"], cap, "__oldest", descending=True)
+        p = p.join(oldest, "__gk", "left").withColumn(
+            "__in_cap", F.col("__oldest").isNull() | (F.struct("ts", "event_id") >= F.col("__oldest")))
         capped = "__in_cap"
     group_keys = [F.col(k).alias(f"__key_{k}") for k in keys]
     more = [F.max("event_id").alias("event_id")] if with_event else []

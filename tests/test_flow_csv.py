@@ -1,9 +1,7 @@
-"""Flow CSV files with different headers, extensions and contents; the scan behind a join on its key."""
+"""Flow CSV files with different headers, extensions and contents."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from flowsieve.operators import scan
 from flowsieve.sources import flow_csv
 
 
@@ -25,13 +23,3 @@ def test_files_without_rows_are_refused(spark, folder, text):
     (folder / "d.csv").write_text(text)
     with pytest.raises(flow_csv.FlowSourceError, match="d.csv"):
         flow_csv.read_flow_dir(spark, str(folder))
-
-
-def test_scan_after_a_join_on_its_key_deals_rows_by_slice(spark):
-    rows = spark.range(20_000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), "id")
-    safe = spark.createDataFrame([(-1,)], "k long").hint("merge")
-    left = rows.join(safe, "k", "left_anti")
-    got = scan.row_number(left, ["k"], ["id"], num_partitions=8)
-    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
-    hot = got.where("k = 0").orderBy("id").select("rn").collect()
-    assert [r.rn for r in hot] == list(range(1, len(hot) + 1))

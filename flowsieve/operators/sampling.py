@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..contract import (CHUNK_ROWS, TEST_MAX_ROWS_PER_CLASS, TEST_ROWS_PER_FILE,
                         TUNING_FILES, TUNING_ROWS_PER_FILE)
+from ..functions import permute
 from . import scan, selection
 
 # Seeded permutation of integral file ids: (id * A + seed * B) mod P, P prime.
@@ -41,6 +42,14 @@ def chunk_assign(df: DataFrame, file_col: str, order_col: str, chunksize: int =
     return out.withColumn("chunk_id", F.floor((F.col("__rn") - 1) / chunksize).cast("long")).drop("__rn")
 
 
+def chunk_places(df: DataFrame, file_col: str, order_col: str, chunksize: int = CHUNK_ROWS) -> DataFrame:
+    """``chunk_assign`` with ``chunk_index``, the row's number in its chunk from 0, and ``chunk_rows``, the chunk's size."""
+    out = scan.row_number(df, [file_col], [order_col], "__rn", totals=True)
+    at, chunk = F.col("__rn") - 1, F.lit(chunksize).cast("long")
+    out = out.withColumn("chunk_id", F.expr(f"(__rn - 1) div {chunksize}")).withColumn("chunk_index", at % chunk)
+    return out.withColumn("chunk_rows", F.least(chunk, F.col("__rn_total") - F.col("chunk_id") * chunk)).drop("__rn", "__rn_total")
+
+
 def head_per_file(df: DataFrame, file_col: str, order_col: str, k: int) -> DataFrame:
     """First ``k`` rows of every file (``rn`` is the 1-based position); rows are cut before they are ranked."""
     return selection.first_k(df, [file_col], [order_col], k, "rn")
@@ -75,12 +84,13 @@ def round_robin_order(df: DataFrame, file_col: str, chunk_col: str) -> DataFrame
     return df.join(seq, [chunk_col, file_col], "inner")
 
 
-def chunk_shuffle(df: DataFrame, keys: list[str], row_col: str, rotation: str, seed: int = 42) -> DataFrame:
-    """Seeded shuffle inside each chunk: order by ``xxhash64(row, seed + rotation)``."""
-    h = F.xxhash64(F.col(row_col), F.col(rotation) + F.lit(seed))
-    tagged = df.withColumn("__h", h)
-    out = scan.row_number(tagged, keys, ["__h", row_col], "pos")
-    return out.drop("__h")
+def chunk_shuffle(chunks: DataFrame, rotation: str, seed: int = 42, name: str = "pos") -> DataFrame:
+    """Seeded shuffle inside each chunk (``chunk_places``): the row's position from 1, without a sort.
+
+    ``rotation`` names a whole number that, with ``seed``, names the permutation.
+    """
+    where = permute.place(F.col("chunk_index"), F.col("chunk_rows"), F.col(rotation).cast("long") + F.lit(seed))
+    return chunks.withColumn(name, where + 1).drop("chunk_index", "chunk_rows")
 
 
 def ordered_split(df: DataFrame, order_col: str, train_frac: float = 0.8,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linear
+from ..operators import isotonic, linear
 from ..operators.linear import LinearModel
 from ..sources.tables import table
 from .registry import r, register, sr
@@ -131,3 +131,40 @@ def q_argmax_class(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     return emb.select("vec_id", linear.argmax(F.col("embedding")).alias("argmax"),
                       r(F.array_max("embedding")).alias("max_value"))
+
+
+# -- calibration -------------------------------------------------------------------
+
+_ISOTONIC_SQL = f"""
+, pc AS (SELECT p.vec_id, p.class_index, {sr('p.p')} AS p, CASE WHEN ks.k = p.class_index THEN 1.0 ELSE 0.0 END AS y
+  FROM probs p JOIN embeddings e ON e.vec_id = p.vec_id JOIN ks ON ks.label = e.label WHERE p.model = 'm_centered'),
+pt AS (SELECT class_index, p, sum(y) AS t, count(*) AS n, row_number() OVER (PARTITION BY class_index ORDER BY p) AS i
+  FROM pc GROUP BY class_index, p),
+cum AS (SELECT class_index, i, p, sum(t) OVER w AS st, sum(n) OVER w AS sn FROM pt
+  WINDOW w AS (PARTITION BY class_index ORDER BY i ROWS UNBOUNDED PRECEDING)),
+-- greatest over all beginnings a <= i of the least mean of a .. b over all ends b >= i
+spans AS (SELECT b.class_index, a.i AS a, b.i AS b, (b.st - coalesce(z.st, 0)) / (b.sn - coalesce(z.sn, 0)) AS m
+  FROM cum a JOIN cum b ON a.class_index = b.class_index AND a.i <= b.i
+  LEFT JOIN cum z ON z.class_index = a.class_index AND z.i = a.i - 1),
+least_end AS (SELECT class_index, a, b AS i, min(m) OVER (PARTITION BY class_index, a ORDER BY b DESC
+  ROWS UNBOUNDED PRECEDING) AS m FROM spans),
+iso AS (SELECT class_index, i, max(m) AS v FROM least_end GROUP BY class_index, i),
+cal AS (SELECT pc.vec_id, pc.class_index, iso.v FROM pc JOIN cum ON cum.class_index = pc.class_index AND cum.p = pc.p
+  JOIN iso ON iso.class_index = cum.class_index AND iso.i = cum.i)
+SELECT vec_id, class_index, {sr('CASE WHEN sum(v) OVER w = 0 THEN 1.0 / (SELECT kk FROM nk) ELSE v / sum(v) OVER w END')} AS p
+FROM cal WINDOW w AS (PARTITION BY vec_id)"""
+
+
+@register("calibrate_isotonic", "WITH" + _SQL_MODELS + _ISOTONIC_SQL)
+def q_calibrate_isotonic(spark, sf_dir):
+    """Isotonic calibration of all classes of one model, fitted on and applied to every row."""
+    models, classes, _ = _scored(spark, sf_dir)
+    model = next(m for m in models if m.name == "m_centered")
+    index = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.element_at(index, F.col("label")).alias("y"), linear.decision_udf([model])(F.col("embedding")).alias("s"))
+    p = linear.probabilities(F.col(f"s.{model.name}"), model.loss, len(classes))
+    rows = rows.select("vec_id", "y", F.transform(p, lambda x: r(x)).alias("p"))
+    out = isotonic.calibrate(rows, "p", isotonic.fit(rows, "p", "y").collect())
+    return out.select("vec_id", F.posexplode("calibrated").alias("class_index", "p")).select(
+        "vec_id", F.col("class_index").cast("int").alias("class_index"), r("p").alias("p"))

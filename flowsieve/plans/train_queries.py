@@ -64,33 +64,21 @@ def q_grid_search(spark, sf_dir):
                                        "f1_weighted double, is_best boolean")
 
 
-@register("calibrate_isotonic")
-def q_calibrate_isotonic(spark, sf_dir):
+@register("calibrate_job")
+def q_calibrate_job(spark, sf_dir):
     """Isotonic calibration per class on the last 10 % of the test set; calibrated, renormalised
     probabilities scored on the rest."""
+    from ..operators import isotonic, linear
     model, test = trained(spark, sf_dir)
     split = sampling.ordered_split(test, "row_key")
-    cal = split.where(F.col("calib_part") == "calibration")
-    rest = split.where(F.col("calib_part") == "test")
-    fitted, k = training.calibrate_isotonic(model, cal)
-    from ..operators import linear
-    scored = cut_lineage(linear.predict(rest, "features", model.models, model.classes,
-                                        ["row_key", "label_group"]))
-    out = None
-    for ci, iso in fitted.items():
-        from pyspark.ml.feature import VectorAssembler
-        one = scored.select("row_key", "label_group", F.col("proba").getItem(ci).alias("p"))
-        one = VectorAssembler(inputCols=["p"], outputCol="pv").transform(one)
-        cal_p = iso.setFeaturesCol("pv").setPredictionCol("q").transform(one).select(
-            "row_key", "label_group", F.lit(ci).alias("class_index"), F.col("q"))
-        out = cal_p if out is None else out.unionByName(cal_p)
-    from pyspark.sql import Window
-    w = Window.partitionBy("row_key")
-    norm = out.withColumn("q", F.when(F.sum("q").over(w) == 0, F.lit(1.0 / k)).otherwise(F.col("q") / F.sum("q").over(w)))
+    scored = cut_lineage(linear.predict(split, "features", model.models, model.classes, ["label_group", "calib_part"]))
+    cal = scored.where(F.col("calib_part") == "calibration").withColumn(
+        "y", F.try_element_at(training.index_map(model.classes), F.col("label_group")))
+    out = isotonic.calibrate(scored.where(F.col("calib_part") == "test"), "proba", isotonic.fit(cal, "proba", "y").collect())
     names = F.array(*[F.lit(c) for c in model.classes])
-    best = norm.groupBy("row_key", "label_group").agg(F.max(F.struct("q", -F.col("class_index"))).alias("b"))
-    preds = best.select(F.lit("calibrated").alias("model"), F.col("label_group").alias("y"),
-                        F.element_at(names, -F.col("b.col2") + 1).alias("yhat"))
+    best = F.array_position("calibrated", F.array_max("calibrated")).cast("int")
+    preds = out.select(F.lit("calibrated").alias("model"), F.col("label_group").alias("y"),
+                       F.element_at(names, best).alias("yhat"))
     return _metrics_out(metrics.metrics(preds, ["model"]))
 
 

@@ -1,7 +1,7 @@
 """Training and scoring compositions built from the operators.
 
-``train`` mirrors the tool's training run: class scan -> scaler on sampled
-files -> stratified test set -> training rows exclude the test rows (fixing
+``train`` mirrors the tool's training run: class scan -> scaler (on all
+rows) -> stratified test set -> training rows exclude the test rows (fixing
 the tool's leak) -> optional grid search -> ensemble fit -> evaluation ->
 save.  Everything that touches rows is a Spark job; the driver only holds
 class lists, scaler parameters and coefficients (bounded by the model).
@@ -126,21 +126,28 @@ def grid_search(spark: SparkSession, sample: DataFrame, classes: list[str], raw:
 
 def train(spark: SparkSession, flows: DataFrame, file_col: str = "file_id", tune: bool = True,
           epochs: int = EPOCHS_PER_CHUNK, rows_per_file: int = TEST_ROWS_PER_FILE,
-          max_rows_per_class: int = TEST_MAX_ROWS_PER_CLASS, seed: int = 42) -> tuple[TrainedModel, DataFrame]:
-    """Returns the trained model and the test-set vectors used to evaluate it."""
+          max_rows_per_class: int = TEST_MAX_ROWS_PER_CLASS, seed: int = 42, tuning_files: int = TUNING_FILES,
+          tuning_rows_per_file: int = TUNING_ROWS_PER_FILE) -> tuple[TrainedModel, DataFrame]:
+    """Returns the trained model and the test-set vectors used to evaluate it.
+
+    The scaler is fitted on all rows.  The test set (rows per file and class) and
+    the tuning sample (files, rows per file) are samples by their nature; their
+    sizes are arguments.
+    """
     roles = detect_columns(flows.schema)
     raw = roles.features
     df = keyed(labels.group_labels(flows, roles.label))
     classes = [r["class_name"] for r in labels.class_scan(flows, roles.label).orderBy("class_name").collect()]
-    stats = scaling.fit_scaler_sampled(df, file_col, "row_key", raw, seed=seed)
+    stats = scaling.fit_scaler(fe.add_derived_features(fe.clean_nonfinite(df.select(*[fe.c(n) for n in raw]), raw)),
+                               list(raw) + list(DERIVED_FEATURES))
     scaler = scaling.scaler_params(stats)
     test = sampling.stratified_cap_sample(df, file_col, "row_key", "label_group", rows_per_file,
                                           max_rows_per_class, classes)
     train_rows = sampling.holdout_split(df, test.select("row_key"), "row_key")
     best, grid = dict(GRID_DEFAULT), []
     if tune:
-        sample = sampling.tuning_sample(train_rows, file_col, "row_key", TUNING_FILES, TUNING_ROWS_PER_FILE, seed)
-        picks = sampling.pick_files(train_rows, file_col, TUNING_FILES, seed)
+        sample = sampling.tuning_sample(train_rows, file_col, "row_key", tuning_files, tuning_rows_per_file, seed)
+        picks = sampling.pick_files(train_rows, file_col, tuning_files, seed)
         sample = sample.join(picks, file_col).withColumn("__order", F.struct("pick_rank", "row_key"))
         best, grid = grid_search(spark, sample, classes, raw, scaler, seed=seed)
     rows = _training_rows(train_rows, classes, raw, scaler, file_col)
@@ -200,18 +207,3 @@ def load(spark: SparkSession, path: str) -> TrainedModel:
     scaler = {r["feature"]: (r["mean"], r["scale"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
     classes = [r["class_name"] for r in spark.read.parquet(f"{path}/label_index").orderBy("class_index").collect()]
     return TrainedModel(classes, meta["raw_feature_names"], scaler, coefs, meta.get("best_params", {}))
-
-
-def calibrate_isotonic(model: TrainedModel, cal: DataFrame, y: str = "label_group"):
-    """Isotonic calibration per class (Spark ML) on held-out rows; returns fitted models per class."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-    k = len(model.classes)
-    scored = cut_lineage(linear.predict(cal, "features", model.models, model.classes, [y]))
-    fitted = {}
-    for ci, name in enumerate(model.classes):
-        one = scored.select(F.col("proba").getItem(ci).alias("p"),
-                            F.when(F.col(y) == name, 1.0).otherwise(0.0).alias("target"))
-        vec = VectorAssembler(inputCols=["p"], outputCol="pv").transform(one)
-        fitted[ci] = IsotonicRegression(featuresCol="pv", labelCol="target", isotonic=True).fit(vec)
-    return fitted, k

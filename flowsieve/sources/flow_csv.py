@@ -6,6 +6,8 @@ import os
 from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,19 +73,59 @@ def read_flow_csv(spark: SparkSession, paths: list[str], sep: str = ",", numeric
 
 
 def by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """Files grouped by their header line; only the first two lines of each file are read.
+    """Files grouped by their header line, found by one distributed job.
 
-    ``files`` is metadata (one entry per file), and so are the headers collected here.
+    ``files`` is metadata (one entry per file, base names differ), and so are the
+    headers that come back.
     """
+    heads = {os.path.basename(unquote(r["path"])): r for r in first_lines(spark, files).collect()}
     groups: dict[str, list[str]] = {}
     for path in files:
-        head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-        if len(head) < 2:
+        head = heads.get(os.path.basename(unquote(path)))
+        if head is None or head["lines"] < 2:
             raise FlowSourceError(f"{os.path.basename(path)}: empty, or a header without rows")
-        groups.setdefault(head[0], []).append(path)
+        groups.setdefault(head["header"], []).append(path)
     return list(groups.values())
 
 
+def first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``path, header, lines`` of every file that has a line with text: the first such line, and how many (at most 2) were met.
+
+    The beginning of a file lies in one split, so tasks need not meet.  A split as
+    large as a partition can be is alone in its task, which then stops after the
+    lines it needs (or at once, if the split is not the file's first); only small
+    files, several to a task, are read through.
+    """
+    conf = spark.conf
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    alone = size(conf.get("spark.sql.files.maxPartitionBytes")) - size(conf.get("spark.sql.files.openCostInBytes"))
+    m = "_metadata."
+    lines = spark.read.text(files).select("value", F.col(m + "file_path").alias("path"),
+                                          F.col(m + "file_block_start").alias("start"), F.col(m + "file_block_length").alias("length"))
+
+    def run(batches):
+        found: dict[str, list[str]] = {}
+        for batch in batches:
+            start, length = batch.column("start").to_numpy(), batch.column("length").to_numpy()
+            texts, paths = batch.column("value"), batch.column("path").dictionary_encode()
+            code = paths.indices.to_numpy()
+            for c in np.unique(code[start == 0]).tolist():
+                own = found.setdefault(paths.dictionary[c].as_py(), [])
+                for i in np.flatnonzero((code == c) & (start == 0)).tolist():
+                    if len(own) == 2:
+                        break
+                    text = texts[i].as_py()
+                    if text.strip(" "):
+                        own.append(text)
+            if batch.num_rows and length[-1] >= alone and (start[-1] != 0 or any(len(x) == 2 for x in found.values())):
+                break
+        kept = {p: x for p, x in found.items() if x}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array([x[0] for x in kept.values()], pa.string()),
+                                          pa.array([len(x) for x in kept.values()], pa.int32())], ["path", "header", "lines"])
+
+    return lines.mapInArrow(run, "path string, header string, lines int")
+
+
 def read_flow_dir(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
     """All ``*.csv`` files of a folder in name order; files without rows and folders without files are errors.
 

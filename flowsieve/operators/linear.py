@@ -27,7 +27,7 @@ class LinearModel:
     weights: list[list[float]]      # K x F
     bias: list[float]               # K
     vote_weight: float = 1.0
-    meta: dict = field(default_factory=dict)
+    meta: dict = field(default_factory=dict)   # ``steps``: updates so far, which set the learning rate
 
     @property
     def n_classes(self) -> int:
@@ -38,29 +38,34 @@ def coefficient_rows(models: list[LinearModel]) -> list[tuple]:
     rows = []
     for m in models:
         for k, (w, b) in enumerate(zip(m.weights, m.bias)):
-            rows.append((m.name, m.loss, float(m.vote_weight), k, -1, float(b)))
-            rows += [(m.name, m.loss, float(m.vote_weight), k, j, float(x)) for j, x in enumerate(w)]
+            head = (m.name, m.loss, float(m.vote_weight), float(m.meta.get("steps", 0.0)), k)
+            rows.append((*head, -1, float(b)))
+            rows += [(*head, j, float(x)) for j, x in enumerate(w)]
     return rows
 
 
-COEF_SCHEMA = "model string, loss string, vote_weight double, class_index int, feature_index int, weight double"
+COEF_SCHEMA = ("model string, loss string, vote_weight double, steps double, class_index int, feature_index int, "
+               "weight double")
 
 
 def models_from_rows(rows) -> list[LinearModel]:
-    """Rebuild models from collected coefficient rows (bounded: K x F per model)."""
+    """Rebuild models from collected coefficient rows (bounded: K x F per model); a lost coefficient is an error."""
     by_model: dict[str, dict] = {}
     for r in rows:
-        m = by_model.setdefault(r["model"], {"loss": r["loss"], "vw": r["vote_weight"], "w": {}, "b": {}})
+        m = by_model.setdefault(r["model"], {"loss": r["loss"], "vw": r["vote_weight"], "steps": r["steps"], "w": {}, "b": {}})
         if r["feature_index"] < 0:
             m["b"][r["class_index"]] = r["weight"]
         else:
             m["w"].setdefault(r["class_index"], {})[r["feature_index"]] = r["weight"]
     out = []
     for name, m in by_model.items():
-        k = len(m["b"])
-        f = 1 + max(max(v.keys()) for v in m["w"].values())
-        w = [[m["w"][i].get(j, 0.0) for j in range(f)] for i in range(k)]
-        out.append(LinearModel(name, m["loss"], w, [m["b"][i] for i in range(k)], m["vw"]))
+        k = 1 + max([*m["b"], *m["w"]])
+        f = 1 + max((max(v) for v in m["w"].values()), default=-1)
+        lost = [(i, j) for i in range(k) for j in range(-1, f) if j not in (m["w"].get(i, {}) if j >= 0 else {-1} if i in m["b"] else {})]
+        if lost:
+            raise ValueError(f"{name}: {len(lost)} coefficients are missing, the first is {lost[0]}")
+        w = [[m["w"][i][j] for j in range(f)] for i in range(k)]
+        out.append(LinearModel(name, m["loss"], w, [m["b"][i] for i in range(k)], m["vw"], {"steps": m["steps"]}))
     return out
 
 

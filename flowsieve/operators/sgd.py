@@ -50,7 +50,7 @@ class SgdState:
 
     def to_model(self) -> LinearModel:
         return LinearModel(self.config.name, self.config.loss, self.w.tolist(), self.b.tolist(),
-                           self.config.vote_weight)
+                           self.config.vote_weight, {"steps": float(self.t)})
 
 
 def _dloss(loss: str, p: np.ndarray) -> np.ndarray:

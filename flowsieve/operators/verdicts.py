@@ -158,6 +158,14 @@ def audit_sample(decided: DataFrame, every: int = AUDIT_BENIGN_EVERY, max_lines:
     return logged if max_lines is None else logged.orderBy("prediction_no").limit(max_lines)
 
 
+def audit_line(features: list[Column]) -> Column:
+    """The log line of an audited row: time, source, label, confidence, packets, decision, then the feature values."""
+    conf = percent_text(F.coalesce(F.col("confidence"), F.lit(MISSING_CONFIDENCE)))
+    return F.format_string("%s | %-15s | %-30s | %6s | %4d | %-11s" + " | %8.2f" * len(features),
+                           F.date_format("ts", "HH:mm:ss"), "src_ip", "label", conf, "n_packets", "decision",
+                           *[f.cast("double") for f in features])
+
+
 def percent_text(c: Column) -> Column:
     return F.format_string("%.1f%%", c * 100.0)
 

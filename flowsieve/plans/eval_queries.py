@@ -69,11 +69,11 @@ def q_confusion_matrix_norm(spark, sf_dir):
     return out.select("model", "y_true", "y_pred", "n", r("share").alias("share"))
 
 
-@register("metrics_overall", _sql(f"SELECT {_ov_sql('')} FROM ov WHERE model = 'm1'",
-                                  _COUNTS, _STATS, _PC, _OV))
+@register("metrics_overall", _sql(f"SELECT {_ov_sql('')} FROM ov", _COUNTS.replace("SELECT model,", "SELECT 'all' AS model,"),
+                                  _STATS, _PC, _OV))
 def q_metrics_overall(spark, sf_dir):
-    preds = fx.load(spark, sf_dir, "preds").where(F.col("model") == "m1")
-    return _ov_out(mt.metrics(preds, []), [])
+    """One row over the predictions of all models."""
+    return _ov_out(mt.metrics(fx.load(spark, sf_dir, "preds"), []), [])
 
 
 @register("metrics_by_model", _sql(f"SELECT {_ov_sql('model')} FROM ov", _COUNTS, _STATS, _PC, _OV))

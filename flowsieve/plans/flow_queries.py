@@ -112,13 +112,16 @@ def _vector_sql() -> str:
 
 @register("feature_vector", _vector_sql())
 def q_feature_vector(spark, sf_dir):
-    from ..operators.scaling import vector_summary
     df = fe.clean_nonfinite(fx.load(spark, sf_dir, "flows").select(*[fe.c(n) for n in RAW]), RAW)
     full = fe.add_derived_features(df)
     # the vector is assembled by name in VECTOR order; its per-position means
     # show every position holds the right feature
-    per_pos = vector_summary(full, VECTOR)
-    return per_pos.select(F.col("position").alias("pos"), "feature", "n", r("mean").alias("mean"))
+    vec = full.select(fe.feature_vector(VECTOR).alias("v"))
+    s = vec.agg(F.count("v").alias("n"), F.array(*[F.avg(F.col("v")[i]) for i in range(len(VECTOR))]).alias("s"))
+    names = F.array(*[F.lit(n) for n in VECTOR])
+    per_pos = s.select("n", F.posexplode("s").alias("pos", "mean"))
+    return per_pos.select(F.col("pos").cast("int").alias("pos"), F.element_at(names, F.col("pos") + 1).alias("feature"),
+                          "n", r("mean").alias("mean"))
 
 
 @register("feature_label_split", fx.with_ctes(

@@ -75,18 +75,18 @@ vote AS (SELECT vec_id, class_index, sum(p * CASE model WHEN 'm_scaled' THEN 0.8
   FROM probs GROUP BY vec_id, class_index)"""
 
 
-def _models_sql(body: str) -> str:
+def models_sql(body: str) -> str:
     return "WITH" + _SQL_MODELS + "\n" + body
 
 
-@register("score_linear", _models_sql(
+@register("score_linear", models_sql(
     f"SELECT vec_id, model, class_index, {sr('d')} AS score FROM scores"))
 def q_score_linear(spark, sf_dir):
     models, _, scored = _scored(spark, sf_dir)
     return _long(scored, {m.name: F.col(f"scores_{m.name}") for m in models}, "score")
 
 
-@register("class_probability", _models_sql(
+@register("class_probability", models_sql(
     f"SELECT vec_id, model, class_index, {sr('p')} AS p FROM probs"))
 def q_class_probability(spark, sf_dir):
     models, classes, scored = _scored(spark, sf_dir)
@@ -94,7 +94,7 @@ def q_class_probability(spark, sf_dir):
     return _long(scored, {m.name: linear.probabilities(F.col(f"scores_{m.name}"), m.loss, k) for m in models}, "p")
 
 
-@register("softmax_scores", _models_sql(
+@register("softmax_scores", models_sql(
     f"SELECT vec_id, model, class_index, {sr('e / sum(e) OVER (PARTITION BY vec_id, model)')} AS p FROM ("
     "SELECT *, exp(d - max(d) OVER (PARTITION BY vec_id, model)) AS e FROM scores) AS x"))
 def q_softmax_scores(spark, sf_dir):
@@ -102,7 +102,7 @@ def q_softmax_scores(spark, sf_dir):
     return _long(scored, {m.name: linear.softmax(F.col(f"scores_{m.name}")) for m in models}, "p")
 
 
-@register("soft_vote", _models_sql(f"SELECT vec_id, class_index, {sr('p')} AS p FROM vote"))
+@register("soft_vote", models_sql(f"SELECT vec_id, class_index, {sr('p')} AS p FROM vote"))
 def q_soft_vote(spark, sf_dir):
     models, classes, scored = _scored(spark, sf_dir)
     k = len(classes)
@@ -112,7 +112,7 @@ def q_soft_vote(spark, sf_dir):
     return out.select("vec_id", F.col("class_index").cast("int").alias("class_index"), r("p").alias("p"))
 
 
-@register("ensemble_predict", _models_sql(
+@register("ensemble_predict", models_sql(
     "SELECT vec_id, cast(arg_max(class_index, {'p': p, 'k': -class_index}) AS INTEGER) AS class_index, "
     "'class_' || cast(arg_max(class_index, {'p': p, 'k': -class_index}) AS VARCHAR) AS label, "
     f"{sr('max(p)')} AS confidence FROM vote GROUP BY vec_id"))

@@ -6,12 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..contract import FEATURE_ENG_VERSION
-from ..operators import metrics, sampling, verdicts, windows
-from ..session import cut_lineage, scratch_path
+from ..contract import ENSEMBLE_MEMBERS, FEATURE_ENG_VERSION
+from ..functions import features as fe
+from ..operators import metrics, sampling, scaling, verdicts, windows
+from ..session import cut_lineage, scratch_path, shuffle_partitions
 from ..sources.tables import table
 from . import training
-from .registry import r, register
+from .flow_queries import RAW, VECTOR, sql_clean, sql_derived, sql_grouped
+from .model_queries import embedding_models, models_sql
+from .registry import r, register, sr
+
+q = fx.q_sql
 
 _CACHE: dict = {}
 
@@ -28,15 +33,77 @@ def _metrics_out(df):
     return df.select("model", *[r(c).alias(c) for c in ("accuracy", "f1_weighted", "f1_macro")], "test_set_size")
 
 
-@register("sgd_ovr_fit")
+def _first_step_sql(members) -> str:
+    """One full-batch step from zero of each member, in closed form.
+
+    At zero every margin is 0, so a row pulls class k by +-slope: the step is
+    eta * slope * (2 * own - all) / rows, with ``own`` the weighted feature sum of
+    the class and ``all`` that of all classes; l1 then takes off eta * alpha.
+    """
+    ex = {n: q(n) for n in RAW}
+    ex.update({n: sql_clean(e) for n, e in sql_derived(set(RAW)).items()})
+    clean = ", ".join(f"{sql_clean(q(n))} AS {q(n)}" for n in RAW)
+    stats = ", ".join(f"avg({ex[n]}) AS m{i}, CASE WHEN stddev_pop({ex[n]}) = 0 THEN 1.0 ELSE stddev_pop({ex[n]}) END AS s{i}"
+                      for i, n in enumerate(VECTOR))
+    sums = ", ".join(f"sum(w * (({ex[n]}) - m{i}) / s{i}) AS f{i}" for i, n in enumerate(VECTOR))
+    long = " UNION ALL ".join(f"SELECT g, {i} AS i, f{i} AS s FROM sums" for i in range(len(VECTOR)))
+    rows = []
+    for name, loss, penalty, alpha, _ in members:
+        slope, start = (2.0, "typw / 4.0") if loss == "modified_huber" else (0.5, "typw")
+        eta = f"(1.0 / ({alpha!r} * (1.0 + 1.0 / (({start.replace('typw', f'power({alpha!r}, -0.25)')}) * {alpha!r}))))"
+        step = f"({eta} * {slope} * (2 * l.s - t.s) / n.n)"
+        cut = f"CASE WHEN l.i < 0 THEN {step} ELSE sign({step}) * greatest(abs({step}) - {eta} * {alpha!r}, 0.0) END"
+        rows.append(f"SELECT '{name}' AS model, k.k AS class_index, cast(l.i AS INTEGER) AS feature_index, "
+                    f"{sr(cut if penalty == 'l1' else step)} AS weight "
+                    "FROM long l JOIN tot t ON l.i = t.i JOIN k ON k.g = l.g, n")
+    return fx.with_ctes("SELECT 1", "flows")[:-len("\nSELECT 1")] + f""",
+cleaned AS (SELECT {clean}, file_id, {sql_grouped('label')} AS g FROM flows),
+st AS (SELECT {stats} FROM cleaned),
+nc AS (SELECT file_id, g, count(*) AS nc FROM cleaned GROUP BY 1, 2),
+wt AS (SELECT file_id, g, sum(nc) OVER (PARTITION BY file_id) / (count(*) OVER (PARTITION BY file_id) * nc) AS w FROM nc),
+sums AS (SELECT c.g, sum(w) AS b, {sums} FROM cleaned c JOIN wt ON wt.file_id = c.file_id AND wt.g = c.g, st GROUP BY c.g),
+long AS (SELECT g, -1 AS i, b AS s FROM sums UNION ALL {long}),
+tot AS (SELECT i, sum(s) AS s FROM long GROUP BY i),
+k AS (SELECT g, cast(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS k FROM sums),
+n AS (SELECT count(*) AS n FROM cleaned)
+""" + " UNION ALL ".join(rows)
+
+
+def _first_step(spark, sf_dir, members):
+    """Coefficients of ``members`` after one step over all flows from zero."""
+    from ..operators import linear, sgd
+    flows = fx.load(spark, sf_dir, "flows")
+    classes = [c["class_name"] for c in training.labels.class_scan(flows).orderBy("class_name").collect()]
+    vecs = fe.add_derived_features(fe.clean_nonfinite(flows.select(*[fe.c(n) for n in RAW]), RAW))
+    scaler = scaling.scaler_params(scaling.fit_scaler(vecs, VECTOR))
+    rows = training._training_rows(training.keyed(training.labels.group_labels(flows)), classes, RAW, scaler, "file_id")
+    configs = [sgd.SgdConfig(n, loss, pen, alpha, vote) for n, loss, pen, alpha, vote in members]
+    states = sgd.gradient_step(rows.select("features", "label_idx", "weight"), sgd.init_states(configs, len(classes), len(VECTOR)))
+    out = spark.createDataFrame(linear.coefficient_rows([s.to_model() for s in states]), linear.COEF_SCHEMA)
+    return out.select("model", "class_index", "feature_index", r("weight").alias("weight"))
+
+
+@register("sgd_ovr_fit", _first_step_sql(ENSEMBLE_MEMBERS[:1]))
 def q_sgd_ovr_fit(spark, sf_dir):
-    """One modified_huber/l2 model fitted on the flow table, evaluated per class on the test set."""
+    """One full-batch step of a one-vs-rest model over all flows."""
+    return _first_step(spark, sf_dir, ENSEMBLE_MEMBERS[:1])
+
+
+@register("ensemble_fit", _first_step_sql(ENSEMBLE_MEMBERS))
+def q_ensemble_fit(spark, sf_dir):
+    """One full-batch step of the three members (both losses, l2 and l1) over all flows."""
+    return _first_step(spark, sf_dir, ENSEMBLE_MEMBERS)
+
+
+@register("sgd_report")
+def q_sgd_report(spark, sf_dir):
+    """One modified_huber/l2 model fitted by rounds of local passes, evaluated per class on the test set."""
     from ..operators import sgd
     model, test = trained(spark, sf_dir)
     flows = training.keyed(training.labels.group_labels(fx.load(spark, sf_dir, "flows")))
     held = sampling.holdout_split(flows, test.select("row_key"), "row_key")
     rows = training._training_rows(held, model.classes, model.raw, model.scaler, "file_id")
-    data = sgd.prepare(rows, "features", "label_idx", "weight", F.col("row_key"), 42, 8)
+    data = sgd.prepare(rows, "features", "label_idx", "weight", F.col("row_key"), 42, shuffle_partitions(spark))
     cfg = sgd.SgdConfig("sgd_mhuber", "modified_huber", "l2", 1e-4)
     st = sgd.fit(data, sgd.init_states([cfg], len(model.classes), len(model.feature_names)), 3)[0]
     preds = training.predictions(test, [st.to_model()], model.classes, each=False)
@@ -45,8 +112,8 @@ def q_sgd_ovr_fit(spark, sf_dir):
                      r("f1").alias("f1"), "support")
 
 
-@register("ensemble_fit")
-def q_ensemble_fit(spark, sf_dir):
+@register("ensemble_report")
+def q_ensemble_report(spark, sf_dir):
     """The three-member ensemble and each member, evaluated on the held-out test set."""
     model, test = trained(spark, sf_dir)
     return _metrics_out(metrics.metrics(training.predictions(test, model.models, model.classes), ["model"]))
@@ -94,19 +161,18 @@ def q_train_job(spark, sf_dir):
     return _metrics_out(metrics.metrics(training.predictions(test, model.models, model.classes), ["model"]))
 
 
-@register("sink_model")
+@register("sink_model", models_sql(
+    f"SELECT model, k AS class_index, cast(i - 1 AS INTEGER) AS feature_index, {sr('w')} AS weight FROM coef UNION ALL "
+    f"SELECT model, k, -1, {sr('b')} FROM bias"))
 def q_sink_model(spark, sf_dir):
-    """Save the trained model, load it back; rows compare saved and loaded coefficients."""
+    """Models saved and loaded back, every coefficient; a lost one is an error."""
     from ..operators import linear
-    model, _ = trained(spark, sf_dir)
+    models, classes = embedding_models(spark, sf_dir)
+    model = training.TrainedModel([str(c) for c in classes], [], {}, models)
     path = scratch_path(spark, "model")
     training.save(spark, model, path, training.metadata(model, "", 0, 0))
-    back = training.load(spark, path)
-    saved = spark.read.parquet(f"{path}/coefficients")
-    reloaded = spark.createDataFrame(linear.coefficient_rows(back.models), linear.COEF_SCHEMA)
-    keys = ["model", "class_index", "feature_index"]
-    j = saved.alias("a").join(reloaded.alias("b"), keys)
-    return j.select(*keys, F.col("a.weight").alias("saved"), (F.col("a.weight") == F.col("b.weight")).alias("equal"))
+    back = spark.createDataFrame(linear.coefficient_rows(training.load(spark, path).models), linear.COEF_SCHEMA)
+    return back.select("model", "class_index", "feature_index", r("weight").alias("weight"))
 
 
 #: Window of the scoring job in the test tables.

@@ -95,13 +95,15 @@ def q_engine_counters(spark, sf_dir):
 
 
 @register("audit_sample", _decide_sql(
-    f"SELECT prediction_no, event_id, src_ip, decision, escalated, {sr('confidence')} AS confidence FROM ("
+    f"SELECT prediction_no, event_id, src_ip, label, n_packets, decision, escalated, {sr('confidence')} AS confidence, "
+    "printf('%s | %-15s | %-30s | %6s | %4d | %-11s | %8.2f', strftime(ts, '%H:%M:%S'), src_ip, label, "
+    "printf('%.1f%%', coalesce(confidence, 0.5) * 100.0), n_packets, decision, cast(n_packets AS double)) AS line FROM ("
     "SELECT *, row_number() OVER (ORDER BY ts, event_id) AS prediction_no FROM decided "
     "WHERE decision <> 'SAFE_LIST') AS n WHERE decision <> 'BENIGN' OR prediction_no % 10 = 0"))
 def q_audit_sample(spark, sf_dir):
     out = verdicts.audit_sample(decided(spark, sf_dir), sample_from=fx.load(spark, sf_dir, "verdict_in"))
-    return out.select("prediction_no", "event_id", "src_ip", "decision", "escalated",
-                      r("confidence").alias("confidence"))
+    return out.select("prediction_no", "event_id", "src_ip", "label", "n_packets", "decision", "escalated",
+                      r("confidence").alias("confidence"), verdicts.audit_line([F.col("n_packets")]).alias("line"))
 
 
 _ALERT_SQL = """SELECT *, to_json({event_id: event_id, src_ip: src_ip, dst_ip: dst_ip, confidence_text: confidence_text,
@@ -188,12 +190,10 @@ def _ip_values_sql() -> str:
 @register("ipv4_valid", _ip_values_sql())
 def q_ipv4_valid(spark, sf_dir):
     from ..sources.tables import table
-    p = fx.load(spark, sf_dir, "packets").join(table(spark, sf_dir, "events").select("event_id", "event_type"),
-                                               "event_id")
-    vals = None
-    for n, e in _IP_VALUES:
-        part = p.selectExpr("event_id", f"'{n}' AS kind", f"{e} AS value")
-        vals = part if vals is None else vals.unionByName(part)
+    packets = fx.PROJECTIONS["packets"].columns
+    p = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in packets], "event_type")
+    kinds = ", ".join(f"struct('{n}' AS kind, {e} AS value)" for n, e in _IP_VALUES)
+    vals = p.selectExpr("event_id", f"inline(array({kinds}))")  # every address of a row from one scan
     return vals.withColumn("valid", ledgers.ipv4_valid(F.col("value")))
 
 

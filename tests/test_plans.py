@@ -7,7 +7,7 @@ from flowsieve.plans import catalog
 from conftest import SF_SMALL
 
 # keys that train models or run streams while being built are covered elsewhere
-SKIP = {"sgd_ovr_fit", "ensemble_fit", "grid_search", "calibrate_job", "train_job", "score_job_stream", "sink_model",
+SKIP = {"sgd_ovr_fit", "ensemble_fit", "sgd_report", "ensemble_report", "grid_search", "calibrate_job", "train_job", "score_job_stream", "sink_model",
         "score_job", "incremental_train_stream", "packet_stream_source", "flow_windows_stream",
         "verdict_stream", "running_counters_stream", "src_flow_csv", "src_flow_dir", "sink_metrics_report"}
 

@@ -32,6 +32,8 @@ from .common import TwoAges, Words, mix, segment_sums, slices, trim, utf8, whole
 
 VOCABULARY = "piece_bpe_32k.model"
 WHITE = " \t\n\r\x0b\f"
+#: Text measured at once inside a task.
+SLICE = 1 << 20
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
@@ -153,7 +155,7 @@ def measure(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
 
     def run(batches):
         c = counter(vocabulary)
-        for b in slices(read(batches)):
+        for b in slices(read(batches), limit=SLICE):
             texts = b.column("text")
             w = Words(texts)
             known = c.ids(w.distinct.to_pylist())

@@ -53,7 +53,7 @@ FREQUENT = 16000
 ROUNDS = 2
 #: Shingles a task counts before it sends what may be frequent.
 CHUNK = 2_000_000
-#: Bits of a parity sketch: the next power of two from twice the set size, this at least.
+#: Bits of a parity sketch: the next power of two from the set size, this at least.
 SKETCH_BITS = 512
 #: Mean size of a class of frequent shingles.
 CLASS_SIZE = 16
@@ -147,7 +147,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles per bit, as words; half as many bits are the first half xor the second."""
-    bits = max(SKETCH_BITS, 1 << max(2 * len(shingles) - 1, 0).bit_length())
+    bits = max(SKETCH_BITS, 1 << max(len(shingles) - 1, 0).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -209,10 +209,13 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, size: tuple[int,
     ``size``: classes, and words of all their sketches.
     """
     for side in ("a", "b"):
-        own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+        own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("folded").alias(f"folded_{side}"))
+        pairs = join_checked(pairs, own, side, "inner", 64 + SKETCH_BITS // 8, size[0])
+    # the short sketches cut most pairs; whole sketches travel only with what is left
+    pairs = pairs.filter(allowed(percent)).drop("folded_a", "folded_b")
+    for side in ("a", "b"):
+        own = classes.select(F.col("cls").alias(side), F.col("sketch").alias(f"s_{side}"))
         pairs = join_checked(pairs, own, side, "inner", 64, size[0], 8 * size[1])
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = pairs.filter(100 * small >= percent * large)
 
     def run(batches):
         for b in batches:
@@ -225,6 +228,13 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, size: tuple[int,
     return pairs.mapInArrow(run, "a long, b long, gap double")
 
 
+def allowed(percent: int):
+    """Whether sizes and short sketches of a pair leave room for a link: |a xor b| <= (1 - j) / (1 + j) * (|a| + |b|)."""
+    bits = sum(F.bit_count(F.col("folded_a")[k].bitwiseXOR(F.col("folded_b")[k])) for k in range(SKETCH_BITS // 64))
+    return ((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+
+
 def longer_sketches():
     """Differing bits of ``sketch_a`` and ``sketch_b``, the longer one folded once; 0 where that does not make them alike."""
     def fold(own: str, other: str):
@@ -318,14 +328,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     # what is left within an entry: pairs of different components
     held = store(unsettled(met, parts), "open")
-    words = SKETCH_BITS // 64
-    held = join_checked(held, classes.select("cls", "n", "folded", "sketch"), "cls", "inner", 80 + 8 * words, size[0], 8 * size[1])
+    held = join_checked(held, classes.select("cls", "n", "folded", "sketch"), "cls", "inner", 80 + SKETCH_BITS // 8, size[0], 8 * size[1])
     own = ("cls", "component", "n", "folded", "sketch")
     left, right = (held.select("entry", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
-    bits = sum(F.bit_count(F.col("folded_a")[k].bitwiseXOR(F.col("folded_b")[k])) for k in range(words))
-    possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b"))
-                & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b")) & allowed(percent)
                 & (longer_sketches() * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
     crossing = left.join(right, "entry").filter(possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     more = store(likely(crossing, classes, percent, size), "crossing")

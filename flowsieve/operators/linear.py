@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,16 +145,40 @@ def decision_udf(models: list[LinearModel]):
             for m in models]
     schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n, _, _ in mats])
 
-    @F.pandas_udf(schema)
-    def scores(x: pd.Series) -> pd.DataFrame:
-        if len(x) == 0:
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n, _, _ in mats})
-        xs = np.stack(x.to_numpy()).astype(np.float64, copy=False)
-        return pd.DataFrame({n: list(xs @ w + b) for n, w, b in mats})
+    @F.arrow_udf(schema)
+    def scores(x: pa.Array) -> pa.Array:
+        xs, valid = _matrix(x)
+        return pa.StructArray.from_arrays([_lists(xs @ w + b if len(xs) else np.zeros((0, len(b))), valid) for _, w, b in mats],
+                                          names=[n for n, _, _ in mats])
 
     return scores
 
 
+def _matrix(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that are not null as one matrix over the column's own buffer, and which rows those are."""
+    valid = x.is_valid().to_numpy(zero_copy_only=False)
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    n = int(valid.sum())
+    return flat.reshape(n, -1) if n else np.zeros((0, 0)), valid
+
+
+def _lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """A list per row of ``rows``; null where ``valid`` is false."""
+    size = np.zeros(len(valid) + 1, np.int32)
+    size[1:] = np.cumsum(valid) * rows.shape[1]
+    mask = None if valid.all() else pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(size), pa.array(rows.ravel()), mask=mask)
+
+
+def _values(values: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """A value per row; null where ``valid`` is false."""
+    if valid.all():
+        return pa.array(values)
+    full = np.zeros(len(valid), values.dtype)
+    full[valid] = values
+    return pa.array(full, mask=~valid)
+
+
 def score_frame(df: DataFrame, vec: str, models: list[LinearModel], keep: list[str]) -> DataFrame:
     """One column of decision values per model (``scores_<model>``), from one vectorised pass."""
     scored = df.select(*keep, decision_udf(models)(F.col(vec)).alias("__s"))
@@ -167,7 +191,8 @@ def _np_probabilities(d: np.ndarray, loss: str) -> np.ndarray:
     if loss == "modified_huber":
         p = (np.clip(d, -1.0, 1.0) + 1.0) / 2.0
     elif loss == "log_loss":
-        p = 1.0 / (1.0 + np.exp(-d))
+        with np.errstate(over="ignore"):
+            p = 1.0 / (1.0 + np.exp(-d))
     else:
         e = np.exp(d - d.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
@@ -196,21 +221,21 @@ def vote_udf(groups: dict[str, list[LinearModel]], with_proba: bool = False):
             fields.append(T.StructField(f"{g}_proba", T.ArrayType(T.DoubleType())))
     schema = T.StructType(fields)
 
-    @F.pandas_udf(schema)
-    def vote(x: pd.Series) -> pd.DataFrame:
-        out = {}
-        if len(x) == 0:
-            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in fields})
-        xs = np.stack(x.to_numpy()).astype(np.float64, copy=False)
-        probs = {n: _np_probabilities(xs @ w + b, loss) for n, (w, b, loss) in mats.items()}
+    width = {g: len(models[0].bias) for g, models in groups.items()}
+
+    @F.arrow_udf(schema)
+    def vote(x: pa.Array) -> pa.Array:
+        xs, valid = _matrix(x)
+        probs = {n: _np_probabilities(xs @ w + b, loss) for n, (w, b, loss) in mats.items()} if len(xs) else {}
+        out = []
         for g, members in plan:
             total = sum(wt for _, wt in members)
-            p = sum(probs[n] * wt for n, wt in members) / total
-            out[f"{g}_idx"] = p.argmax(axis=1).astype(np.int32)
-            out[f"{g}_conf"] = p.max(axis=1)
+            p = sum(probs[n] * wt for n, wt in members) / total if probs else np.zeros((0, width[g]))
+            best = p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)
+            out += [_values(best.astype(np.int32), valid), _values(p[np.arange(len(p)), best], valid)]
             if with_proba:
-                out[f"{g}_proba"] = list(p)
-        return pd.DataFrame(out)
+                out.append(_lists(p, valid))
+        return pa.StructArray.from_arrays(out, names=[f.name for f in fields])
 
     return vote
 

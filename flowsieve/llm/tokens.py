@@ -25,7 +25,7 @@ from .common import ByteCache, Words, segment_sums, slices, trim, utf8, worker_c
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Text that a task encodes at once, and bytes of a generation of the cache of pieces.
-SLICE, CACHE_BYTES = 1 << 20, 24 << 20
+SLICE, CACHE_BYTES = 2 << 20, 40 << 20
 
 
 def default_vocabulary() -> str:
@@ -65,7 +65,7 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width, self.kind = ("<u2", "H") if self.tok.get_vocab_size() < 1 << 16 else ("<u4", "I")
-        self.words, self.pieces = ByteCache(capacity // 2), ByteCache(capacity)
+        self.words, self.pieces = ByteCache(capacity // 4), ByteCache(capacity)
         self.by_piece = self._cuts_alike()
         self.by_word = self._whole([PROBE])[0] == b"".join(self._whole(PROBE.split()))
 

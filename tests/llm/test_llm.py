@@ -483,6 +483,51 @@ def test_near_copies_of_five_words(spark):
     assert ngram_join.drop_near_copies(docs).count() == 3
 
 
+def test_ftrl_is_the_per_coordinate_loop():
+    """Weights and intercept of the quality model against an update of one coordinate at a time."""
+    import math
+    q = quality_model
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 2)), np.sort(rng.choice(32, 6, replace=False)), rng.random(6)) for _ in range(80)]
+    bias, got = q.train_ftrl(rows, 5, 2)
+    z, n, zb, nb = [0.0] * 32, [0.0] * 32, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(2):
+        for y, at, x in rows:
+            w, wb = {int(i): weight(i) for i in at}, -zb / ((q.BETA + math.sqrt(nb)) / q.ALPHA)
+            g = 1 / (1 + math.exp(-(wb + sum(w[int(i)] * v for i, v in zip(at, x))))) - y
+            for i, v in zip(at, x):
+                z[i] += g * v - (math.sqrt(n[i] + (g * v) ** 2) - math.sqrt(n[i])) / q.ALPHA * w[int(i)]
+                n[i] += (g * v) ** 2
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / q.ALPHA * wb
+            nb += g * g
+    assert np.allclose(got, [weight(i) for i in range(32)]) and abs(bias + zb / ((q.BETA + math.sqrt(nb)) / q.ALPHA)) < 1e-9
+
+
+COLUMNS = {
+    "op1": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op2": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op3": ["doc_id", "held_out", "score", "predicted"],
+    "op5": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op6": ["doc_id", "n_shingles", "component_id"],
+    "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op10": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+}
+
+
+@pytest.mark.parametrize("op", sorted(COLUMNS))
+def test_registered_queries_give_a_row_for_every_document(spark, op):
+    name = next(k for k in queries.QUERIES if k.split("_")[0] == op)
+    out = queries.QUERIES[name](spark, SF_SMALL)
+    assert out.columns[:len(COLUMNS[op])] == COLUMNS[op]
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id").collect()}
+    got = [r.doc_id for r in out.select("doc_id").collect()]
+    assert set(got) == docs and (op == "op1" or len(got) == len(docs))
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for p in root.glob("flowsieve/**/*.py"):

@@ -53,8 +53,10 @@ FREQUENT = 16000
 ROUNDS = 2
 #: Shingles a task counts before it sends what may be frequent.
 CHUNK = 2_000_000
-#: Bits of a parity sketch: the next power of two from the set size, this at least.
+#: Bits of a parity sketch: the next power of two from half the set size, this at least.
 SKETCH_BITS = 512
+#: Least entries of a class by which the crossing join sees that a pair has met before.
+FIRSTS = 12
 #: Mean size of a class of frequent shingles.
 CLASS_SIZE = 16
 
@@ -147,7 +149,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles per bit, as words; half as many bits are the first half xor the second."""
-    bits = max(SKETCH_BITS, 1 << max(len(shingles) - 1, 0).bit_length())
+    bits = max(SKETCH_BITS, 1 << max(len(shingles) // 2 - 1, 0).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -328,10 +330,18 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     # what is left within an entry: pairs of different components
     held = store(unsettled(met, parts), "open")
-    held = join_checked(held, classes.select("cls", "n", "folded", "sketch"), "cls", "inner", 80 + SKETCH_BITS // 8, size[0], 8 * size[1])
-    own = ("cls", "component", "n", "folded", "sketch")
+    held = join_checked(held, classes.select("cls", "n", "sketch"), "cls", "inner", 64, size[0], 8 * size[1])
+    # sets with the shortest sketch share many entries with their near copies: they carry their first ones
+    firsts = (held.where(F.size("sketch") == SKETCH_BITS // 64).groupBy("cls")
+              .agg(F.slice(F.sort_array(F.collect_list("entry")), 1, FIRSTS).alias("firsts")))
+    held = held.join(firsts, "cls", "left")
+    own = ("cls", "component", "n", "sketch", "firsts")
     left, right = (held.select("entry", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
-    possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b")) & allowed(percent)
+    # a pair is listed in its least common entry, and in another only where the classes' first entries do not show that one
+    before = [F.filter(f"firsts_{side}", lambda x: x < F.col("entry")) for side in "ab"]
+    possible = ((F.col("component_a") != F.col("component_b")) & (F.col("cls_a") < F.col("cls_b"))
+                & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                & ~F.coalesce(F.arrays_overlap(*before), F.lit(False))
                 & (longer_sketches() * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
     crossing = left.join(right, "entry").filter(possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     more = store(likely(crossing, classes, percent, size), "crossing")

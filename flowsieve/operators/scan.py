@@ -210,17 +210,6 @@ def row_number(df: DataFrame, keys: list[str], order: list, name: str = "rn",
                    num_partitions=num_partitions, sample_from=sample_from)
 
 
-def first_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rn") -> DataFrame:
-    """The first ``k`` rows of every key in ``order`` (the rank column is kept)."""
-    return row_number(df, keys, order, name).where(F.col(name) <= k)
-
-
-def last_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank_desc") -> DataFrame:
-    """Rank from the end (1 = last row) of every key; rows with rank <= k are flagged by the caller."""
-    out = row_number(df, keys, order, "__rn", totals=True)
-    return out.withColumn(name, F.col("__rn_total") - F.col("__rn") + 1).drop("__rn", "__rn_total")
-
-
 def previous_value(df: DataFrame, keys: list[str], order: list, value: str,
                    name: str) -> DataFrame:
     """Value of ``value`` on the previous row of the same key (null on the first row).

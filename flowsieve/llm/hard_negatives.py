@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, slices, store, trim
+from .common import forget, store, trim
 
 SCALE = 256
 #: Positives per anchor, and negatives per positive.

@@ -21,9 +21,9 @@ def rows(spark):
     return spark.createDataFrame(out, "key string, x double, id long, text string").repartition(5)
 
 
-@pytest.mark.parametrize("k", [1, 2, 25, 1500, 5000])
+@pytest.mark.parametrize("k", [1, 25, 5000])
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("bins", [1, 7, 1024])
+@pytest.mark.parametrize("bins", [7, 1024])
 def test_first_k_is_the_plain_rank(rows, k, descending, bins):
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in ("x", "id")]
     want = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rn") <= k)

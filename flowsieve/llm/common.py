@@ -252,10 +252,12 @@ class ByteCache:
                 (unknown if v is None else moved).append(i)
         for i in moved:
             young[keys[i]] = found[i]
+        fresh = [keys[i] for i in unknown]
         if unknown:
-            for i, v in zip(unknown, make([keys[i] for i in unknown])):
-                found[i] = young[keys[i]] = v
-        self.held += sum(200 + 4 * len(keys[i]) for part in (moved, unknown) for i in part)
+            for i, k, v in zip(unknown, fresh, make(fresh)):
+                found[i] = young[k] = v
+        fresh += [keys[i] for i in moved]
+        self.held += 200 * len(fresh) + 4 * sum(map(len, fresh))
         if self.held > self.capacity:
             self.old, self.young, self.held = young, {}, 0
         return found

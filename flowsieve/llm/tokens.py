@@ -25,7 +25,7 @@ from .common import ByteCache, Words, segment_sums, slices, trim, utf8, worker_c
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Text that a task encodes at once, and bytes of a generation of the cache of pieces.
-SLICE, CACHE_BYTES = 2 << 20, 40 << 20
+SLICE, CACHE_BYTES = 3 << 20, 48 << 20
 
 
 def default_vocabulary() -> str:

@@ -113,7 +113,10 @@ def frequent_shingles(rows: DataFrame, n: int, frequent: int = FREQUENT, chunk:
     least = max(rows.count() / frequent, 2)
     found = (rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
              .filter(F.col("n") >= least).select("shingle").toArrow())  # 8 bytes a row on the driver, not a Python object
-    return np.sort(found.column("shingle").to_numpy().view(np.uint64))
+    out = np.sort(found.column("shingle").to_numpy().view(np.uint64))
+    del found
+    trim()
+    return out
 
 
 def levels(size: int, percent: int) -> set[int]:
@@ -307,6 +310,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     rows = keyed(docs, key, text)
     often = frequent_shingles(rows, n, frequent)
     sets = store(index_sets(rows, n, percent, often), "shingle-index")
+    del often
+    trim()
     classes = store(sets.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.min("folded").alias("folded"), F.count(F.lit(1)).alias("members")), "classes")
@@ -314,7 +319,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
     shared = store(entries.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
                    .select("entry"), "shared")
-    met = store(join_checked(entries, shared, "entry", "inner", 24).distinct(), "met")
+    met = store(join_checked(entries, shared, "entry", "inner", 80).distinct(), "met")
     met = store(one_of_each(met), "kinds")
 
     links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)

@@ -8,6 +8,8 @@ no walk is needed to know where a row goes.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,21 +19,34 @@ ROUNDS = 24
 PRIME, A, B, C = 2147483647, 48271, 69621, 16807
 
 
-def keyed_hash(v: Column, key: Column, r: Column) -> Column:
-    """Number below ``PRIME``; all products stay within 64 bits."""
+def keyed_hash(v, key, r: int):
+    """Numbers below ``PRIME``; all products stay within 64 bits."""
     t = (v % PRIME * A + key * B + r * C + 12345) % PRIME
-    t = (t * A + F.shiftright(t, 7)) % PRIME
-    t = t.bitwiseXOR(F.shiftright(t, 13))
-    return (t * B) % PRIME
+    t = (t * A + (t >> 7)) % PRIME
+    t = t ^ (t >> 13)
+    return t * B % PRIME
+
+
+def walk(i: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Where the rows ``i`` of ``n`` go under the keys (0 to ``PRIME`` - 1)."""
+    keys, at = np.unique(key, return_inverse=True)
+    x = i
+    for r in range(rounds):
+        partner = (keyed_hash(0, keys, r)[at] % n - x) % n
+        heads = (keyed_hash(np.maximum(x, partner) + 1, key, r) >> 11) & 1 == 1
+        x = np.where(heads, partner, x)
+    return x
 
 
 def place(i: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Where row ``i`` of ``n`` goes (both from 0 and below 2^31, as longs); ``key`` is a long that names the permutation."""
-    seed = F.pmod(key, F.lit(PRIME))
+    """Where row ``i`` of ``n`` goes (both from 0 and below 2^31, as longs); ``key`` is a long that names the permutation.
 
-    def trade(x, r):
-        partner = F.pmod(keyed_hash(F.lit(0).cast("long"), seed, r) % n - x, n)
-        heads = F.shiftright(keyed_hash(F.greatest(x, partner) + 1, seed, r), 11).bitwiseAND(F.lit(1)) == 1
-        return F.when(heads, partner).otherwise(x)
+    All rounds run on whole Arrow batches.  A row without a number or a size has no place.
+    """
+    @F.arrow_udf("long")
+    def places(i: pa.Array, n: pa.Array, seed: pa.Array) -> pa.Array:
+        known = i.is_valid().to_numpy(zero_copy_only=False) & n.is_valid().to_numpy(zero_copy_only=False)
+        x, size, key = (c.fill_null(f).to_numpy() for c, f in ((i, 0), (n, 1), (seed, 0)))
+        return pa.array(walk(x, size, key, rounds), mask=~known)
 
-    return F.aggregate(F.array(*[F.lit(r).cast("long") for r in range(rounds)]), i.cast("long"), trade)
+    return places(i.cast("long"), n.cast("long"), F.pmod(key, F.lit(PRIME)))

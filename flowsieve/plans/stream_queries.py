@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import carry, verdicts
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import alert_sink, flow_csv
 from ..sources.tables import table
 from ..streaming import packets as st
@@ -21,11 +21,18 @@ _FLOW_COLS = [n for n, _ in fx.FLOWS]
 _PADDED = {"label": " label ", "Rate": "Rate "}     # headers written with stray blanks
 
 
+def _spread_flows(spark, sf_dir, least: int):
+    """Flow rows dealt evenly, while they are narrow, over as many parts as their table is read in, ``least`` at least; and how many."""
+    base = table(spark, sf_dir, "lineitem")
+    parts = max(least, base.rdd.getNumPartitions())
+    return fx.PROJECTIONS["flows"].apply(base.repartition(parts)), parts
+
+
 def _write_flow_csv(spark, sf_dir, n_files: int = 4) -> str:
-    flows = fx.load(spark, sf_dir, "flows")
+    flows, _ = _spread_flows(spark, sf_dir, n_files)
     out = flows.select(*[F.col(f"`{c}`").alias(_PADDED.get(c, c)) for c in flows.columns])
     path = scratch_path(spark, "flow-csv")
-    (out.repartition(n_files).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+    (out.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
@@ -182,7 +189,7 @@ def q_incremental_train_stream(spark, sf_dir):
         F.count(F.lit(1)).alias("n_coefficients"), F.max("steps").alias("steps"), F.sum(F.abs("weight")).alias("l1_norm"))
 
 
-#: Arrivals of the training stream, and files of each.
+#: Arrivals of the training stream, and the least files of each.
 FILES, FILE_PARTS = 3, 4
 
 
@@ -190,12 +197,13 @@ def train_run(spark, sf_dir, restart: bool = True, make=TrainingStream, files: i
     """The training stream over flow files, in one run or with a restart after each file."""
     from . import train_queries, training
     model, _ = train_queries.trained(spark, sf_dir)
-    flows = fx.load(spark, sf_dir, "flows")
+    flows, file_parts = _spread_flows(spark, sf_dir, FILE_PARTS)
     src, root, ckpt = (scratch_path(spark, f"train-{x}") for x in ("in", "models", "checkpoint"))
 
-    def vectors(batch):
+    def vectors(batch, seed, partitions):
         keyed = training.keyed(training.labels.group_labels(batch))
-        return training._training_rows(keyed, model.classes, model.raw, model.scaler, "file_id")
+        return training.dealt_rows(keyed, model.classes, model.raw, model.scaler, "file_id", seed, partitions,
+                                   keyed.select("file_id", "label_group"))
 
     def go(limit):
         run = make(spark, root, training.member_configs(model.best_params), len(model.classes),
@@ -206,9 +214,9 @@ def train_run(spark, sf_dir, restart: bool = True, make=TrainingStream, files: i
         return run
 
     for part in range(files):
-        flows.where(F.col("file_id") % files == part).repartition(FILE_PARTS).write.mode("append").parquet(src)
+        flows.where(F.col("file_id") % files == part).write.mode("append").parquet(src)
         if restart or part == files - 1:
-            run = go(None if restart else FILE_PARTS)
+            run = go(None if restart else file_parts)
     return run
 
 
@@ -219,8 +227,9 @@ def score_stream(spark, sf_dir, model, packets, root, delay: str, checkpoint: st
     windows = st.flow_windows_stream(packets, train_queries.SCORE_WIDTH, delay, ["src_ip"], with_event=True)
 
     def step(batch, number):
-        # windows close in the order of the watermark, so no row has to wait for an earlier one
-        run.apply(train_queries.verdict_rows(batch, model), number)
+        # windows close in the order of the watermark, so no row has to wait for an earlier one;
+        # the rows are stored, as every further reading would aggregate and write the state again
+        run.apply(stored(train_queries.verdict_rows(batch, model), "scored-windows"), number)
 
     windows.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start().awaitTermination()

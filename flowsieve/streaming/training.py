@@ -52,10 +52,11 @@ def states_of(rows, configs: list[sgd.SgdConfig]) -> list[sgd.SgdState]:
 
 
 class TrainingStream:
-    """Models kept under ``root``; ``vectors(batch)`` gives ``features, label_idx, weight, row_key`` of a micro-batch."""
+    """Models kept under ``root``; ``vectors(batch, seed, partitions)`` gives ``features, label_idx, weight`` of a
+    micro-batch, dealt like ``sgd.prepare``."""
 
     def __init__(self, spark: SparkSession, root: str, configs: list[sgd.SgdConfig], n_classes: int, n_features: int,
-                 vectors: Callable[[DataFrame], DataFrame], rounds: int, seed: int = 42, partitions: int | None = None):
+                 vectors: Callable[[DataFrame, int, int], DataFrame], rounds: int, seed: int = 42, partitions: int | None = None):
         self.spark, self.configs, self.vectors = spark, configs, vectors
         self.shape, self.rounds, self.seed, self.partitions = (n_classes, n_features), rounds, seed, partitions
         self.store = BatchStore(spark, root)
@@ -73,11 +74,7 @@ class TrainingStream:
         if self.store.done(number):
             return
         n = self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        data = sgd.prepare(self.vectors(batch), "features", "label_idx", "weight", "row_key", self.seed, n).cache()
-        try:
-            states = sgd.fit(data, self.model(), self.rounds)
-        finally:
-            data.unpersist()
+        states = sgd.fit(self.vectors(batch, self.seed, n), self.model(), self.rounds)
         self.store.write("model", self.spark.createDataFrame(model_rows(states), MODEL), number)
         self.before_commit(number)
         self.store.commit(number)

@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, forget, join_checked, keyed, mix, numbered, slices, store, trim, without
 from .components import components
@@ -208,19 +209,19 @@ def index_sets(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
         scan, "row_id long, doc_id long, n long, cls long, sketch array<long>, folded array<long>, entries array<long>")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, size: tuple[int, int]) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that size and sketch allow to link, with ``gap``: the least distance the sketch proves.
 
-    ``size``: classes, and words of all their sketches.
+    The classes grow with the input and would pass through the driver as a broadcast: they are joined by shuffle.
     """
     for side in ("a", "b"):
         own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("folded").alias(f"folded_{side}"))
-        pairs = join_checked(pairs, own, side, "inner", 64 + SKETCH_BITS // 8, size[0])
+        pairs = pairs.join(own.hint("shuffle_hash"), side)
     # the short sketches cut most pairs; whole sketches travel only with what is left
     pairs = pairs.filter(allowed(percent)).drop("folded_a", "folded_b")
     for side in ("a", "b"):
         own = classes.select(F.col("cls").alias(side), F.col("sketch").alias(f"s_{side}"))
-        pairs = join_checked(pairs, own, side, "inner", 64, size[0], 8 * size[1])
+        pairs = pairs.join(own.hint("shuffle_hash"), side)
 
     def run(batches):
         for b in batches:
@@ -281,6 +282,13 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percen
     return both.mapInArrow(check, "a long, b long")
 
 
+def meetings(entries: DataFrame) -> DataFrame:
+    """Distinct rows (cls, entry) of the entries in which two or more classes meet; entries travel once, none is broadcast."""
+    same = Window.partitionBy("entry")
+    return (entries.select("cls", "entry", F.min("cls").over(same).alias("x"), F.max("cls").over(same).alias("y"))
+            .filter("x < y").select("cls", "entry").distinct())
+
+
 def one_of_each(met: DataFrame) -> DataFrame:
     """Rows (cls, entry) of one entry for each set of classes that meet: entries of the same classes offer the same pairs."""
     kinds = met.groupBy("entry").agg(
@@ -315,17 +323,14 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     classes = store(sets.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.min("folded").alias("folded"), F.count(F.lit(1)).alias("members")), "classes")
-    size = tuple(x or 0 for x in classes.agg(F.count(F.lit(1)), F.sum(F.size("sketch"))).first())
     entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
-    shared = store(entries.groupBy("entry").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
-                   .select("entry"), "shared")
-    met = store(join_checked(entries, shared, "entry", "inner", 80).distinct(), "met")
+    met = store(meetings(entries), "met")
     met = store(one_of_each(met), "kinds")
 
     links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
     for k in range(ROUNDS):
         held = store(unsettled(met, parts), f"held-{k}") if k else met.withColumn("component", F.col("cls"))
-        near = store(likely(offers(held, k), classes, percent, size).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
+        near = store(likely(offers(held, k), classes, percent).groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best"))
                      .select("b", F.col("best.a").alias("a")), "offers")
         if not near.limit(1).count():
             break
@@ -335,7 +340,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     # what is left within an entry: pairs of different components
     held = store(unsettled(met, parts), "open")
-    held = join_checked(held, classes.select("cls", "n", "sketch"), "cls", "inner", 64, size[0], 8 * size[1])
+    held = held.join(classes.select("cls", "n", "sketch").hint("shuffle_hash"), "cls")
     # sets with the shortest sketch share many entries with their near copies: they carry their first ones
     firsts = (held.where(F.size("sketch") == SKETCH_BITS // 64).groupBy("cls")
               .agg(F.slice(F.sort_array(F.collect_list("entry")), 1, FIRSTS).alias("firsts")))
@@ -349,7 +354,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
                 & ~F.coalesce(F.arrays_overlap(*before), F.lit(False))
                 & (longer_sketches() * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
     crossing = left.join(right, "entry").filter(possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    more = store(likely(crossing, classes, percent, size), "crossing")
+    more = store(likely(crossing, classes, percent), "crossing")
     if more.limit(1).count():
         new = verify(more, rows, classes, n, percent)
         parts = store(components(new if links is None else links.unionByName(new)), "components")

@@ -237,6 +237,32 @@ def test_components(spark):
     assert {got[k] for k in (1, 2, 3, 50)} == {1} and got[11] == 10 and got[159] == 99 and got[230] == 200
 
 
+def test_components_end_at_stars(spark):
+    """No further round once every node points to its least one: a star, a chain and a node with two links are told apart."""
+    def rest(*links):
+        return {r.node for r in components.open_nodes(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert rest((2, 1), (3, 1), (9, 8)) == set() and rest((2, 1), (3, 2)) == {2} and rest((3, 1), (3, 2)) == {3}
+
+
+def test_meetings_shuffle_entries_once(spark):
+    rows = [(c, e) for c in range(40) for e in (c % 7, 100 + c, 500 + c // 20)] + [(3, 3), (41, 900), (41, 900)]
+    got = ngram_join.meetings(spark.createDataFrame(rows, "cls long, entry long"))
+    of = {e: {c for c, k in rows if k == e} for _, e in rows}
+    assert sorted((r.cls, r.entry) for r in got.collect()) == sorted({(c, e) for c, e in rows if len(of[e]) > 1})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(entry") and "Broadcast" not in plan
+
+
+def test_classes_are_not_broadcast(spark):
+    """The classes number with the documents: no join of pairs with them passes through the driver."""
+    sets = [np.arange(k, k + 300).astype(np.uint64) for k in (0, 3, 900)]
+    kinds = spark.createDataFrame([(k, 300, ngram_join.sketch(s).tolist(), ngram_join.sketch(s).tolist()) for k, s in enumerate(sets)],
+                                  "cls long, n long, sketch array<long>, folded array<long>")
+    got = ngram_join.likely(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"), kinds, 90)
+    assert [(r.a, r.b) for r in got.collect()] == [(0, 1)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup(documents, odd, empty, texts):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents).collect()}
     seen = set()

@@ -144,6 +144,11 @@ def utf8(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def strings(array) -> list[str]:
+    """A string array without nulls as Python strings; ``to_pylist`` makes a scalar of each first."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
     """Words (runs of anything but the six ASCII white-space characters) of a slice of texts.
 
@@ -244,12 +249,11 @@ class ByteCache:
     def lookup(self, keys: list, make) -> list:
         """Values (never None) for ``keys`` in order; ``make(list of unknown keys)`` gives theirs."""
         young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
+        found = list(map(young.get, keys))
         moved, unknown = [], []
-        for i, v in enumerate(found):
-            if v is None:
-                v = found[i] = old.get(keys[i])
-                (unknown if v is None else moved).append(i)
+        for i in [i for i, v in enumerate(found) if v is None]:
+            v = found[i] = old.get(keys[i])
+            (unknown if v is None else moved).append(i)
         for i in moved:
             young[keys[i]] = found[i]
         fresh = [keys[i] for i in unknown]

@@ -33,6 +33,8 @@ from .tokens import END_ID, default_vocabulary, tokenise, unpack_ids
 
 #: Ids after which a block is closed (a block holds whole documents).
 BLOCK_IDS = 1 << 18
+#: Ids that a task counts at once.
+COUNT_IDS = 1 << 20
 
 #: Bytes per id by control byte: 256 x 4.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -44,7 +46,7 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     code[:len(ranks)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    control = code[::4] | code[1::4] << np.uint8(2) | code[2::4] << np.uint8(4) | code[3::4] << np.uint8(6)
     used = np.arange(4) < size[:, None]
     return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
@@ -67,12 +69,23 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """``id, n`` over all documents; each task sends one row per id it has seen."""
     def count(batches):
         total = np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def added():
+            c = np.bincount(np.concatenate(held), minlength=len(total))
+            c[:len(total)] += total
+            return c
+
         for batch in batches:
             for blob in batch.column("ids"):
-                c = np.bincount(unpack_ids(blob.as_py()))
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
-                total[:len(c)] += c
+                held.append(unpack_ids(blob.as_py()))
+                size += len(held[-1])
+                if size >= COUNT_IDS:  # a count has a number for each id of the vocabulary, however short the text
+                    total = added()
+                    held, size = [], 0
+        if held:
+            total = added()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ByteCache, Words, segment_sums, slices, trim, utf8, worker_cache
+from .common import ByteCache, Words, segment_sums, slices, strings, trim, utf8, worker_cache
 
 #: Id appended to every document.
 END_ID = 1
@@ -65,6 +66,7 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width, self.kind = ("<u2", "H") if self.tok.get_vocab_size() < 1 << 16 else ("<u4", "I")
+        self.wide = array(self.kind).itemsize
         self.words, self.pieces = ByteCache(capacity // 4), ByteCache(capacity)
         self.by_piece = self._cuts_alike()
         self.by_word = self._whole([PROBE])[0] == b"".join(self._whole(PROBE.split()))
@@ -92,7 +94,10 @@ class WordEncoder:
             for i, p in zip(other, mapped):
                 pieces[i] = p
         merge = self.tok.model.tokenize
-        return [self._pack([t.id for t in merge(p)]) for p in pieces]
+        ids = [[t.id for t in merge(p)] for p in pieces]
+        raw = self._pack(chain.from_iterable(ids))
+        ends = [0, *accumulate(len(x) * self.wide for x in ids)]
+        return [raw[s:e] for s, e in pairwise(ends)]
 
     def _expand(self, w: Words, known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order and the borders between texts, from the ids of the distinct words."""
@@ -108,15 +113,15 @@ class WordEncoder:
 
     def _by_words(self, texts):
         w = Words(texts)
-        return self._expand(w, self.words.lookup(w.distinct.to_pylist(), self._whole))
+        return self._expand(w, self.words.lookup(strings(w.distinct), self._whole))
 
     def _by_pieces(self, texts):
         """For texts of ``simple`` characters: white space around what the vocabulary's pattern cuts off."""
         w = Words(pc.replace_substring_regex(pc.utf8_lower(texts), CUT, r" \1 "))
-        return self._expand(w, self.pieces.lookup(w.distinct.to_pylist(), self._new_pieces))
+        return self._expand(w, self.pieces.lookup(strings(w.distinct), self._new_pieces))
 
     def _in_full(self, texts):
-        got = self._whole(texts.to_pylist())
+        got = self._whole(strings(texts))
         ids = np.frombuffer(b"".join(got), self.width)
         return ids, np.cumsum([0] + [len(x) // ids.itemsize for x in got])
 

@@ -47,6 +47,39 @@ def texts(documents):
     return {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
 
 
+def test_ids_are_counted_many_texts_at_once(spark, monkeypatch):
+    """One count for many short texts (each holds a number per id of the vocabulary), the same totals when cut."""
+    class Alone:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return Made(run)
+
+    class Made:
+        def __init__(self, run):
+            self.run = run
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self.run
+
+    rng = np.random.default_rng(4)
+    own = [rng.integers(0, 49_000, n).astype("<u2") for n in (3, 0, 50, 1, 2000, 7)]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([tokens.pack_ids(x) for x in own], pa.binary())})
+    want = np.bincount(np.concatenate(own))
+    for at_once, most in ((1 << 20, 1), (100, 3)):
+        monkeypatch.setattr(token_files, "COUNT_IDS", at_once)
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(np, "bincount", lambda *a, f=np.bincount, **k: calls.append(1) or f(*a, **k))
+            got, = token_files.id_counts(Alone())(iter([batch]))
+        assert got.column("id").to_pylist() == np.flatnonzero(want).tolist()
+        assert got.column("n").to_pylist() == want[want > 0].tolist() and len(calls) <= most
+
+
 def library_ids(text):
     tok = tokens.encoder(tokens.default_vocabulary()).tok
     return np.array(tok.encode(text, add_special_tokens=False).ids + [1], "<u4")

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteCache, forget, keyed, segment_sums, slices, store, trim, utf8, worker_cache
+from .common import ByteCache, forget, keyed, segment_sums, slices, store, strings, trim, utf8, worker_cache
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast at most (17 bytes each).
@@ -246,7 +246,7 @@ class Encoders:
         cut = np.append(np.flatnonzero(start), len(raw))
         coded = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(raw)).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        known = self.chunks.lookup(coded.dictionary.to_pylist(), self._new)
+        known = self.chunks.lookup(strings(coded.dictionary), self._new)
         borders = np.searchsorted(cut, at)
         wrong = np.array([not k[2] for k in known], bool)[codes]
         none = (segment_sums(wrong.astype(np.int64), borders) > 0) | (np.diff(at) == 1)

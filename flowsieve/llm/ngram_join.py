@@ -282,11 +282,24 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percen
     return both.mapInArrow(check, "a long, b long")
 
 
-def meetings(entries: DataFrame) -> DataFrame:
-    """Distinct rows (cls, entry) of the entries in which two or more classes meet; entries travel once, none is broadcast."""
+def meetings(entries: DataFrame, percent: int | None = None) -> DataFrame:
+    """Distinct rows (cls, entry) of the entries in which two or more classes meet; entries travel once, none is broadcast.
+
+    With ``percent``, rows have the set size ``n``, and classes meet only if their sizes allow a link: an entry is cut
+    where the next larger class is too large for the one before it, the first part keeps the entry's name, and a class
+    that is alone in its part is dropped.  Two classes whose sizes allow a link are always in one part.
+    """
     same = Window.partitionBy("entry")
-    return (entries.select("cls", "entry", F.min("cls").over(same).alias("x"), F.max("cls").over(same).alias("y"))
-            .filter("x < y").select("cls", "entry").distinct())
+    met = (entries.select("*", F.min("cls").over(same).alias("x"), F.max("cls").over(same).alias("y"))
+           .filter("x < y").drop("x", "y").distinct())
+    if percent is None:
+        return met
+    along = Window.partitionBy("entry").orderBy("n", "cls")
+    met = (met.withColumn("joins", F.coalesce(100 * F.lag("n").over(along) >= percent * F.col("n"), F.lit(False)))
+           .withColumn("joined", F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(along), F.lit(False)))
+           .withColumn("part", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    name = F.when(F.col("part") == 1, F.col("entry")).otherwise(F.xxhash64("entry", "part"))
+    return met.filter("joins or joined").select("cls", name.alias("entry"))
 
 
 def one_of_each(met: DataFrame) -> DataFrame:
@@ -323,8 +336,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     classes = store(sets.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("row_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.min("folded").alias("folded"), F.count(F.lit(1)).alias("members")), "classes")
-    entries = sets.filter("n > 0").select("cls", F.explode("entries").alias("entry"))
-    met = store(meetings(entries), "met")
+    entries = sets.filter("n > 0").select("cls", "n", F.explode("entries").alias("entry"))
+    met = store(meetings(entries, percent), "met")
     met = store(one_of_each(met), "kinds")
 
     links, parts = None, met.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)

@@ -286,6 +286,30 @@ def test_meetings_shuffle_entries_once(spark):
     assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(entry") and "Broadcast" not in plan
 
 
+def test_meetings_need_sizes_that_may_link(spark):
+    """Classes whose sizes cannot link do not meet; those that can stay in one part of their entry, by loops."""
+    rng = np.random.default_rng(12)
+    size = {c: int(n) for c, n in enumerate(rng.integers(1, 400, 120))}
+    rows = [(c, size[c], int(e)) for c in size for e in rng.integers(0, 25, 4)]
+    rows += [(0, size[0], 77), (0, size[0], 77), (500, 100, 900), (501, 112, 900), (502, 500, 901), (503, 450, 901)]
+    got = ngram_join.meetings(spark.createDataFrame(rows, "cls long, n long, entry long"), 90)
+    size |= {500: 100, 501: 112, 502: 500, 503: 450}
+
+    def pairs(met):
+        held = {}
+        for c, e in met:
+            held.setdefault(e, set()).add(c)
+        assert all(len(x) > 1 for x in held.values())
+        return {(a, b) for x in held.values() for a in x for b in x if a < b}
+
+    every = {(a, b) for a, _, x in rows for b, _, y in rows if a < b and x == y}
+    linkable = {(a, b) for a, b in every if 100 * min(size[a], size[b]) >= 90 * max(size[a], size[b])}
+    met = [tuple(r) for r in got.collect()]
+    assert len(met) == len(set(met)) and linkable <= pairs(met) < every and (500, 501) not in pairs(met) and (502, 503) in pairs(met)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(entry")
+
+
 def test_classes_are_not_broadcast(spark):
     """The classes number with the documents: no join of pairs with them passes through the driver."""
     sets = [np.arange(k, k + 300).astype(np.uint64) for k in (0, 3, 900)]

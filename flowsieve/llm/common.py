@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,18 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             done = stop
 
 
+@contextmanager
+def batches_of(spark, rows: int):
+    """Jobs started here hand Python at most so many rows at once: a batch is held by the executor and by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (multiply and shift), in place where possible."""
     x = x ^ (x >> np.uint64(32))

@@ -32,12 +32,14 @@ from pyspark.sql.window import Window
 
 from flowsieve.session import shuffle_partitions
 
-from .common import keyed, store
+from .common import batches_of, keyed, store
 from .tokens import END_ID, default_vocabulary, tokenise
 
 CAPACITY = 2048
 STEP = 4
 GAP = 5e-4
+#: Texts that travel to Python at once: a whole part of a table (25 MB of text) would otherwise be one batch.
+BATCH_ROWS = 500
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -185,8 +187,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", te
     ``capacity``.
     """
     spark = docs.sparkSession
-    pieces = store(tokenise(keyed(docs, key, text), vocabulary or default_vocabulary(), end_id, (capacity, capacity // 2))
-                   .withColumn("piece_id", F.monotonically_increasing_id()).drop("row_id"), "pieces", "uncompressed")
+    ids = tokenise(keyed(docs, key, text), vocabulary or default_vocabulary(), end_id, (capacity, capacity // 2))
+    with batches_of(spark, BATCH_ROWS):
+        pieces = store(ids.withColumn("piece_id", F.monotonically_increasing_id()).drop("row_id"), "pieces", "uncompressed")
     sized = pieces.select("piece_id", "length", (F.floor((F.col("length") + step - 1) / step)).alias("units"))
     histogram = sized.groupBy("units").agg(F.count(F.lit(1)).alias("n")).orderBy("units").collect()  # <= capacity/step
     sizes = np.array([r["units"] for r in histogram], np.int64)

@@ -99,6 +99,18 @@ def test_variable_length_code_round_trip():
         assert (token_files.decode_ranks(*token_files.encode_ranks(x[:n]), n) == x[:n]).all()
 
 
+def test_texts_to_pack_travel_in_small_batches(spark, documents, monkeypatch):
+    """Tokenising gets few texts at once, whatever the session allows; the session's setting is back afterwards."""
+    key, seen, store = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, packing.store
+    monkeypatch.setattr(packing, "store", lambda df, name, *a: seen.update({name: int(spark.conf.get(key))}) or store(df, name, *a))
+    before = spark.conf.get(key)
+    for allowed, most in (("10000", packing.BATCH_ROWS), ("0", packing.BATCH_ROWS), ("20", 20)):
+        spark.conf.set(key, allowed)
+        packing.pack(documents.limit(30))
+        assert seen == {"pieces": most} and spark.conf.get(key) == allowed
+    spark.conf.set(key, before)
+
+
 def test_token_files_round_trip(spark, documents, odd, empty, texts, tmp_path):
     token_files.write_token_files(documents, f"{tmp_path}/a", block_ids=5000)
     got = {r.doc_id: r for r in token_files.read_token_files(spark, f"{tmp_path}/a").collect()}

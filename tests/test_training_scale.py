@@ -82,6 +82,31 @@ def test_fit_reads_its_rows_once_and_equals_local_passes(spark):
     assert read.value == 700
 
 
+def test_rounds_hand_python_a_few_blocks_at_once_and_keep_them_out_of_the_heap(spark, monkeypatch):
+    """All blocks of a partition, up to 64 MB, came as one batch, held by the executor beside its heap and by the worker."""
+    batches_in, bytes_in = (spark.sparkContext.accumulator(0) for _ in range(2))
+    levels, whole, one_round = [], sgd._round_fn, sgd._one_round
+
+    def watched(states):
+        run = whole(states)
+
+        def count(batches):
+            for b in batches:
+                batches_in.add(1)
+                bytes_in.add(b.nbytes)
+                yield b
+        return lambda batches: run(count(batches))
+    monkeypatch.setattr(sgd, "_round_fn", watched)
+    monkeypatch.setattr(sgd, "_one_round", lambda blocks, states: levels.append(blocks.storageLevel) or one_round(blocks, states))
+    rows = spark.range(0, 100_000, numPartitions=1).select(
+        F.array(*[F.rand(i) for i in range(40)]).alias("features"), (F.col("id") % 2).cast("int").alias("label_idx"), F.lit(1.0).alias("weight"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    state = sgd.fit(rows, sgd.init_states([sgd.SgdConfig("a")], 2, 40), 1)[0]
+    assert state.t == 1 + 10 * -(-10_000 // sgd.BATCH)  # ten blocks of 10,000 rows, as without the bound
+    assert bytes_in.value > 24 << 20 and bytes_in.value / batches_in.value <= 3 << 22
+    assert levels and not levels[0].useMemory and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def lineitems(spark, path, files=6, rows=600):
     i = F.col("id")
     (spark.range(rows).select(F.floor(i / 4).alias("l_orderkey"), (i * 37 % 200).alias("l_partkey"), (i * 11 % 100).alias("l_suppkey"),

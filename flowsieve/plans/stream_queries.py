@@ -231,8 +231,11 @@ def score_stream(spark, sf_dir, model, packets, root, delay: str, checkpoint: st
         # the rows are stored, as every further reading would aggregate and write the state again
         run.apply(stored(train_queries.verdict_rows(batch, model), "scored-windows"), number)
 
-    windows.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start().awaitTermination()
+    # a window of every source is open at once
+    with st.state_on_disk(spark):
+        query = windows.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).start()
+    query.awaitTermination()
     return run
 
 

@@ -153,6 +153,18 @@ def test_scored_windows_are_stored_before_they_are_judged(spark, monkeypatch):
     assert seen and all("Relation" in p and "Aggregate" not in p and "LogicalRDD" not in p for p in seen)
 
 
+def test_open_windows_of_the_scoring_stream_are_not_kept_in_the_heap(spark):
+    """Windows of all sources are open at once; as Java objects they outgrew the executors."""
+    from conftest import SF_SMALL
+    key = "spark.sql.streaming.stateStore.providerClass"
+    model, _ = train_queries.trained(spark, SF_SMALL)
+    ckpt = sq.scratch_path(spark, "c")
+    run = sq.score_stream(spark, SF_SMALL, model, sq._packet_stream(spark, SF_SMALL), sq.scratch_path(spark, "t"), "0 seconds", ckpt)
+    logged = "".join(r.value for r in spark.read.text(f"{ckpt}/offsets").collect())
+    assert "RocksDBStateStoreProvider" in logged and "RocksDB" not in spark.conf.get(key, "")
+    assert run.decided(train_queries.verdict_schema(spark)).count() > 0
+
+
 def test_places_run_on_batches_and_equal_a_loop(spark):
     def loop(i, n, key, rounds=permute.ROUNDS):
         p = permute.PRIME

@@ -20,7 +20,9 @@ suffixes are shuffled:
    that a third of all documents share is one row per task.
 3. Second refinement, only in anchor buckets with several contents (edges of
    edits and of shared passages), and only for the first document of each
-   content.  The stretches' bytes are fetched and their strings refined exactly:
+   content, and of these only where 16 bytes beside the anchor's gram come back in
+   another document: a string of 47 bytes or more reaches as far to one side.  The
+   stretches' bytes are fetched and their strings refined exactly:
    8-byte buckets, then 16, 32 and ``length`` bytes by ranks of bucket pairs.  A
    bucket with more than ``large`` stretches is split into its strings instead,
    which are grouped with salt.
@@ -51,7 +53,12 @@ LARGE = 20_000
 BLOCK = 4_000
 #: Text sampled at once: each byte takes some 150 in a task, and a cache holds this much.
 SAMPLE_BYTES = 512 << 10
+#: Rows of one anchor bucket looked through for shared sides; a larger one goes on whole.
+HELD = 1_000_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Low bits of a gram's identifier that give way to its place, so that the least gram tells where it is.
+_AT = np.uint64(20)
+_AT_MASK = np.uint64((1 << 20) - 1)
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,19 +85,33 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values if size == width else np.minimum(values[:len(values) - (width - size)], values[width - size:])
 
 
+def sides(grams: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """16 bits of the 16 bytes before and after the gram ``at``, for strings that start in ``start`` to ``end``; 0 for a side not reached.
+
+    A string that starts 16 bytes or more before the gram reaches those before it, any other those after it.
+    """
+    before = np.maximum(grams[np.maximum(at - GRAM, 0)] & np.uint64(0xFFFF), np.uint64(1)).astype(np.int64)
+    after = np.maximum(grams[np.minimum(at + GRAM, len(grams) - 1)] & np.uint64(0xFFFF), np.uint64(1)).astype(np.int64)
+    return (before * (start <= at - GRAM) << 16) | after * (end > at - GRAM)
+
+
 def stretches(raw: np.ndarray, offsets: np.ndarray, length: int):
-    """Anchor, content, document (position among the texts), place and number of strings of every stretch."""
+    """Anchor, content, document (position among the texts), place, number of strings and ``sides`` of every stretch.
+
+    ``sides`` is 0 (unknown) where strings are short, texts long, or strings have their first gram of that value at several places.
+    """
     empty = np.zeros(0, np.int64)
     long_enough = np.flatnonzero(np.diff(offsets) >= length)
     if not len(long_enough):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     grams, strings = identifiers(raw, length)
     width = length - GRAM + 1
-    anchor = sliding_min(grams, width)
+    least = sliding_min((grams & ~_AT_MASK) | (np.arange(len(grams), dtype=np.uint64) & _AT_MASK), width)
     count = np.diff(offsets)[long_enough] - length + 1
     begin = np.cumsum(count) - count
     place = np.arange(count.sum()) + np.repeat(offsets[long_enough] - begin, count)
-    a = anchor[place]
+    low = least[place]
+    a = low >> _AT
     cut = np.ones(len(a), bool)
     cut[1:] = a[1:] != a[:-1]
     cut[begin] = True
@@ -104,7 +125,13 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int):
     start = place[first]
     content = mix(strings[start] * np.uint64(7) + strings[start + size - 1] * _PAIR + size.astype(np.uint64))
     doc = long_enough[np.searchsorted(begin, first, "right") - 1]
-    return a[first], content, doc, start - offsets[doc], size
+    if length < 3 * GRAM - 1 or len(raw) > int(_AT_MASK):
+        side = np.zeros(len(first), np.int64)
+    else:
+        at = (low[first] & _AT_MASK).astype(np.int64)
+        one = low[first] == low[first + size - 1]
+        side = np.where(one, sides(grams, at, start, start + size - 1), 0)
+    return a[first], content, doc, start - offsets[doc], size, side
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -112,11 +139,11 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def sampled(rows: DataFrame, length: int) -> DataFrame:
-    """``anchor, content, doc, at`` of every stretch; ``at`` is place * 256 + strings, negative if settled."""
+    """``anchor, content, doc, at, side`` of every stretch; ``at`` is place * 256 + strings, negative if settled."""
     def scan(batches):
         for b in slices(batches, limit=SAMPLE_BYTES):
             raw, offsets = utf8(b.column("text"))
-            anchor, content, doc, place, size = stretches(raw, offsets, length)
+            anchor, content, doc, place, size, side = stretches(raw, offsets, length)
             row = b.column("row_id").to_numpy()[doc]
             order = np.lexsort((row, content, anchor))
             x, y, z = anchor[order], content[order], row[order]
@@ -129,25 +156,60 @@ def sampled(rows: DataFrame, length: int) -> DataFrame:
             # text order, so that rows next to each other compress; settled rows need no bucket and go by document
             yield pa.RecordBatch.from_arrays(
                 [_long(np.where(later, mix(row.astype(np.uint64)), anchor)), _long(np.where(later, np.uint64(0), content)),
-                 _long(row), _long(np.where(later, -at, at))], ["anchor", "content", "doc", "at"])
-
-    return rows.select("row_id", "text").mapInArrow(scan, "anchor long, content long, doc long, at long")
-
-
-def refine_contents(parts: DataFrame) -> DataFrame:
+                 _long(row), _long(np.where(later, -at, at)), pa.array(np.where(later, 0, side).astype(np.uint32).view(np.int32))],
+                ["anchor", "content", "doc", "at", "side"])
+
+    return rows.select("row_id", "text").mapInArrow(scan, "anchor long, content long, doc long, at long, side int")
+
+
+def sharing(anchor: np.ndarray, doc: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows (whole anchor buckets, in order) that may share a string with another document, by their ``sides``."""
+    edge = np.ones(len(anchor), bool)
+    edge[1:] = anchor[1:] != anchor[:-1]
+    bucket = np.cumsum(edge) - 1
+    out = np.logical_or.reduceat(side == 0, np.flatnonzero(edge))[bucket]
+    for value in (side >> 16, side & 0xFFFF):
+        name = (bucket << 16) | value
+        order = np.argsort(name, kind="stable")
+        name, of = name[order], doc[order]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        begin = np.flatnonzero(new)
+        several = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+        out[order] |= several[np.cumsum(new) - 1] & (value[order] > 0)
+    return out
+
+
+def refine_contents(parts: DataFrame, most: int = HELD) -> DataFrame:
     """``anchor, doc, at``: stretches whose strings are to be refined, and removed ones (null anchor)."""
+    def batch_of(gone, still):
+        every = [*gone, *still]
+        anchor = pa.concat_arrays([pa.nulls(sum(len(g[0]) for g in gone), pa.int64()), *[_long(t[2]) for t in still]])
+        return pa.RecordBatch.from_arrays([anchor, _long(np.concatenate([t[0] for t in every])),
+                                           _long(np.concatenate([t[1] for t in every]))], ["anchor", "doc", "at"])
+
+    def kept(rows):
+        doc, at, x, side = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        if not len(doc):
+            return []
+        stays = sharing(x, doc, side)
+        return [(doc[stays], at[stays], x[stays])]
+
     def run(batches):
         # state of the anchor bucket that the last batch ended in
         last = None  # anchor, content, least doc of the content
         seen, mixed = None, False  # first least doc of the bucket; whether it has several
         waiting: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []  # rows to refine of that bucket, as far as read
+        whole = None  # a bucket too large to hold
         for b in batches:
             if not b.num_rows:
                 continue
             x, y, doc, at = (b.column(c).to_numpy() for c in ("anchor", "content", "doc", "at"))
+            side = b.column("side").to_numpy().view(np.uint32).astype(np.int64)
             settled = at < 0
             gone, still = [(doc[settled], -at[settled])], []
-            x, y, doc, at = x[~settled], y[~settled], doc[~settled], at[~settled]
+            x, y, doc, at, side = x[~settled], y[~settled], doc[~settled], at[~settled], side[~settled]
             if len(x):
                 new_x = np.ones(len(x), bool)
                 new_x[1:] = x[1:] != x[:-1]
@@ -172,17 +234,29 @@ def refine_contents(parts: DataFrame) -> DataFrame:
                 end = begin[-1]
                 bucket = np.cumsum(new_x) - 1
                 now = ~later & several[bucket]
-                still.append((doc[now], at[now], x[now]))
+                still.append((doc[now], at[now], x[now], side[now]))
                 if not several[-1]:  # all of one document so far
                     keep = ~later[end:]
-                    waiting.append((doc[end:][keep], at[end:][keep], x[end:][keep]))
+                    waiting.append((doc[end:][keep], at[end:][keep], x[end:][keep], side[end:][keep]))
                 seen = seen if goes_on and len(begin) == 1 else low[-1]
                 mixed = bool(several[-1])
                 last = (x[-1], y[-1], least[-1])
-            every = [*gone, *still]
-            anchor = pa.concat_arrays([pa.nulls(sum(len(g[0]) for g in gone), pa.int64()), *[_long(t[2]) for t in still]])
-            yield pa.RecordBatch.from_arrays([anchor, _long(np.concatenate([t[0] for t in every])),
-                                              _long(np.concatenate([t[1] for t in every]))], ["anchor", "doc", "at"])
+                # the bucket that the batch ended in waits for the rest of its rows
+                own = [t[2] == last[0] for t in still]
+                done = [tuple(c[~o] for c in t) for t, o in zip(still, own)]
+                if held and held[0][2][0] != last[0]:
+                    done, held = [*held, *done], []
+                held += [tuple(c[o] for c in t) for t, o in zip(still, own) if o.any()]
+                still = []
+                if done and whole is not None:
+                    still = [tuple(c[t[2] == whole] for c in t) for t in done]
+                    done = [tuple(c[t[2] != whole] for c in t) for t in done]
+                still += kept(done) if done else []
+                if whole == last[0] or sum(len(t[0]) for t in held) > most:
+                    whole, still, held = last[0], [*still, *held], []
+            yield batch_of(gone, still)
+        if held:
+            yield batch_of([], kept(held))
 
     return (parts.repartition("anchor").sortWithinPartitions("anchor", "content", "doc")
             .mapInArrow(run, "anchor long, doc long, at long"))
@@ -224,7 +298,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             anchor = grams[begin]
             for k in range(1, length - GRAM + 1):
                 anchor = np.minimum(anchor, grams[begin + k])
-            yield pa.RecordBatch.from_arrays([_long(anchor), _long(np.concatenate(docs)), _long(np.concatenate(ats)),
+            yield pa.RecordBatch.from_arrays([_long(anchor >> _AT), _long(np.concatenate(docs)), _long(np.concatenate(ats)),
                                               pa.array(data, pa.binary())], ["anchor", "doc", "at", "data"])
 
     total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("places")), F.lit(0))).first()
